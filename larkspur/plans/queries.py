@@ -1,4 +1,4 @@
-"""Named queries over the test tables and the SQL that must give the same rows."""
+"""All named queries of the library over the test tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from larkspur.plans import conversation, graph, qa, relational, retrieval, risk, temporal, text  # noqa: F401  (they register)
+from larkspur.plans.registry import ORACLES, QUERIES  # noqa: F401
