@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from larkspur.llm.common import written
 
@@ -246,5 +247,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = state or build(docs, id_col, text_col, min_chars)
     lost = _packed(lost_lines(state))
     joined = docs.join(written(lost, "lost"), F.col(id_col).cast("long") == F.col("lost_id__"), "left").select(*docs.columns, "lost__")
-    schema = docs.schema.add("kept__", "string").add("n_lines__", "long").add("n_dropped__", "long")
+    schema = StructType([*docs.schema.fields, StructField("kept__", StringType()), StructField("n_lines__", LongType()), StructField("n_dropped__", LongType())])
     return joined.mapInArrow(_kept(docs.columns.index(text_col), min_chars), schema)
