@@ -28,7 +28,8 @@ from larkspur.llm.common import Words, components, mix, shingles, signed, small,
 #: A region of more documents is dealt over tasks.
 REGION = 192
 _PIVOTS = 8
-_CHUNK = 96
+#: In larger ones: pivots, documents compared with them in one task, and documents of a block that others visit.
+_STAR, _CHUNK, _BLOCK = 48, 96, 768
 _LEAF = 24
 #: Postings that one candidate bucket should hold.
 _BUCKET = 500_000
@@ -225,7 +226,7 @@ def _to_pivots(num: int, den: int):
         home, pivots = rows[~rows["is_pivot"]], rows[rows["is_pivot"]]
         index = _Sets(home["grams"], num, den)
         both = [index.probe(np.frombuffer(g, np.uint64)) for g in pivots["grams"]]
-        far = np.ones((len(home), _PIVOTS))
+        far = np.ones((len(home), _STAR))
         far[:, : len(both)] = np.array([d for d, _ in both]).T
         linked = np.array([x for _, x in both]).T
         names = pivots["doc"].to_numpy()
@@ -267,7 +268,7 @@ def _large_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
     step does not hold then visit the cells of width `radius` around their distance to the first pivot; others need no
     second look, as they are connected already.
     """
-    slot = F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(_PIVOTS))
+    slot = F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(_STAR))
     pivots = sets.groupBy("region", slot.alias("slot")).agg(F.min_by("doc", F.xxhash64("doc", F.lit(8))).alias("doc")).select("region", "doc")
     chunks = sets.select("region", "documents").distinct().select("region", F.explode(F.sequence(F.lit(0), F.ceil(F.col("documents") / _CHUNK).cast("int") - 1)).alias("chunk"))
     homes = sets.select("region", _dealt("documents", _CHUNK, 9).alias("chunk"), "doc", "grams", F.lit(False).alias("is_pivot"))
@@ -284,8 +285,8 @@ def _large_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
     cells = written(cells, "cells")
     every = lambda n, per: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / per).cast("int") - 1))
     side = lambda df, visits: df.select("region", "cell", "i", "j", "doc", "grams", "far", "label", F.lit(visits).alias("visits"))
-    at_home = side(labelled.join(cells, ["region", "cell"]).withColumn("i", _dealt("homes", _CHUNK, 10)).withColumn("j", every("guests", _CHUNK)), False)
-    visiting = side(rest.join(cells, ["region", "cell"]).withColumn("j", _dealt("guests", _CHUNK, 11)).withColumn("i", every("homes", _CHUNK)), True)
+    at_home = side(labelled.join(cells, ["region", "cell"]).withColumn("i", _dealt("homes", _BLOCK, 10)).withColumn("j", every("guests", _BLOCK)), False)
+    visiting = side(rest.join(cells, ["region", "cell"]).withColumn("j", _dealt("guests", _BLOCK, 11)).withColumn("i", every("homes", _BLOCK)), True)
     found = at_home.unionByName(visiting).groupBy("region", "cell", "i", "j").applyInPandas(_visits(num, den), "a long, b long")
     return links.unionByName(found)
 

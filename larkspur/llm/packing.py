@@ -13,7 +13,7 @@ an empty table gives an empty result. Only documents longer than a sequence are
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,42 +22,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import Words, written
 
-#: Pieces of one packing partition, rounds of exchange, and words a worker remembers.
+#: Pieces of one packing partition, rounds of exchange, texts tokenised at once, and words a worker remembers.
 _PART = 4096
 _ROUNDS = 4
-_MEMO = 400_000
+_TEXTS = 2500
+_MEMO = 700_000
+#: Signs that may stand behind the letters of a word without changing how those are split.
+_SIGNS = b".,;:!?"
 
 
-class _Memo(dict):
-    """Token ids of words (runs without ASCII white space, which the tokenizer splits at in any case)."""
+class _Memo:
+    """Token ids of words (runs without ASCII white space, which the tokenizer splits at in any case).
+
+    Most words are letters with signs behind: the tokenizer splits before the signs and lowers letters itself, so such
+    words share the ids of their lower-cased letters, which are encoded many at a time and parted at end-of-word tokens.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > _MEMO:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self[word] = np.array(e.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters: dict[bytes, bytes] = {}
+        self.signs: dict[bytes, bytes] = {b"": b""}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        if len(self.letters) + len(new) > _MEMO:
+            self.letters.clear()
+        ids = np.frombuffer(self.encode([b" ".join(new).decode()])[0], np.uint32)
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) == len(new):
+            blob, at = ids.tobytes(), [0, *(4 * end).tolist()]
+            self.letters.update((w, blob[i:j]) for w, i, j in zip(new, at, at[1:]))
+        else:  # a letter whose lower case is more than a letter
+            self.letters.update(zip(new, self.encode([w.decode() for w in new])))
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        parts, whole = [], []
+        for i, w in enumerate(words):
+            low = w.lower()
+            core = low.rstrip(_SIGNS)
+            if core and (core.isalpha() or (not core.isascii() and core.decode().isalpha())):
+                parts.append((i, core, low[len(core) :]))
+            else:
+                whole.append(i)
+        cores = {c for _, c, _ in parts}
+        if unknown := [c for c in cores if c not in self.letters]:
+            self.learn(unknown)
+            if forgotten := [c for c in cores if c not in self.letters]:
+                self.learn(forgotten)
+        if signs := [t for t in {t for _, _, t in parts} if t not in self.signs]:
+            self.signs.update(zip(signs, self.encode([t.decode() for t in signs])))
+        for i, core, tail in parts:
+            out[i] = self.letters[core] + self.signs[tail]
+        for i, ids in zip(whole, self.encode([words[i].decode() for i in whole])):
+            out[i] = ids
+        return out
+
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text, from those of its distinct words."""
+        words = Words(column)
+        data = words.raw.tobytes()
+        if b"<|" in data:  # signs of special tokens keep their case
+            return self.encode([t or "" for t in column.to_pylist()])
+        _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        ids = self.words([data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin, n = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size, size[back]
+        at = np.concatenate([[0], np.cumsum(n)])
+        stream = flat[np.repeat(begin[back] - at[:-1], n) + np.arange(at[-1])].tobytes()
+        cuts = (4 * at[words.bounds]).tolist()
+        return [stream[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _tokenise(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last = _Memo(path), np.array([end], "<u4").tobytes()
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
-                texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                memo.learn(set().union(*texts))
+            for at in range(0, big.num_rows, _TEXTS):
+                batch = big.slice(at, _TEXTS)
                 rows = []
-                for doc, words in zip(batch.column(0).to_pylist(), texts):
-                    ids = b"".join([*map(memo.__getitem__, words), last])
+                for doc, ids in zip(batch.column(0).to_pylist(), memo.texts(batch.column(1))):
+                    ids += last
                     rows += [(doc, k, a // 4, ids[a : a + 4 * capacity]) for k, a in enumerate(range(0, len(ids), 4 * capacity))]
                 doc, piece, start, ids = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])

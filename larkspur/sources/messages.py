@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 VERSIONS = ["1.0", "1.1", "2.0", "2.1"]
 
 
-def _add(**columns) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumns({c: e for c, e in columns.items() if c not in df.columns})
+def _add(column: str, value: str | None) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df if column in df.columns else df.withColumn(column, F.lit(value).cast("string"))
 
 
 def _rename(old: str, new: str) -> Callable[[DataFrame], DataFrame]:
@@ -24,9 +24,9 @@ def _drop(*columns: str) -> Callable[[DataFrame], DataFrame]:
 
 #: 1.1 adds a priority, 2.0 wraps content and calls its kind `type`, 2.1 adds a correlation id.
 UP = {
-    "1.1": [_add(priority=F.lit("normal"))],
+    "1.1": [_add("priority", "normal")],
     "2.0": [_rename("kind", "type"), lambda df: df.withColumn("content", F.struct(F.col("content").alias("text"), F.col("priority").alias("priority"))).drop("priority")],
-    "2.1": [_add(correlation_id=F.lit(None).cast("string"))],
+    "2.1": [_add("correlation_id", None)],
 }
 DOWN = {
     "2.1": [_drop("correlation_id")],
