@@ -7,6 +7,7 @@ result); extra columns never reach an operator because each selects the columns
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,16 @@ class Words:
         return self.hashes[self.bounds[i] : self.bounds[i + 1]]
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `most` bytes of text (or one row), so that what a worker holds does not follow row sizes."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.concatenate([[0], np.cumsum(size)]), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """The distinct k-word shingles as sorted 64-bit hashes; of fewer words, the whole sequence as one."""
     n = len(words)

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Words, written
+from larkspur.llm.common import Words, slices, written
 
-#: Pieces of one packing partition, rounds of exchange, texts tokenised at once, and words a worker remembers.
+#: Pieces of one packing partition, rounds of exchange, bytes of text tokenised at once, and words a worker remembers.
 _PART = 4096
 _ROUNDS = 4
-_TEXTS = 2500
+_TEXTS = 8 << 20
 _MEMO = 700_000
 #: Signs that may stand behind the letters of a word without changing how those are split.
 _SIGNS = b".,;:!?"
@@ -108,8 +108,7 @@ def _tokenise(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last = _Memo(path), np.array([end], "<u4").tobytes()
         for big in batches:
-            for at in range(0, big.num_rows, _TEXTS):
-                batch = big.slice(at, _TEXTS)
+            for batch in slices(big, 1, _TEXTS):
                 rows = []
                 for doc, ids in zip(batch.column(0).to_pylist(), memo.texts(batch.column(1))):
                     ids += last
