@@ -25,6 +25,7 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER += 1
 _SLICE = 4 << 20
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and a lost executor costs only a reread."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables were written so far; see release."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written after `since`, once nothing lazy reads them any more."""
+    for path in _made[since:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _made[since:]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that near values give unrelated ones."""
     h = h ^ (h >> np.uint64(30))
@@ -129,10 +144,6 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(h + np.uint64(k)))
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
 def hash01(*cols: Column | str, seed: int) -> Column:
     """A number in [0, 1) that depends on the columns and the seed alone."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols, F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Words, components, mix, shingles, signed, small, written
+from larkspur.llm.common import Words, components, mix, shingles, slices, small, written
 
 #: A region of more documents is dealt over tasks.
 REGION = 192
@@ -41,7 +41,7 @@ _BROADCAST = 1_000_000
 
 def _digests(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             words = Words(batch.column(1))
             sets = [shingles(words.of(i), k) for i in range(len(words))]
             digest = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
@@ -67,7 +67,7 @@ def _postings(k: int, num: int, den: int, buckets: int):
     """Of each distinct set in a batch, the extended prefix: its smallest hashes, so many that similar sets share several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             words, sets = Words(batch.column(0)), {}
             for i in range(len(words)):
                 s = shingles(words.of(i), k)
@@ -127,7 +127,7 @@ def candidate_regions(texts: DataFrame, k: int, num: int, den: int, postings: in
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             words = Words(batch.column(2))
             sets = [shingles(words.of(i), k).tobytes() for i in range(len(words))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["region", "doc", "grams"])
@@ -319,5 +319,5 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     """The documents without near copies: of each component, the rows of the smallest id stay, with all their columns."""
     found = ngram_components(docs, **params)
     id_col = params.get("id_col", "doc_id")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(drop, id_col, "left_anti").select(docs.columns)
+    drop = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
+    return docs.where(F.col(id_col).isNotNull()).join(small(drop, _BROADCAST), id_col, "left_anti").select(docs.columns)
