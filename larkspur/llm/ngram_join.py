@@ -15,6 +15,7 @@ repeat an id are one document; ties of pivots go to the smaller hash.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ _PIVOTS = 8
 #: In larger ones: pivots, documents compared with them in one task, and documents of a block that others visit.
 _STAR, _CHUNK, _BLOCK = 48, 96, 768
 _LEAF = 24
+#: Cells of one distance: more than set sizes have steps (a cell that wraps around only adds comparisons).
+_ROW = 4096
 #: Postings that one candidate bucket should hold.
 _BUCKET = 500_000
 #: Low bits of a class key that hold the size of its set.
@@ -265,9 +268,14 @@ def _large_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links in regions too large for one task.
 
     Pivots are compared with every document of their region, in chunks. Documents that the largest component of that
-    step does not hold then visit the cells of width `radius` around their distance to the first pivot; others need no
-    second look, as they are connected already.
+    step does not hold then visit the cells around their own; others need no second look, as they are connected already.
+    A cell is a step of `radius` in the distance to the first pivot (triangle inequality) and a step of den / num in the
+    size of the set (a smaller set cannot share more than it holds), so linked documents are in adjoining cells.
     """
+    radius, growth = (1 + 1e-9) * max(1 - num / den, 1e-9), (1 + 1e-9) * max(math.log(den / num), 1e-9)
+    size = F.log(F.length("grams") / F.lit(8.0))
+    place = F.floor(F.element_at("far", 1) / F.lit(radius)) * _ROW + F.floor(size / F.lit(growth))
+    around = F.array(*(F.col("cell") + _ROW * i + j for i in (-1, 0, 1) for j in (-1, 0, 1)))
     slot = F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(_STAR))
     pivots = sets.groupBy("region", slot.alias("slot")).agg(F.min_by("doc", F.xxhash64("doc", F.lit(8))).alias("doc")).select("region", "doc")
     chunks = sets.select("region", "documents").distinct().select("region", F.explode(F.sequence(F.lit(0), F.ceil(F.col("documents") / _CHUNK).cast("int") - 1)).alias("chunk"))
@@ -277,10 +285,10 @@ def _large_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
     compared = written(compared, "compared")
     links = written(compared.select(F.col("doc").alias("a"), F.explode("linked").alias("b")).where("a <> b"), "links")
     labels = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
-    labelled = written(compared.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")).withColumn("cell", F.floor(F.element_at("far", 1) / F.lit(1 - num / den)).cast("int")), "labelled")
+    labelled = written(compared.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")).withColumn("cell", place), "labelled")
     main = labelled.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = labelled.join(main, "region").where("label <> main").select("region", "doc", "grams", "far", "label", F.explode(F.array(*(F.col("cell") + i for i in (-1, 0, 1)))).alias("cell"))
-    rest = written(rest, "visitors")
+    rest = labelled.join(main, "region").where("label <> main").select("region", "doc", "grams", "far", "label", "cell")
+    rest = written(rest, "visitors").withColumn("cell", F.explode(around))
     cells = labelled.groupBy("region", "cell").agg(F.count("*").alias("homes")).join(rest.groupBy("region", "cell").agg(F.count("*").alias("guests")), ["region", "cell"])
     cells = written(cells, "cells")
     every = lambda n, per: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / per).cast("int") - 1))
