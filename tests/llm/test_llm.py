@@ -351,6 +351,57 @@ def test_toxicity_held_out(spark):
     assert kept.columns == ["doc_id", "text", "score"] and 0.7 * len(rows) < kept.count() < 0.85 * len(rows)
 
 
+def brute_toxicity(rows, labels):
+    """Word spellings and dictionaries: every n-gram counts, and the curve sees all rows of its fold."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    spell = lambda w: [tuple(([1] * 5 + list(w.encode()) + [2])[k : k + 6]) for k in range(len(w) + 1)]
+    t, c, mark = {}, {}, dict(labels)
+    for i, text in rows:
+        for g in (g for w in text.split() for g in spell(w) if i in mark and fold(i) not in (0, 4)):
+            (t if mark[i] else c)[g] = (t if mark[i] else c).get(g, 0) + 1
+    counts = {6: {g: (t.get(g, 0), c.get(g, 0), 1) for g in {*t, *c}}}
+    for n in range(5, 0, -1):
+        counts[n] = {}
+        for g, x in counts[n + 1].items():
+            counts[n][g[1:]] = tuple(a + (b > 0) for a, b in zip(counts[n].get(g[1:], (0, 0, 0)), x))
+    p, left = {(): (1 / 256, 1 / 256)}, {}
+    for n in range(1, 7):
+        at = {g: (x[2], x[2]) if n <= 2 else x[:2] for g, x in counts[n].items()}
+        total, less = {}, {}
+        for g, x in at.items():
+            total[g[:-1]] = [a + b for a, b in zip(total.get(g[:-1], (0, 0)), x)]
+            less[g[:-1]] = [a + max(b - 0.75, 0) for a, b in zip(less.get(g[:-1], (0, 0)), x)]
+        for h in total:
+            left[h] = [1 - y / x if x else 1.0 for x, y in zip(total[h], less[h])]
+        for g, x in at.items():
+            p[g] = [max(x[k] - 0.75, 0) / max(total[g[:-1]][k], 1) + left[g[:-1]][k] * p[g[1:]][k] for k in (0, 1)]
+
+    def value(g):
+        if len(g) == 2:
+            return 0.0
+        return np.log(p[g][0] / p[g][1]) if g in p else (np.log(left[g[:-1]][0] / left[g[:-1]][1]) if g[:-1] in left else 0.0) + value(g[1:])
+
+    n = np.array([len(text.split()) for _, text in rows])
+    mean = np.array([sum(value(g) for w in text.split() for g in spell(w)) for _, text in rows]) / n
+    x, held = np.stack([np.ones(len(n)), mean, mean * np.sqrt(n)], 1), np.array([i in mark and fold(i) == 4 for i, _ in rows])
+    y, scale, w = np.array([mark[i] for i, _ in rows])[held], np.array([1, *x[held, 1:].std(0)]), np.zeros(3)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x[held] / scale @ w, -30, 30)))
+        w = w + np.linalg.solve((x[held] / scale).T * (q * (1 - q)) @ (x[held] / scale) + 1e-3 * np.eye(3), (x[held] / scale).T @ (y - q) - 1e-3 * w)
+    return dict(zip([i for i, _ in rows], 1 / (1 + np.exp(-np.clip(x / scale @ w, -30, 30)))))
+
+
+@pytest.mark.parametrize("held", [1 << 40, 0])
+def test_toxicity_counts_every_ngram(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "HELD", held, raising=False)  # broadcast, and joined
+    for bound in ("MAX_GRAMS", "MAX_CURVE"):  # of an earlier version: no bound on the model or the curve has an effect
+        monkeypatch.setattr(toxicity, bound, 40, raising=False)
+    rows, labels = toxic_corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got == pytest.approx(brute_toxicity(rows, labels), abs=1e-6)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     empty = spark.createDataFrame([], "doc_id long, toxic int")
