@@ -35,12 +35,12 @@ def windowed_counts(stream: DataFrame, time: str, group: str, width: str = "1 ho
     return stream.withWatermark(time, late).groupBy(F.window(time, width), group).agg(F.count("*").alias("events")).select("window.start", "window.end", group, "events")
 
 
-def admitted(times: list[float], rate: float, burst: int, recent: list[float]) -> tuple[list[bool], list[float]]:
-    """Greedy admission: at most `burst` in any burst / rate seconds, and 1 / rate seconds apart once a burst is used."""
+def admitted(times: list[float], rate: float, burst: int, recent: list[float], apart: float = 0.0) -> tuple[list[bool], list[float]]:
+    """Greedy admission: at most `burst` in any burst / rate seconds, each at least `apart` seconds after the last admitted."""
     out, window = [], burst / rate
     for t in times:
         recent = [r for r in recent if r > t - window]
-        ok = len(recent) < burst
+        ok = len(recent) < burst and (not recent or t - recent[-1] >= apart)
         out.append(ok)
         if ok:
             recent.append(t)
@@ -48,24 +48,36 @@ def admitted(times: list[float], rate: float, burst: int, recent: list[float]) -
 
 
 def rate_limited(rows: DataFrame, key: str, time: str, tie: str, rate: float, burst: int) -> DataFrame:
-    """Batch form: rows with `admitted`, decided in order of time within each key. The fold is sequential by nature."""
+    """Batch form: rows with `admitted`, decided in order of time within each key, calls 1 / rate seconds apart.
+
+    The fold is sequential by nature: a partition is sorted and streamed, and only the times admitted within the window
+    are carried from one batch of a key to the next.
+    """
     schema = StructType([*rows.schema.fields, StructField("admitted", BooleanType())])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([time, tie], kind="stable")
-        ok, _ = admitted([t.timestamp() for t in group[time]], rate, burst, [])
-        return group.assign(admitted=ok)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, recent = None, []
+        for batch in batches:
+            ok: list[bool] = []
+            for _, part in batch.groupby((batch[key].ne(batch[key].shift()) & (batch[key].notna() | batch[key].shift().notna())).cumsum(), sort=True):
+                of = part[key].iloc[0]
+                of = None if pd.isna(of) else of
+                if (of,) != last:
+                    last, recent = (of,), []
+                got, recent = admitted([t.timestamp() for t in part[time]], rate, burst, recent, 1 / rate)
+                ok += got
+            yield batch.assign(admitted=ok)
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, time, tie).mapInPandas(run, schema)
 
 
 def rate_limited_stream(stream: DataFrame, key: str, time: str, rate: float, burst: int) -> DataFrame:
-    """Streaming form: state a key is the times admitted within the window; (key, time, admitted) come out."""
+    """Streaming form, by the same rule: state a key is the times admitted within the window; (key, time, admitted) come out."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
         times = sorted(t.timestamp() for b in batches for t in b[time])
-        ok, recent = admitted(times, rate, burst, recent)
+        ok, recent = admitted(times, rate, burst, recent, 1 / rate)
         state.update((recent,))
         yield pd.DataFrame({key: [k[0]] * len(times), "time": pd.to_datetime(times, unit="s"), "admitted": ok})
 

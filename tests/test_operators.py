@@ -207,6 +207,16 @@ def test_admission():
     assert ok == [True, True, True, False, True, True] and len(recent) == 3 or len(recent) == 2
 
 
+def test_admission_keeps_calls_apart(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # a key spans batches
+    try:
+        rows = spark.sql("SELECT id, id % 2 AS k, timestamp_seconds(id * 100) AS ts FROM range(120)")
+        got = {r.id: r.admitted for r in jobs.rate_limited(rows, "k", "ts", "id", 1 / 3600, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {i for i, ok in got.items() if ok} == {0, 1, 36, 37, 72, 73, 108, 109}
+
+
 def test_streamed_attribution_writes_each_file_once(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
