@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,18 @@ _SIGNS = _SPACE.copy()
 _SIGNS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_SMALL = _LOWER.astype(np.uint8)
 _LOWER += 1
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under /tmp where the session names none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/larkspur").rstrip("/")
+    """The folder that driver and executors share. Only a local session may name none: its tables go under /tmp."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "file:///tmp/checkpoints/larkspur").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +72,52 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(max(n, 1), 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
 
 
+def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges start:end, A-Z lowered; empty ranges hash to 0."""
+    out, size = np.zeros(len(start), np.uint64), end - start
+    if not size.all():
+        some = size > 0
+        out[some] = hashed(raw, start[some], end[some])
+        return out
+    power = _powers(int(size.max(initial=0)))
+    done = np.concatenate([[0], np.cumsum(size)])
+    a = 0
+    while a < len(start):  # a few megabytes at a time, as eight bytes are held for each
+        b = max(a + 1, int(np.searchsorted(done, done[a] + _SLICE, "right")) - 1)
+        first = done[a:b] - done[a]
+        within = np.arange(done[b] - done[a]) - np.repeat(first, size[a:b])
+        at = within + np.repeat(start[a:b], size[a:b])
+        out[a:b] = np.add.reduceat(_LOWER[raw[at]] * power[within], first)
+        a = b
+    return mix(out ^ size.astype(np.uint64))
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    return _SMALL[raw]
+
+
+def alike(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray) -> bool:
+    """Whether the byte ranges start:end, A-Z lowered, are those of the same sizes in `other` from `at` on."""
+    size = end - start
+    done, a = np.concatenate([[0], np.cumsum(size)]), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + _SLICE, "right")) - 1)
+        within = np.arange(done[b] - done[a]) - np.repeat(done[a:b] - done[a], size[a:b])
+        one, two = within + np.repeat(start[a:b], size[a:b]), within + np.repeat(at[a:b], size[a:b])
+        if two.max(initial=0) >= len(other) or not np.array_equal(_SMALL[raw[one]], other[two]):
+            return False
+        a = b
+    return True
+
+
+def held(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value among sorted ones, and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
 class Words:
     """The words (runs of other bytes than ASCII white space, A-Z lowered) of a column of texts, hashed to 64 bits.
 
@@ -89,19 +140,10 @@ class Words:
         end = np.flatnonzero(~gap & (after | cut[1:])) + 1
         self.raw, self.start, self.end = raw, start, end
         self.bounds = np.searchsorted(start, off)
-        self.hashes = np.empty(len(start), np.uint64)
-        size = end - start
-        power = _powers(int(size.max(initial=0)))
-        done = np.concatenate([[0], np.cumsum(size)])
-        a = 0
-        while a < len(start):  # a few megabytes at a time, as eight bytes are held for each
-            b = max(a + 1, int(np.searchsorted(done, done[a] + _SLICE, "right")) - 1)
-            first = done[a:b] - done[a]
-            within = np.arange(done[b] - done[a]) - np.repeat(first, size[a:b])
-            at = within + np.repeat(start[a:b], size[a:b])
-            self.hashes[a:b] = np.add.reduceat(_LOWER[raw[at]] * power[within], first)
-            a = b
-        self.hashes = mix(self.hashes ^ size.astype(np.uint64))
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return hashed(self.raw, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.bounds) - 1

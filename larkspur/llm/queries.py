@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import embedding_dedup, fixity, line_dedup, mixing, ngram_join, packing, sharding, topk_search, toxicity, url_filter
+from larkspur.llm.common import written
 
 #: Host, path prefix and verdict of the URL rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -32,8 +33,6 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The replica is the archive itself with planted damage: some records rotted in place, some lost.
     """
-    from larkspur.llm.common import written
-
     pages = _table(spark, sf_dir, "pages")
     first = written(fixity.laid_out(pages, F.floor(F.col("page_id") / VOLUME), ["page_id"], ["url", "html"]), "archive")
     rotted = F.when(F.pmod("page_id", F.lit(DAMAGED[0])) == DAMAGED[1], F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
@@ -71,8 +70,10 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece with its place, and the number of sequences with the least that is proven possible (a gap is not hidden)."""
     pieces = packing.tokenised(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    packed = written(packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))), "packed")
+    return packed.join(F.broadcast(packing.certificate(packed)), how="left")  # one row
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
