@@ -268,4 +268,4 @@ def certificate(packed: DataFrame, capacity: int = 2048) -> DataFrame:
 
     lengths = packed.groupBy("length").agg(F.count("*").alias("n"))  # a row a length, capacity rows at most
     bins = packed.agg(F.count_distinct("sequence_id").alias("bins"))
-    return lengths.crossJoin(F.broadcast(bins)).groupBy(F.lit(0)).applyInPandas(bounded, "bins long, bound long")
+    return lengths.crossJoin(F.broadcast(bins)).groupBy("bins").applyInPandas(bounded, "bins long, bound long")
