@@ -3,8 +3,8 @@
 A line's key is the line stripped of ASCII white space with A-Z lowered; keys shorter than `MIN_CHARS` code points never
 count. State, all of it tables sharded by key: `holders` (which document holds which key, exact), `counts` (per key the
 number of documents and the smallest id) and one cuckoo filter a shard, which holds the fingerprints of the keys with two
-documents or more. `insert` and `delete` move only keys whose count crosses two into or out of the filters, so deleting
-documents restores the state before them. A probe of the filter sorts out lines that are surely unshared; possible hits
+documents or more. `insert` and `delete` write only what they touch: rows of the new documents, counts of their keys, and
+filters of shards where a key's count crosses two; deleting documents restores the state before them. A probe of the filter sorts out lines that are surely unshared; possible hits
 are settled by an exact join with the counts, so a false positive never drops a line.
 
 Defined cases: a null or empty text is one empty line and stays; rows with a null id are left out; repeated rows of an id
@@ -25,12 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from larkspur.llm.common import written
+from larkspur.llm.common import slices, written
 
 MIN_CHARS = 10
 #: Keys that a shard's filter should hold, and lines that one probing task takes.
 _SHARD = 32_768
 _PROBE = 8_192
+#: Bytes of all filters up to which they are broadcast to the lines, bytes of text taken at once, and updates of a state
+#: between two rewrites of its tables.
+_FILTERS = 32 << 20
+_TEXTS = 2 << 20
+_UPDATES = 8
 _SLOTS = 4
 _KICKS = 500
 
@@ -49,7 +54,7 @@ def _digest(key: bytes) -> bytes:
 
 def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, _TEXTS)):
             docs, found = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys = {_digest(k) for line in (text or "").encode().split(b"\n") if _long_enough(k := line_key(line), least)}
@@ -144,12 +149,31 @@ def _probe(key: tuple, filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFram
     return rows[["doc_id", "hi", "lo"]]
 
 
+def _probed(filters):
+    """Rows (doc_id, hi, lo, shard) that a broadcast filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = {shard: CuckooFilter.read(blob) for shard, blob in filters.value.items()}
+        for batch in batches:
+            hi, shard = (batch.column(c).to_numpy() for c in (1, 3))
+            order = np.argsort(shard, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(order) else np.empty(0, np.int64)
+            hit = np.zeros(len(hi), bool)
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+                if (f := read.get(int(shard[order[a]]))) is not None:
+                    hit[order[a:b]] = f.holds(hi[order[a:b]])
+            yield batch.filter(pa.array(hit)).select([0, 1, 2])
+
+    return run
+
+
 @dataclass
 class LineState:
     shards: int
     holders: DataFrame  # doc_id, hi, lo, shard
     counts: DataFrame  # hi, lo, shard, docs, first
     filters: DataFrame  # shard, filter
+    updates: int = 0  # since the tables were last written whole
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -160,9 +184,7 @@ def _count(holders: DataFrame) -> DataFrame:
     return holders.groupBy("hi", "lo", "shard").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> LineState:
-    """The state of a corpus loaded at once."""
-    held = written(_texts(docs, id_col, text_col).mapInArrow(_lines(min_chars), "doc_id long, hi long, lo long").distinct(), "holders")
+def _stated(held: DataFrame) -> LineState:
     plain = written(held.groupBy("hi", "lo").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")), "counts")
     shards = max(1, -(-plain.where("docs > 1").count() // _SHARD))
     shard = F.pmod(F.col("lo"), F.lit(shards)).cast("int").alias("shard")
@@ -171,19 +193,33 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     return LineState(shards, held.select("doc_id", "hi", "lo", shard), counts, filters)
 
 
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> LineState:
+    """The state of a corpus loaded at once."""
+    return _stated(written(_texts(docs, id_col, text_col).mapInArrow(_lines(min_chars), "doc_id long, hi long, lo long").distinct(), "holders"))
+
+
 def _moved(state: LineState, holders: DataFrame, touched: DataFrame) -> LineState:
-    """The state with new holders; counts are made anew for touched keys only, and filters changed in place."""
-    holders = written(holders, "holders")
-    fresh = _count(holders.join(touched, ["hi", "lo"], "left_semi"))
-    counts = written(state.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(fresh), "counts")
-    before, after = state.counts.where("docs > 1").select("hi", "lo", "shard"), counts.where("docs > 1").select("hi", "lo", "shard")
-    came = after.join(before, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(1))
-    went = before.join(after, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(-1))
-    change = came.unionByName(went)
-    changed = written(state.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(_change, "shard int, filter binary"), "filters")
+    """The state with new holders. Only counts of touched keys and filters of shards where one crossed two are written; the
+    rest is read from the tables before, until `_UPDATES` updates have come and all is written anew."""
+    before, fresh = written(state.counts.join(touched, ["hi", "lo"], "left_semi"), "before"), written(_count(holders.join(touched, ["hi", "lo"], "left_semi")), "counts")
+    was, now = before.where("docs > 1").select("hi", "lo", "shard"), fresh.where("docs > 1").select("hi", "lo", "shard")
+    came = now.join(was, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(1))
+    went = was.join(now, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(-1))
+    change = written(came.unionByName(went), "change")
+    shards = change.select("shard").distinct()
+    counts = state.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(fresh)
+    changed = written(state.filters.join(shards, "shard", "left_semi").groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(_change, "shard int, filter binary"), "filters")
     full = changed.where("filter is null").select("shard")
     refilled = counts.where("docs > 1").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build, "shard int, filter binary")
-    return LineState(state.shards, holders, counts, written(changed.where("filter is not null").unionByName(refilled), "filters"))
+    changed = written(changed.where("filter is not null").unionByName(refilled), "filters")
+    filters = state.filters.join(shards, "shard", "left_anti").unionByName(changed)
+    moved = LineState(state.shards, holders, counts, filters, state.updates + 1)
+    return compacted(moved) if moved.updates >= _UPDATES else moved
+
+
+def compacted(state: LineState) -> LineState:
+    """The same state as whole tables, with a number of shards that fits it."""
+    return _stated(written(state.holders.select("doc_id", "hi", "lo"), "holders"))
 
 
 def insert(state: LineState, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> LineState:
@@ -195,29 +231,36 @@ def insert(state: LineState, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def delete(state: LineState, ids: DataFrame, id_col: str = "doc_id") -> LineState:
     """The state after documents went, as if they had never been inserted."""
-    gone = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    gone = written(ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "gone")
     touched = written(state.holders.join(gone, "doc_id", "left_semi").select("hi", "lo").distinct(), "touched")
     return _moved(state, state.holders.join(gone, "doc_id", "left_anti"), touched)
 
 
-def lost_lines(state: LineState) -> DataFrame:
-    """(doc_id, hi, lo): keys whose lines a document loses, as a smaller id holds them too.
-
-    Holders are probed in chunks, so a key that a third of the corpus holds spreads over tasks; the exact join reads
-    written tables, whose skewed keys adaptive execution splits.
-    """
+def _hits(state: LineState) -> DataFrame:
+    """(doc_id, hi, lo) that the filters may hold. Filters of up to `_FILTERS` bytes (summed) are broadcast, so that no row
+    moves; beyond, holders meet their shard's filter in chunks, so a key that a third of the corpus holds spreads."""
+    if (state.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= _FILTERS:
+        filters = state.holders.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in state.filters.collect()})
+        return state.holders.select("doc_id", "hi", "lo", "shard").mapInArrow(_probed(filters), "doc_id long, hi long, lo long")
     chunks = state.holders.groupBy("shard").agg(F.ceil(F.count("*") / _PROBE).cast("int").alias("chunks"))
     chunks = written(chunks.join(state.filters, "shard"), "chunks")
     filters = chunks.select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "filter")
     rows = state.holders.join(chunks.select("shard", "chunks"), "shard").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "hi"), F.col("chunks")).cast("int")).select("shard", "chunk", "doc_id", "hi", "lo")
-    hits = written(filters.groupBy("shard", "chunk").cogroup(rows.groupBy("shard", "chunk")).applyInPandas(_probe, "doc_id long, hi long, lo long"), "hits")
-    shared = written(state.counts.where("docs > 1").select("hi", "lo", "first"), "shared")
-    return hits.join(shared, ["hi", "lo"]).where("doc_id <> first").select("doc_id", "hi", "lo")
+    return filters.groupBy("shard", "chunk").cogroup(rows.groupBy("shard", "chunk")).applyInPandas(_probe, "doc_id long, hi long, lo long")
+
+
+def lost_lines(state: LineState) -> DataFrame:
+    """(doc_id, hi, lo): keys whose lines a document loses, as a smaller id holds them too.
+
+    The exact join reads written tables, whose skewed keys adaptive execution splits.
+    """
+    shared = state.counts.where("docs > 1").select("hi", "lo", "first")
+    return written(_hits(state), "hits").join(shared, ["hi", "lo"]).where("doc_id <> first").select("doc_id", "hi", "lo")
 
 
 def _kept(at: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at, _TEXTS)):
             kept, lines, dropped = [], [], []
             for text, lost in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 parts = (text or "").encode().split(b"\n")
@@ -246,6 +289,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.where(F.col(id_col).isNotNull())
     state = state or build(docs, id_col, text_col, min_chars)
     lost = _packed(lost_lines(state))
-    joined = docs.join(written(lost, "lost"), F.col(id_col).cast("long") == F.col("lost_id__"), "left").select(*docs.columns, "lost__")
+    joined = docs.join(lost, F.col(id_col).cast("long") == F.col("lost_id__"), "left").select(*docs.columns, "lost__")
     schema = StructType([*docs.schema.fields, StructField("kept__", StringType()), StructField("n_lines__", LongType()), StructField("n_dropped__", LongType())])
     return joined.mapInArrow(_kept(docs.columns.index(text_col), min_chars), schema)

@@ -109,7 +109,9 @@ def brute_lines(rows):
     return {i: "\n".join(s for s in (text or "").split("\n") if first.get(key(s), i) == i) for i, text, *_ in rows}
 
 
-def test_line_dedup(docs, none):
+@pytest.mark.parametrize("held", [32 << 20, 0])
+def test_line_dedup(docs, none, monkeypatch, held):
+    monkeypatch.setattr(line_dedup, "_FILTERS", held)  # broadcast, and joined in chunks
     out = line_dedup.dedup_lines(docs)
     want = brute_lines(corpus())
     rows = out.collect()
@@ -129,6 +131,8 @@ def test_line_dedup_is_reversible(docs):
     assert rows(grown.counts) == rows(everything.counts) and lost(grown) == lost(everything)
     back = line_dedup.delete(grown, new)
     assert rows(back.counts) == rows(state.counts) and lost(back) == lost(state)
+    tight = line_dedup.compacted(back)
+    assert rows(tight.counts) == rows(state.counts) and lost(tight) == lost(state) and tight.updates == 0
 
 
 def test_cuckoo_filter():
@@ -158,6 +162,10 @@ def test_packing(docs, none):
     for _, s in out.sort_values("offset").groupby("sequence_id"):
         assert s.offset.tolist() == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 256
     assert out.sequence_id.nunique() <= packing.lower_bound(out.length.to_numpy(), 256) + 1
+    proof = packing.certificate(packing.pack(pieces, 256), 256).collect()
+    assert [tuple(r) for r in proof] == [(out.sequence_id.nunique(), packing.lower_bound(out.length.to_numpy(), 256))]
+    clash = packing.pack(pieces.withColumns({"row": F.lit("a"), "offset": F.lit("b"), "sequence_id": F.lit("c")}), 256)
+    assert clash.columns == [*pieces.columns, "row", "sequence_id", "offset"] and clash.where("row = 'a'").count() == len(out)
     assert packing.pack(packing.tokenised(none, TOKENIZER), 2048).count() == 0
 
 
