@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeated rows and
 columns that other tables have too."""
 
+import hashlib
 import random
 import zlib
 
@@ -312,23 +313,44 @@ def test_sharding(docs, none):
     assert key(out) == key(again) and sharding.interleaved(none.select("doc_id", "source")).count() == 0
 
 
+def brute_shards(rows, shards, seed):
+    by = {}
+    for i, source in rows:
+        h = hashlib.md5(f"{i}|{seed}".encode()).hexdigest()
+        by.setdefault(source, []).append((h, i))
+    order = sorted(((2 * k + 1) / (2 * len(v)), source or "", h, i) for source, v in by.items() for k, (h, i) in enumerate(sorted(v)))
+    cut = [at * shards // len(order) for at in range(len(order))]
+    return sorted((i, s, at - cut.index(s)) for at, ((_, _, _, i), s) in enumerate(zip(order, cut)))
+
+
+def test_sharding_against_plain_sorting(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "_BUCKET", 7)
+    rows = docs.select("doc_id", "source").withColumns({c: F.lit(777) for c in ("before", "rank", "shard", "slot", "n", "total", "bucket")})
+    out = sharding.interleaved(rows, 8, 5)
+    assert out.columns == [*(c for c in rows.columns if c not in ("shard", "slot")), "shard", "slot"] and out.where("rank = 777 AND before = 777").count() == len(corpus())
+    assert sorted((r.doc_id, r.shard, r.slot) for r in out.collect()) == brute_shards([(r.doc_id, r.source) for r in docs.collect()], 8, 5)
+
+
 def test_raking_meets_margins(spark, none):
     r = random.Random(2)
     cells = spark.createDataFrame([(a, b, r.randint(1, 1000)) for a in "xyz" for b in "pq"], "a string, b string, tokens long")
     targets = {"a": {"x": 0.5, "y": 0.3, "z": 0.2}, "b": {"p": 0.6, "q": 0.4}}
-    fit = mixing.raked(cells, targets, 40).toPandas()
+    fit = mixing.raked(cells, targets).toPandas()
+    assert fit.residual.max() <= mixing.TOLERANCE
+    torn = spark.createDataFrame([("x", "p", 5), ("y", "q", 7)], "a string, b string, tokens long")  # no weights meet these
+    assert mixing.raked(torn, {"a": {"x": 0.5, "y": 0.5}, "b": {"p": 0.9, "q": 0.1}}).toPandas().residual.max() > 0.1
     mass = fit.tokens * fit.probability
     for d, goal in targets.items():
         for k, v in goal.items():
             assert mass[fit[d] == k].sum() / mass.sum() == pytest.approx(v, abs=1e-6)
     assert fit.probability.max() == pytest.approx(1)
-    assert mixing.mixture(none.withColumn("topic", F.lit(None).cast("string")), queries.TARGETS, rounds=2).count() == 0
+    assert mixing.mixture(none.withColumn("topic", F.lit(None).cast("string")), queries.TARGETS).count() == 0
 
 
 def test_mixture_keeps_rows_and_clashing_columns(docs):
     rows = docs.withColumn("topic", F.lit("1"))
-    out = mixing.mixture(rows, queries.TARGETS, rounds=5)
-    assert out.count() == len(corpus()) and out.columns[: len(rows.columns)] == rows.columns
+    out = mixing.mixture(rows.withColumn("probability", F.lit(1)), queries.TARGETS)
+    assert out.count() == len(corpus()) and out.columns[: len(rows.columns)] == rows.columns and out.where("probability = 1").count() == len(corpus())
     assert out.where("doc_id = 93 AND n_tokens__ <> 2").count() == 0
 
 
