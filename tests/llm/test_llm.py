@@ -227,9 +227,11 @@ def usable(v):
 
 
 def test_embedding_dedup(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "_BLOCK", 32)
-    monkeypatch.setattr(embedding_dedup, "_LEAF", 8)
+    for name, n in (("_BLOCK", 16), ("_LEAF", 8), ("_FAN", 2), ("_TILE", 3)):
+        monkeypatch.setattr(embedding_dedup, name, n)
     rows, df = vectors(spark)
+    twice = embedding_dedup.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (1, [2.0, 1.0], 1), (2, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int"), cosine=0.97)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in twice.collect()) == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, cosine=0.97).collect()}
     f32 = {i: np.array(v, np.float32).astype(float) for i, v, label in rows if label is not None and usable(v) and any(v)}
     label, links = {i: x for i, _, x in rows}, {i: set() for i, *_ in rows}
