@@ -266,6 +266,19 @@ def test_topk(spark, monkeypatch):
     assert set(got) == {i for i in x if i % 20 == 3 or i == 405}
 
 
+def test_topk_stops_early(spark):
+    r = np.random.default_rng(1)
+    weight = 0.5 ** np.arange(6)  # components that matter less and less
+    x = np.floor(r.normal(size=(6000, 6)) * weight * 1024).astype(int)
+    rows = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "vec_id long, x array<long>").repartition(4)
+    asked = rows.where("vec_id % 500 = 0")
+    scored = topk_search.searched(rows, asked, 10).agg(F.sum("scored")).first()[0]
+    assert 0 < scored < 0.5 * 12 * 6000
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(rows, asked, 10).collect())
+    want = [(i, k + 1, j, s) for i in range(0, 6000, 500) for k, (j, s) in enumerate(sorted(((j, int(x[i] @ x[j])) for j in range(6000) if j != i), key=lambda p: (-p[1], p[0]))[:10])]
+    assert got == want
+
+
 def test_url_filter(spark):
     urls = ["http://A.Net/x?q#f", "https://example.net/en/a", "http://m.example.net/en", "ftp://x.example.com/de/1#t", "http://b.org/fr/", "http://b.org/de/", "nothing", None, "", "http://a.net", "://net/", "http://listed.io/p/", "http://www.listed.io/p", "http://net.org/", "http://xexample.com/de/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("key", F.lit("clash"))
