@@ -79,6 +79,12 @@ class _Lists:
                 places, scores = places[top], scores[top]
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as hold them all, led by that number."""
+    width = next(w for w in (1, 2, 4, 8) if not x.size or (x.min() >= -(1 << 8 * w - 1) and x.max() < 1 << 8 * w - 1))
+    return bytes([width]) + x.astype(f"<i{width}").tobytes()
+
+
 def _blocks(most: int):
     """Rows (id, x) packed into blocks of at most `most`: ids and components as bytes."""
 
@@ -87,14 +93,14 @@ def _blocks(most: int):
             for a in range(0, batch.num_rows, most):
                 part = batch.slice(a, most)
                 x = part.column(1).flatten().to_numpy().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["ids", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([_bytes(x)], pa.binary())], ["ids", "x"])
 
     return run
 
 
 def _read(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = np.concatenate([np.frombuffer(b, np.int64) for b in rows["ids"]])
-    return ids, np.concatenate([np.frombuffer(b, np.int64) for b in rows["x"]]).reshape(len(ids), -1)
+    return ids, np.concatenate([np.frombuffer(b, f"<i{b[0]}", offset=1) for b in rows["x"]]).reshape(len(ids), -1).astype(np.int64)
 
 
 def _floors(heads: tuple[np.ndarray, np.ndarray], k: int):
@@ -127,7 +133,7 @@ def _headed(most: int):
                 keep = np.unique(np.concatenate([order[:most].ravel(), order[max(0, n - most) :].ravel()]))
                 ids, x = ids[keep], x[keep]
         if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["ids", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([_bytes(x)], pa.binary())], ["ids", "x"])
 
     return run
 
