@@ -36,6 +36,8 @@ _LEAF = 24
 _ROW = 4096
 #: Postings that one candidate bucket should hold.
 _BUCKET = 500_000
+#: Postings of one shingle beyond which they do not go to its bucket but stay rows of their own.
+_HOT = _BUCKET // 8
 #: Low bits of a class key that hold the size of its set.
 _SIZE = (1 << 20) - 1
 #: Candidate documents up to which their ids (24 bytes each) are broadcast.
@@ -92,18 +94,53 @@ def _postings(k: int, num: int, den: int, buckets: int):
     return run
 
 
+def _often(least: int):
+    """(bucket, gram, sets) of shingles that `least` distinct sets of one batch share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+                gram, n = np.unique(np.frombuffer(grams.as_buffer(), np.uint32), return_counts=True)
+                gram, n = gram[n >= least], n[n >= least]
+                if len(gram):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), bucket, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["bucket", "gram", "sets"])
+
+    return run
+
+
+def _gram(bucket: int, gram: np.ndarray) -> np.ndarray:
+    return (np.int64(bucket) << np.int64(32)) | gram.astype(np.int64)
+
+
+def _without_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, grams, keys, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            gram, key = np.frombuffer(grams.as_buffer(), np.uint32), np.frombuffer(keys.as_buffer(), np.int64)
+            stay = ~np.isin(gram, hot or [])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([gram[stay].tobytes()], pa.binary()), pa.array([key[stay].tobytes()], pa.binary())], ["bucket", "grams", "keys"])
+
+
+def _only_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, grams, keys, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            gram, key = np.frombuffer(grams.as_buffer(), np.uint32), np.frombuffer(keys.as_buffer(), np.int64)
+            own = np.isin(gram, hot)
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(_gram(bucket, gram[own]))], ["key", "gram"])
+
+
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """The postings of one bucket whose shingle is in two distinct sets at least, with the number of sets."""
     gram = np.frombuffer(b"".join(rows["grams"]), np.uint32)
     key = np.frombuffer(b"".join(rows["keys"]), np.int64)
     order = np.lexsort((key, gram))
     gram, key = gram[order], key[order]
-    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])])
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])
     gram, key = gram[new], key[new]
     _, at, df = np.unique(gram, return_inverse=True, return_counts=True)
     df = df[at]
     keep = df > 1
-    return pd.DataFrame({"key": key[keep], "gram": (np.int64(rows["bucket"].iloc[0]) << np.int64(32)) | gram[keep].astype(np.int64), "df": df[keep].astype(np.int64)})
+    return pd.DataFrame({"key": key[keep], "gram": _gram(rows["bucket"].iloc[0], gram[keep]), "df": df[keep].astype(np.int64)})
 
 
 def candidate_regions(texts: DataFrame, k: int, num: int, den: int, postings: int) -> DataFrame:
@@ -113,10 +150,18 @@ def candidate_regions(texts: DataFrame, k: int, num: int, den: int, postings: in
     their n - need(n) + l(n) smallest hashes. A set with fewer shared ones there has no partner. The others share one at
     least among their rarest count - l + 1 of those (rarity counted over the whole corpus); sets joined by such a
     shingle, and by chains of them, form a region.
+
+    Postings meet in buckets of hashes, but those of a shingle that more than `_HOT` sets hold (found by counts within
+    batches first) stay rows; such shingles count as equally frequent, which is a rarity that all sets see alike.
     """
     buckets = max(64, -(-postings // _BUCKET))
-    blobs = texts.select("text").mapInArrow(_postings(k, num, den, buckets), "bucket int, grams binary, keys binary")
-    shared = blobs.groupBy("bucket").applyInPandas(_shared, "key long, gram long, df long")
+    blobs = written(texts.select("text").mapInArrow(_postings(k, num, den, buckets), "bucket int, grams binary, keys binary"), "blobs")
+    batches = (blobs.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0) + 1
+    often = blobs.select("bucket", "grams").mapInArrow(_often(max(2, _HOT // (4 * batches))), "bucket int, gram long, sets long")
+    hot = written(often.groupBy("bucket", "gram").agg(F.sum("sets").alias("sets")).where(F.col("sets") > 0.75 * _HOT).groupBy("bucket").agg(F.collect_list("gram").alias("hot")), "hot")
+    light = blobs.join(small(hot, _BROADCAST), "bucket", "left").select("bucket", "grams", "keys", "hot").mapInArrow(_without_hot, "bucket int, grams binary, keys binary")
+    heavy = blobs.join(small(hot, _BROADCAST), "bucket").select("bucket", "grams", "keys", "hot").mapInArrow(_only_hot, "key long, gram long").distinct()
+    shared = light.groupBy("bucket").applyInPandas(_shared, "key long, gram long, df long").unionByName(heavy.withColumn("df", F.lit(1 << 40)))
     size = F.col("key").bitwiseAND(_SIZE)
     least = F.expr(f"cast(ceil((key & {_SIZE}) * {num} / {den}) as long)")
     extra = lambda n: F.greatest(F.lit(1), F.floor(n * (den - num) / den))

@@ -64,10 +64,11 @@ def brute_components(rows, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("region", [192, 3])
+@pytest.mark.parametrize("region,hot", [(192, 62_500), (3, 2)])
 @pytest.mark.parametrize("k,num", [(4, 85), (5, 80), (2, 50)])
-def test_ngram_join_is_exact(docs, monkeypatch, k, num, region):
-    monkeypatch.setattr(ngram_join, "REGION", region)  # also by the path of large regions
+def test_ngram_join_is_exact(docs, monkeypatch, k, num, region, hot):
+    monkeypatch.setattr(ngram_join, "REGION", region)  # also by the path of large regions,
+    monkeypatch.setattr(ngram_join, "_HOT", hot)  # and with shingles that count as hot
     found = ngram_join.ngram_components(docs, words=k, num=num, den=100).collect()
     want = brute_components(corpus(), k, num, 100)
     assert len(found) == len(corpus())
