@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from larkspur.functions import vector
 from larkspur.functions.text import name_variants
 
-#: Pattern, type and confidence of entities in text.
+#: Pattern, type and confidence of entities in text.
 ENTITY_PATTERNS = [
-    (r"(?<!\w)([A-Z][a-z]+ [A-Z][a-z]+)(?!\w)", "PERSON", 0.7),
-    (r"(?<!\w)([A-Z][A-Za-z]+ (?:Inc|Corp|Ltd|LLC|Company|University))(?!\w)", "ORGANIZATION", 0.75),
-    (r"(?<!\w)((?:Python|Java|JavaScript|SQL|HTTP|JSON|API|Linux))(?!\w)", "TECHNOLOGY", 0.85),
-    (r'"([^"]{3,60})"', "CONCEPT", 0.65),
+    (r"([A-Z][a-z]+ [A-Z][a-z]+)", "PERSON", 0.7),
+    (r"((?:[A-Z][a-zA-Z]+ (?:Inc\.|Corp\.|LLC|Company|Association|University|Institute))|(?:[A-Z][A-Za-z]+ [A-Z][A-Za-z]+ (?:Inc\.|Corp\.|LLC|Company|Association)))", "ORGANIZATION", 0.75),
+    (r"(?i)([a-z][a-z]+ (?:algorithm|framework|method|technique|system|process|model|architecture))", "CONCEPT", 0.65),
+    (r"\b(Python|JavaScript|TypeScript|Java|Ruby|Go|ArangoDB|MongoDB|MySQL|PostgreSQL|AWS|Azure|Docker|Kubernetes)\b", "TECHNOLOGY", 0.85),
 ]
-#: Pattern of the target, type and confidence of relations in text.
+#: A run of words and white space, taken from its first word on: no later start can match where that one does not, so each
+#: run is tried once.
+_RUN = r"(?<![\w\s])\s*+(\w[\w\s]+)"
+_WORDS = r"(\w[\w\s]+)"
+#: Pattern, type, confidence, and the groups of source and target (0: the row's own name) of relations.
 RELATION_PATTERNS = [
-    (r"(?i)(?:see|refer to|according to) ([A-Za-z][\w ]{2,40})", "REFERENCES", 0.85),
-    (r"\[([^\]]{2,60})\]", "REFERENCES", 0.9),
-    (r"(?i)(?:requires|depends on|builds on) ([A-Za-z][\w ]{2,40})", "PREREQUISITE", 0.85),
-    (r"(?i)(?:causes|leads to|results in) ([A-Za-z][\w ]{2,40})", "CAUSAL", 0.8),
+    (_RUN + r"\s(?:refers to|references|mentions|cites)\s" + _WORDS, "REFERENCES", 0.9, 1, 2),
+    (r"as\smentioned\sin\s['\"]?" + _WORDS + r"['\"]?", "REFERENCES", 0.85, 0, 1),
+    (r"according\s+to\s+(?:the\s+)?(['\"]?[\w\s]+[\w]['\"]?)", "REFERENCES", 0.85, 0, 1),
+    (r"[\[(]((?<=\[)[^\]]+(?=\])|(?<=\()[^)]+(?=\)))[\])]", "REFERENCES", 0.9, 0, 1),
+    (_RUN + r"\s(?:requires|needs|depends on)\s" + _WORDS, "PREREQUISITE", 0.85, 2, 1),
+    (r"before\s(?:using|understanding)\s" + _WORDS + r",\s(?:you|one)\s(?:should|must|needs to)\s(?:know|understand)\s" + _WORDS, "PREREQUISITE", 0.85, 2, 1),
+    (_RUN + r"\sis\s(?:essential|necessary|required)\sfor\s" + _WORDS, "PREREQUISITE", 0.85, 2, 1),
+    (_RUN + r"\s(?:causes|results in|leads to|triggers)\s" + _WORDS, "CAUSAL", 0.8, 1, 2),
+    (r"(?:due to|because of|as a result of)\s" + _WORDS + r",\s" + _WORDS, "CAUSAL", 0.8, 1, 2),
+    (r"if\s" + _WORDS + r",\sthen\s" + _WORDS, "CAUSAL", 0.8, 1, 2),
 ]
 
 
@@ -33,16 +43,32 @@ def _as_hit(name: str, kind: str, confidence: float):
     return lambda x: F.struct(F.trim(x).alias(name), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))
 
 
+def _as_relation(kind: str, confidence: float):
+    return lambda s, t: F.struct(s.alias("source"), t.alias("target"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))
+
+
 def entities(rows: DataFrame, key: str, text: str, patterns: list[tuple[str, str, float]] = ENTITY_PATTERNS) -> DataFrame:
     """(key, name, type, confidence): each name once a row, as its most confident type."""
     found = _found(rows, key, text, patterns, "name")
     return found.groupBy(key, "name").agg(F.min_by("type", F.struct(-F.col("confidence"), "type")).alias("type"), F.max("confidence").alias("confidence"))
 
 
-def relations(rows: DataFrame, key: str, text: str, floor: float = 0.0, most: int = 10, patterns: list[tuple[str, str, float]] = RELATION_PATTERNS) -> DataFrame:
-    found = _found(rows, key, text, patterns, "target").where((F.col("confidence") >= floor) & (F.col("target") != "")).distinct()
-    w = Window.partitionBy(key).orderBy(F.desc("confidence"), "type", "target")
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+def relations(rows: DataFrame, key: str, text: str, floor: float = 0.7, most: int = 10, patterns: list[tuple[str, str, float, int, int]] = RELATION_PATTERNS, name: str | None = None) -> DataFrame:
+    """(key, source, target, type, confidence): the first `most` relations of each text in the order of patterns and places.
+
+    Where a pattern names one side only, the other is the row's own name (`name`); without it such relations are left out.
+    """
+    own, value = F.col(name).cast("string") if name else F.lit(None).cast("string"), F.coalesce(F.col(text), F.lit(""))
+    hits = []
+    for p, kind, confidence, source, target in patterns:
+        if confidence < floor:
+            continue
+        side = lambda g, p=p: F.transform(F.regexp_extract_all(value, F.lit(f"(?iU){p}"), F.lit(g)), lambda x: F.trim(x))
+        there = side(target)
+        sources = side(source) if source else F.transform(there, lambda x: own)
+        hits.append(F.zip_with(sources, there, _as_relation(kind, confidence)))
+    found = F.filter(F.flatten(F.array(*hits)), lambda h: h["source"].isNotNull())
+    return rows.select(key, F.explode(F.slice(found, 1, most)).alias("m")).select(key, "m.*")
 
 
 def exact_matches(new: DataFrame, known: DataFrame, new_key: str, known_key: str, name: str = "name") -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import partial_ratio_udf
 
-#: Weight of a question type in a knowledge edge.
-TYPE_WEIGHTS = {"factual": 1.0, "relationship": 0.9, "multi_hop": 0.8, "hierarchical": 0.85, "comparative": 0.75, "reversal": 0.7}
+#: Weight of a question type in a knowledge edge.
+TYPE_WEIGHTS = {"FACTUAL": 0.9, "RELATIONSHIP": 0.8, "MULTI_HOP": 0.6, "HIERARCHICAL": 0.7, "COMPARATIVE": 0.7, "REVERSAL": 0.5}
 
 
 def segments(answer: Column, least: int = 20, head: int = 50, first: int = 100) -> Column:
     """The heads of sentences of at least `least` characters, and the start of the first sentence."""
-    parts = F.filter(F.transform(F.split(answer, r"\. "), F.trim), lambda s: F.length(s) >= least)
+    parts = F.filter(F.transform(F.split(answer, r"\. "), lambda x: F.trim(x)), lambda s: F.length(s) >= least)
     heads = F.transform(parts, lambda s: F.substring(s, 1, head))
     start = F.substring(F.element_at(F.split(answer, r"\. "), 1), 1, first)
     return F.array_distinct(F.filter(F.array_append(heads, start), lambda s: F.length(s) > 0))
@@ -34,6 +34,25 @@ def citation_scores(pairs: DataFrame, blocks: DataFrame, key: str, answer: str,
     return scored.where(F.col("score") >= floor).groupBy(key).agg(F.max("score").alias("score"), F.min_by("segment", F.struct(-F.col("score"), "segment")).alias("segment"))
 
 
+def quoted(segments: DataFrame, texts: DataFrame, segment: str, key: str, text: str) -> DataFrame:
+    """segments' rows that some text (key, text) holds word for word.
+
+    The second and third word of a segment stand whole in a text that holds it, so an equi-join on such pairs of words
+    finds the texts to compare in full; segments of fewer than four words, a stated few, are looked for in every text.
+    """
+    words = F.split(F.col(segment), " ", -1)
+    pair = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))
+    long = segments.where(F.size(words) > 3).withColumn("pair__", pair(words, F.lit(1)))
+    short = segments.where(F.size(words) <= 3)
+    spoken = texts.select(F.col(key).alias("key__"), F.split(F.col(text), " ", -1).alias("w")).where(F.size("w") > 1)
+    spoken = spoken.select("key__", F.explode(F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))).alias("pair__"))
+    near = long.join(spoken.join(long.select("pair__").distinct(), "pair__", "left_semi"), "pair__")
+    found = near.join(texts.select(F.col(key).alias("key__"), F.col(text).alias("text__")), "key__").where(F.col("text__").contains(F.col(segment))).select(segments.columns)
+    if short.isEmpty():
+        return found
+    return found.unionByName(texts.join(short, F.col(text).contains(F.col(segment))).select(segments.columns))
+
+
 def citation_status(score: Column, threshold: float = 97.0) -> Column:
     return F.when(score >= threshold, "validated").when(score >= 85.0, "partial").otherwise("failed")
 
@@ -89,9 +108,13 @@ def weight(question_type: Column, confidence: Column) -> Column:
     return F.coalesce(F.element_at(table, question_type), F.lit(0.5)) * confidence
 
 
-def context_confidence(base: Column, evidence: Column, cited: Column) -> Column:
-    """base + 0.1 min(evidence / 3, 1), 0.05 up or down for a citation, within 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + 0.1 * F.least(evidence / 3, F.lit(1.0)) + F.when(cited, 0.05).otherwise(-0.05)))
+def context_confidence(base: Column, evidence: Column, cited: Column, in_section: Column | None = None) -> Column:
+    """How well an answer is grounded: base (0.7 if unknown) + 0.1 min(evidence / 3, 1), 0.15 up for a citation that was
+    found and 0.2 down for one that was not (unchanged if unknown), 0.05 up in its own section; within 0 and 1."""
+    known = F.coalesce(base, F.lit(0.7)) + F.coalesce(0.1 * F.least(evidence / 3, F.lit(1.0)), F.lit(0.0))
+    found = F.when(cited, 0.15).when(~cited, -0.2).otherwise(0.0)
+    section = F.when(in_section, 0.05).otherwise(0.0) if in_section is not None else F.lit(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), known + found + section))
 
 
 def edges(pairs: DataFrame, entities: DataFrame, key: str, confidence: str, approve: float = 0.7) -> DataFrame:

@@ -172,8 +172,14 @@ def reranked(rows: DataFrame, rerank: Column, n: int, key: str, strategy: str =
     return rows.withColumn("rerank_score", rerank).withColumn("final_score", new).orderBy(F.desc("final_score"), key).limit(n)
 
 
-#: Words that tell kinds of questions apart, tried in this order after tags and graph words.
-_KINDS = [("tag", ["tag:", "#"]), ("graph", ["related", "connected", "relationship", "linked"]), ("factual", ["what", "when", "where", "who"]), ("conceptual", ["how", "why", "explain"]), ("recent", ["recent", "latest", "today"])]
+#: Words that tell kinds of questions apart, tried in this order after tags and graph words.
+_KINDS = [
+    ("tag", ["tag:", "#"]),
+    ("graph", ["related", "connected", "linked", "graph"]),
+    ("factual", ["what", "when", "where", "how many", "how much"]),
+    ("conceptual", ["why", "explain", "understand", "theory"]),
+    ("recent", ["recent", "latest", "today", "yesterday", "last"]),
+]
 
 
 def route(query: Column) -> Column:
@@ -182,7 +188,7 @@ def route(query: Column) -> Column:
     for kind, signs in reversed(_KINDS):
         hit = F.lit(False)
         for s in signs:
-            hit = hit | (F.lower(query).contains(s) if not s.isalpha() else F.lower(query).rlike(rf"\b{s}\b"))
+            hit = hit | (F.lower(query).contains(s) if kind == "tag" else F.lower(query).rlike(rf"\b{s}\b"))
         out = F.when(hit, kind).otherwise(out)
     return out
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Impact of a severity, likelihood of an exploitation complexity, weight of a detection difficulty.
+#: Impact of a severity, likelihood of an exploitation complexity, weight of a detection difficulty.
 IMPACT = {"critical": 1.0, "high": 0.75, "medium": 0.5, "low": 0.25}
-LIKELIHOOD = {"low": 0.9, "medium": 0.6, "high": 0.3}
-DETECTION = {"low": 0.5, "medium": 0.75, "high": 1.0}
-COMPLEXITY_RANK = {"low": 1, "medium": 2, "high": 3}
+LIKELIHOOD = {"very_low": 1.0, "low": 0.8, "medium": 0.6, "high": 0.4, "very_high": 0.2}
+DETECTION = {"very_easy": 0.2, "easy": 0.4, "medium": 0.6, "hard": 0.8, "very_hard": 1.0}
+COMPLEXITY_RANK = {"very_low": 1, "low": 2, "medium": 3, "high": 4, "very_high": 5}
 
 
 def lookup(table: dict[str, float], key: Column, otherwise: float) -> Column:
@@ -19,7 +19,7 @@ def lookup(table: dict[str, float], key: Column, otherwise: float) -> Column:
 def score(severity: Column, complexity: Column, detection: Column, countermeasures: Column) -> Column:
     """100 impact likelihood detection / mitigation, at most 100; mitigation is a fifth a countermeasure, 0.1 to 1."""
     mitigation = F.when(countermeasures > 0, F.least(F.lit(1.0), 0.2 * countermeasures)).otherwise(0.1)
-    raw = 100 * lookup(IMPACT, severity, 0.5) * lookup(LIKELIHOOD, complexity, 0.6) * lookup(DETECTION, detection, 0.75) / mitigation
+    raw = 100 * lookup(IMPACT, severity, 0.5) * lookup(LIKELIHOOD, complexity, 0.6) * lookup(DETECTION, detection, 0.6) / mitigation
     return F.round(F.least(F.lit(100.0), raw), 2)
 
 
@@ -28,9 +28,19 @@ def tactic_coverage(techniques: DataFrame, tactic: str = "tactic", risk: str = "
 
 
 def resilience(techniques: DataFrame) -> DataFrame:
-    """One row: share with countermeasures, average risk, and risk weighted by impact."""
-    w = lookup(IMPACT, F.col("severity"), 0.5)
-    return techniques.agg(F.count("*").alias("techniques"), F.try_divide(100.0 * F.count_if(F.col("countermeasures") > 0), F.count("*")).alias("coverage"), F.avg("risk").alias("avg_risk"), F.try_divide(F.sum(F.col("risk") * w), F.sum(w)).alias("weighted_risk"))
+    """One row: share of techniques with countermeasures, countermeasures on average, and how far four of them on each
+    technique, weighted by severity, are reached; percentages and averages to two digits, 0 without techniques."""
+    n = F.coalesce("countermeasures", F.lit(0))
+    held = lookup(IMPACT, F.col("severity"), 0.5) * F.least(F.lit(1.0), 0.25 * n)
+    share = lambda x: F.round(F.coalesce(F.try_divide(x, F.count("*")), F.lit(0.0)), 2)
+    return techniques.agg(
+        share(100.0 * F.count_if(n > 0)).alias("coverage_percentage"),
+        share(F.sum(n)).alias("average_countermeasures_per_technique"),
+        share(100 * F.sum(held)).alias("weighted_resilience_score"),
+        F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_countermeasures"),
+        F.count_if(n > 0).alias("techniques_with_countermeasures"),
+        F.count("*").alias("total_techniques"),
+    )
 
 
 def severity_distribution(techniques: DataFrame) -> DataFrame:
@@ -39,7 +49,7 @@ def severity_distribution(techniques: DataFrame) -> DataFrame:
 
 def attack_chains(steps: DataFrame, chain: str) -> DataFrame:
     """A row a chain: summed and average risk, product of likelihoods, and the chance that any step is detected."""
-    caught = 1 - lookup(DETECTION, F.col("detection"), 0.75)
+    caught = 1 - lookup(DETECTION, F.col("detection"), 0.6)
     return steps.groupBy(chain).agg(F.count("*").alias("steps"), F.sum("risk").alias("total_risk"), F.avg("risk").alias("avg_risk"), F.product(lookup(LIKELIHOOD, F.col("complexity"), 0.6)).alias("likelihood"), (1 - F.product(1 - caught)).alias("detection"))
 
 

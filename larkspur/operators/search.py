@@ -85,7 +85,7 @@ def kind_of(query: str) -> str:
 
     low = query.lower()
     for kind, signs in rank._KINDS:
-        if any((s in low) if not s.isalpha() else re.search(rf"\b{s}\b", low) for s in signs):
+        if any((s in low) if kind == "tag" else re.search(rf"\b{s}\b", low) for s in signs):
             return kind
     return "exploratory"
 

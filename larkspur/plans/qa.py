@@ -15,14 +15,13 @@ def segment_answers(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_sort(qa.segments(F.col("text"))).alias("segments"))
 
 
-@query("""WITH p AS (SELECT item_id, string_split(text, '. ') AS s FROM benchmark WHERE item_id < 40),
+@query("""WITH p AS (SELECT item_id, string_split(text, '. ') AS s FROM benchmark),
 h AS (SELECT item_id, unnest(list_distinct(list_concat(list_transform(list_filter(list_transform(s, lambda x: trim(x)), lambda x: length(x) >= 20), lambda x: left(x, 50)), [left(s[1], 100)]))) AS g FROM p)
 SELECT item_id, 100.0::DOUBLE AS score FROM h JOIN documents ON contains(text, g) WHERE length(g) > 0 GROUP BY item_id""")
 def citation_exact(spark, sf):
     """Items that some document quotes word for word; the benchmark is the small, stated side."""
-    seg = table(spark, sf, "benchmark").where("item_id < 40").select("item_id", F.explode(qa.segments(F.col("text"))).alias("segment"))
-    docs = table(spark, sf, "documents").select("text")
-    return docs.join(F.broadcast(seg), F.col("text").contains(F.col("segment"))).groupBy("item_id").agg(F.lit(100.0).alias("score"))
+    seg = table(spark, sf, "benchmark").select("item_id", F.explode(qa.segments(F.col("text"))).alias("segment"))
+    return qa.quoted(seg, table(spark, sf, "documents"), "segment", "doc_id", "text").select("item_id").distinct().withColumn("score", F.lit(100.0))
 
 
 @query()
@@ -91,10 +90,17 @@ def reversals(spark, sf):
     return rows.select("conv_id", "turn", F.md5("reversed_question").alias("question"), F.md5("reversed_answer").alias("answer"), "reversed_confidence")
 
 
-@query("SELECT event_id, round(CASE event_type WHEN 'click' THEN 0.9 WHEN 'view' THEN 0.7 ELSE 0.5 END * value / 100, 6)::DOUBLE AS weight, round(least(1, greatest(0, value / 100 + 0.1 * least(event_id % 5 / 3.0::DOUBLE, 1) + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE -0.05 END)), 6)::DOUBLE AS context FROM events")
+@query("SELECT event_id, round(CASE event_type WHEN 'click' THEN 0.8 WHEN 'view' THEN 0.5 WHEN 'purchase' THEN 0.9 WHEN 'error' THEN 0.6 ELSE 0.7 END * value / 100, 6)::DOUBLE AS weight FROM events")
 def edge_weights(spark, sf):
-    kind = F.when(F.col("event_type") == "click", "relationship").when(F.col("event_type") == "view", "reversal").otherwise("other")
-    return table(spark, sf, "events").select("event_id", F.round(qa.weight(kind, F.col("value") / 100), 6).alias("weight"), F.round(qa.context_confidence(F.col("value") / 100, F.col("event_id") % 5, F.col("event_id") % 2 == 0), 6).alias("context"))
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in {"click": "RELATIONSHIP", "view": "REVERSAL", "purchase": "FACTUAL", "error": "MULTI_HOP"}.items() for x in kv)), F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", F.round(qa.weight(F.coalesce(kind, F.lit("HIERARCHICAL")), F.col("value") / 100), 6).alias("weight"))
+
+
+@query("""SELECT event_id, round(least(1, greatest(0, CASE WHEN event_id % 7 = 0 THEN 0.7 ELSE value / 100 END + 0.1 * least(event_id % 5 / 3.0::DOUBLE, 1) + CASE event_id % 3 WHEN 0 THEN 0.15 WHEN 1 THEN -0.2 ELSE 0 END + CASE WHEN event_id % 4 = 0 THEN 0.05 ELSE 0 END)), 6)::DOUBLE AS context FROM events""")
+def context_confidence(spark, sf):
+    i = F.col("event_id")
+    base, cited = F.when(i % 7 != 0, F.col("value") / 100), F.when(i % 3 == 0, True).when(i % 3 == 1, False)
+    return table(spark, sf, "events").select("event_id", F.round(qa.context_confidence(base, i % 5, cited, i % 4 == 0), 6).alias("context"))
 
 
 @query()

@@ -200,7 +200,7 @@ def knn_majority_vote(spark, sf):
     return rank.majority_label(near, "query_id", "label", "Complex")
 
 
-_KIND = " ".join(f"WHEN {t} THEN '{k}'" for k, t in [("tag", "contains(lower(text), 'tag:') OR contains(lower(text), '#')"), *((k, f"regexp_matches(lower(text), '\\b({w})\\b')") for k, w in (("graph", "related|connected|relationship|linked"), ("factual", "what|when|where|who"), ("conceptual", "how|why|explain"), ("recent", "recent|latest|today")))])
+_KIND = " ".join(f"WHEN {t} THEN '{k}'" for k, t in [("tag", "contains(lower(text), 'tag:') OR contains(lower(text), '#')"), *((k, f"regexp_matches(lower(text), '\\b({w})\\b')") for k, w in (("graph", "related|connected|linked|graph"), ("factual", "what|when|where|how many|how much"), ("conceptual", "why|explain|understand|theory"), ("recent", "recent|latest|today|yesterday|last")))])
 
 
 @query(f"SELECT conv_id, turn, CASE {_KIND} ELSE 'exploratory' END AS route FROM conversations WHERE role = 'user'")
