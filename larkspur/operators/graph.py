@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 def _kept(df: DataFrame) -> DataFrame:
     """df as a table in the folder that driver and executors share, so that a loop's plan does not grow."""
     spark: SparkSession = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/larkspur").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = (named or "file:///tmp/checkpoints/larkspur").rstrip("/")
     path = f"{folder}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -125,7 +128,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): mutual reachability, by forward and backward minimum labels over the vertices not yet settled."""
     left = _kept(edges.select("src", "dst").distinct())
     ids = _kept(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
@@ -140,7 +143,7 @@ def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             if new.where(f"{label} <> was").isEmpty():
                 return labels
 
-    for _ in range(most_rounds):
+    while True:  # each round settles the component of the smallest id at least
         forward = reach(left, ids, "f")
         backward = reach(directed(left, "inbound"), ids, "b")
         both = _kept(forward.join(backward, "id"))
@@ -171,7 +174,7 @@ def modularity(edges: DataFrame, member: DataFrame, weight: str | None = None, r
     return per.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("m2") - resolution * F.pow(F.col("degree") / F.col("m2"), 2)).alias("modularity"))  # one row
 
 
-def communities(edges: DataFrame, weight: str | None = None, resolution: float = 1.0, sweeps: int = 20, least: int = 3) -> DataFrame:
+def communities(edges: DataFrame, weight: str | None = None, resolution: float = 1.0, sweeps: int = 100, least: int = 3) -> DataFrame:
     """(id, community): synchronous local moving to the neighbouring community of the best modularity gain.
 
     Deterministic: only moves to a smaller label are made in even sweeps and to a larger one in odd sweeps, so that two

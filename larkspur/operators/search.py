@@ -40,7 +40,7 @@ def normalised(weights: dict[str, float]) -> dict[str, float]:
 
 def expanded(seeds: DataFrame, edges: DataFrame, key: str, max_depth: int = 1, direction: str = "any", types: list[str] | None = None, per_seed: int = 100) -> DataFrame:
     """(seed, vertex, depth): what a bounded walk from each ranked seed reaches, the nearest `per_seed` of each."""
-    near = graph.neighbourhood(edges, seeds.select(F.col(key).alias("id")), 1, min(max_depth, 3), direction, types)
+    near = graph.neighbourhood(edges, seeds.select(F.col(key).alias("id")), 1, max_depth, direction, types)
     w = Window.partitionBy("seed").orderBy("depth", "vertex")
     return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_seed).drop("r")
 

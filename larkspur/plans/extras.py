@@ -54,11 +54,11 @@ def qa_edge_search(spark, sf):
     return search.qa_edges(e, "the and of", "key", 10).select("key", F.round("score", 6).alias("score"))
 
 
-_W = "w AS (SELECT o_custkey AS d, o_orderkey AS id, o_orderkey % 10 AS x, o_orderkey % 7 AS y, 2 AS w, 2 AS h FROM orders WHERE o_custkey < 50)"
+_W = "w AS (SELECT o_custkey AS d, o_orderkey AS id, o_orderkey % 10 AS x, o_orderkey % 7 AS y, 2 AS w, 2 AS h FROM orders)"
 
 
 def _widgets(spark, sf):
-    return table(spark, sf, "orders").where("o_custkey < 50").select(F.col("o_custkey").alias("d"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 10).alias("x"), (F.col("o_orderkey") % 7).alias("y"), F.lit(2).alias("w"), F.lit(2).alias("h"))
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("d"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 10).alias("x"), (F.col("o_orderkey") % 7).alias("y"), F.lit(2).alias("w"), F.lit(2).alias("h"))
 
 
 @query(f"WITH {_W} SELECT a.d, a.id AS one, b.id AS two FROM w a JOIN w b ON a.d = b.d AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import graph as g
 from larkspur.plans.registry import query, table
 
-EDGES = "ed AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_returnflag AS type FROM lineitem WHERE l_suppkey < 40 AND l_quantity > 45)"
+EDGES = "ed AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_returnflag AS type FROM lineitem)"
 SMALL = "n AS (SELECT DISTINCT src, dst FROM ed)"
 BOTH = "w AS (SELECT src, dst FROM n UNION SELECT dst, src FROM n)"
 
 
 def _edges(spark, sf):
-    return table(spark, sf, "lineitem").where("l_suppkey < 40 AND l_quantity > 45").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_returnflag").alias("type")).distinct()
+    return table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_returnflag").alias("type")).distinct()
 
 
 def _plain(spark, sf):
@@ -98,11 +99,11 @@ def tree_edges(spark, sf):
     return g.tree_edges(e, "world")
 
 
-_CO = "ce AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey AND a.l_quantity > 48 AND b.l_quantity > 48)"
+_CO = "ce AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey)"
 
 
 def _co(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity > 48")
+    li = table(spark, sf, "lineitem")
     a, b = (li.select("l_orderkey", F.col("l_suppkey").alias(c)) for c in ("src", "dst"))
     return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
 
@@ -114,21 +115,23 @@ def modularity(spark, sf):
     return g.modularity(_co(spark, sf), member).select(F.round("modularity", 8).alias("modularity"))
 
 
-_CYC = "e AS (SELECT DISTINCT c_nationkey AS src, (c_nationkey + 5) % 25 AS dst FROM customer)"
+_NEXT = "e AS (SELECT DISTINCT l_suppkey AS src, nxt AS dst FROM (SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt FROM lineitem) WHERE nxt IS NOT NULL)"
 
 
-@query(f"WITH RECURSIVE {_CYC}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS id, src AS v FROM b UNION SELECT r.id, b.dst FROM r JOIN b ON r.v = b.src) SELECT id, min(v) AS component FROM r GROUP BY id")
-def components(spark, sf):
-    e = table(spark, sf, "customer").select(F.col("c_nationkey").alias("src"), ((F.col("c_nationkey") + 5) % 25).alias("dst")).distinct()
-    return g.components(e)
+def _next(spark, sf):
+    """Suppliers that follow each other on the lines of an order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst")).where("dst IS NOT NULL").distinct()
 
 
-_ONEWAY = "e AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 8 AS dst FROM nation)"
+@query(f"WITH RECURSIVE {_NEXT}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS id, src AS v FROM b UNION SELECT r.id, b.dst FROM r JOIN b ON r.v = b.src) SELECT id, min(v) AS component FROM r GROUP BY id")
+def components(spark, sf):
+    return g.components(_next(spark, sf))
 
 
-@query(f"WITH RECURSIVE {_ONEWAY}, ids AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id, id AS v FROM ids UNION SELECT r.id, e.dst FROM r JOIN e ON r.v = e.src) SELECT a.id, min(a.v) AS component FROM r a JOIN r b ON a.id = b.v AND a.v = b.id GROUP BY a.id")
+@query(f"WITH RECURSIVE {_NEXT}, ids AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id, id AS v FROM ids UNION SELECT r.id, e.dst FROM r JOIN e ON r.v = e.src) SELECT a.id, min(a.v) AS component FROM r a JOIN r b ON a.id = b.v AND a.v = b.id GROUP BY a.id")
 def strong_components(spark, sf):
-    return g.strong_components(table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") + 1) % 8).alias("dst")))
+    return g.strong_components(_next(spark, sf))
 
 
 @query()

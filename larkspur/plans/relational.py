@@ -87,16 +87,16 @@ def lookup_join(spark, sf):
     return table(spark, sf, "customer").where("c_acctbal > 9000").join(n, F.col("c_nationkey") == n["n_nationkey"], "left").select("c_custkey", "c_name", "n_name")
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber AS one, b.l_linenumber AS two FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber AND abs(a.l_discount - b.l_discount) > 0.075 WHERE a.l_orderkey < 500")
+@query("SELECT a.l_orderkey, a.l_linenumber AS one, b.l_linenumber AS two FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber AND abs(a.l_discount - b.l_discount) > 0.075")
 def self_contradictions(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 500")
+    li = table(spark, sf, "lineitem")
     side = lambda n: li.select("l_orderkey", F.col("l_linenumber").alias(n), F.col("l_discount").alias(f"d_{n}"))
     return side("one").join(side("two"), "l_orderkey").where("one <> two AND abs(d_one - d_two) > 0.075").select("l_orderkey", "one", "two")
 
 
-@query("SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total, list_sort(list(o_orderkey))[1] AS first_order FROM orders WHERE o_custkey < 100 GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total, list_sort(list(o_orderkey))[1] AS first_order FROM orders GROUP BY 1")
 def nested_collection(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey < 100").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("orders_"), F.sum("o_totalprice").alias("total"))
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("orders_"), F.sum("o_totalprice").alias("total"))
     return o.select("o_custkey", F.size("orders_").cast("long").alias("orders"), F.round("total", 2).alias("total"), F.col("orders_")[0]["o_orderkey"].alias("first_order"))
 
 
@@ -150,16 +150,16 @@ def review_facets(spark, sf):
     return sets.select(F.when(F.col("no_type") == 1, "band").otherwise("type").alias("facet"), F.when(F.col("no_type") == 1, F.col("b")).otherwise(F.col("t")).alias("value"), "n")
 
 
-@query("SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS previous FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS previous FROM lineitem")
 def sequential_adjacency(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.lag("l_linenumber").over(w).alias("previous"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lag("l_linenumber").over(w).alias("previous"))
 
 
-@query("SELECT c_custkey, list_sort(list_intersect([c_mktsegment, c_nationkey::VARCHAR], ['BUILDING', '3'])) AS both_, list_sort(list_distinct([c_mktsegment, 'BUILDING'])) AS either FROM customer WHERE c_custkey < 200")
+@query("SELECT c_custkey, list_sort(list_intersect([c_mktsegment, c_nationkey::VARCHAR], ['BUILDING', '3'])) AS both_, list_sort(list_distinct([c_mktsegment, 'BUILDING'])) AS either FROM customer")
 def array_sets(spark, sf):
     a = F.array("c_mktsegment", F.col("c_nationkey").cast("string"))
-    return table(spark, sf, "customer").where("c_custkey < 200").select("c_custkey", F.array_sort(F.array_intersect(a, F.array(F.lit("BUILDING"), F.lit("3")))).alias("both_"), F.array_sort(F.array_union(F.array("c_mktsegment"), F.array(F.lit("BUILDING")))).alias("either"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_sort(F.array_intersect(a, F.array(F.lit("BUILDING"), F.lit("3")))).alias("both_"), F.array_sort(F.array_union(F.array("c_mktsegment"), F.array(F.lit("BUILDING")))).alias("either"))
 
 
 @query("SELECT DISTINCT k FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0 UNION ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)")

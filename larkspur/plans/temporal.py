@@ -56,9 +56,9 @@ def supersede_scd2(spark, sf):
     return _versions(spark, sf).select("event_id", F.unix_micros("valid_at").alias("start_us"), F.unix_micros("invalid_at").alias("end_us"))
 
 
-@query(f"WITH {E} SELECT event_id, epoch_us(CASE WHEN user_id = 7 AND invalid_at IS NULL THEN TIMESTAMP '{TO}' ELSE invalid_at END) AS end_us FROM e WHERE user_id < 20")
+@query(f"WITH {E} SELECT event_id, epoch_us(CASE WHEN user_id = 7 AND invalid_at IS NULL THEN TIMESTAMP '{TO}' ELSE invalid_at END) AS end_us FROM e")
 def invalidate_open(spark, sf):
-    rows = _versions(spark, sf).where("user_id < 20")
+    rows = _versions(spark, sf)
     return t.invalidated(rows, F.col("user_id") == 7, _at(TO)).select("event_id", F.unix_micros("invalid_at").alias("end_us"))
 
 
@@ -77,10 +77,10 @@ def backfill_bitemporal(spark, sf):
 
 def _spans(spark, sf):
     """Events as rows that hold for as many hours as their value says."""
-    return table(spark, sf, "events").where("event_type IN ('error', 'purchase')").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("created_at"), F.col("ts").cast("timestamp").alias("valid_at"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.floor("value") * 3_600_000_000).cast("long")).alias("invalid_at"))
+    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("created_at"), F.col("ts").cast("timestamp").alias("valid_at"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.floor("value") * 3_600_000_000).cast("long")).alias("invalid_at"))
 
 
-S = "s AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS a, epoch_us(ts) + floor(value)::BIGINT * 3600000000 AS z FROM events WHERE event_type IN ('error', 'purchase'))"
+S = "s AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS a, epoch_us(ts) + floor(value)::BIGINT * 3600000000 AS z FROM events)"
 PAIRS = f"{S}, p AS (SELECT x.event_id AS one, y.event_id AS two, x.a AS a1, x.z AS z1, y.a AS a2, y.z AS z2 FROM s x JOIN s y USING (user_id, event_type) WHERE x.event_id <> y.event_id AND x.a < y.z AND y.a < x.z)"
 
 

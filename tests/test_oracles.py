@@ -11,8 +11,6 @@ from larkspur.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Covered by the worked examples too.
-SLOW = {"strong_components", "components", "bfs_depth3", "tree_edges", "windowed_counts_stream"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -39,7 +37,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, con, name):
     mine = rows(QUERIES[name](spark, SF).toPandas().astype(object))
     theirs = rows(con.sql(ORACLES[name]).df().astype(object))
