@@ -19,25 +19,33 @@ TOKENIZER, CAPACITY = public_tokenizers.path("word_bpe_49k.json"), 2048
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Empty and null texts score the base rate of the labels, so they stay unless most labels are toxic; rows without an id
+    go; an empty table stays empty."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, if only as an empty text; a null text becomes an empty one; n_chars follows the text."""
     kept = line_dedup.dedup_lines(docs)
     new = {"text": F.col("kept__"), "n_chars": F.length("kept__").cast("long")}
     return kept.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group stays, with all rows that repeat it; texts without words are in no group and stay."""
     return ngram_join.one_of_each(docs, words=5, num=80, den=100)
 
 
 def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null categories count as `other`; documents without tokens stay with their cell's probability, or surely in a cell
+    without any tokens."""
     stay = written(queries.mixed(docs, spark, sf_dir, queries.TARGETS).where("stays__").select("doc_id").distinct(), "stay")
     return docs.join(small(stay, 1_000_000), "doc_id", "left_semi").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of pieces, with a checksum in place of their ids; `packing.tokenised` gives the ids of (doc_id, piece). An
+    empty or null text is the end id alone."""
     pieces = packing.tokenised(docs, TOKENIZER, CAPACITY)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), CAPACITY)
 

@@ -62,17 +62,22 @@ def mixed(docs: DataFrame, spark: SparkSession, sf_dir: str, targets: dict[str,
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cell, tokens and probability, and whether it stays. Null or unnamed categories and documents without
+    an embedding are `other`; empty and null texts have no tokens; rows that repeat an id stay or go together."""
     rows = mixed(_table(spark, sf_dir, "documents"), spark, sf_dir, TARGETS)
     return rows.select("doc_id", *(f"cell_{d}" for d in TARGETS), "n_tokens", F.round("probability__", 6).alias("probability"), F.col("stays__").alias("stays"))
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null vectors, those with null or non-finite components and rows without an id take no part; ties go to smaller ids."""
     rows = topk_search.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024.0)
     return topk_search.top_k(rows, rows.where("vec_id % 100 = 0"), 10)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece with its place, and the number of sequences with the least that is proven possible (a gap is not hidden)."""
+    """Every piece with its place, and the number of sequences with the least that is proven possible (a gap is not hidden).
+
+    Null and empty texts are the end id alone; rows without an id and repeated rows are packed each."""
     pieces = packing.tokenised(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     packed = written(packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))), "packed")
     proof = packing.certificate(packed).first() or (0, 0)
@@ -80,19 +85,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are null or without words link with nothing; rows without an id are left out; equal sets always link."""
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text is one empty line; rows without an id are left out; a shared line stays in the smallest id."""
     kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.sha2("kept__", 256).alias("kept_sha256"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that cannot link (null, zero, not finite, without a label) form components of their own; rows without an id
+    are left out, as neither their links nor their class could be named; a repeated row is one more vector."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have size 1; a null source is a source of its own; rows without an id and repeated rows are placed too."""
     text = F.col("text")
     rows = _table(spark, sf_dir, "documents").select("doc_id", "source", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
     placed = sharding.interleaved(rows, 8, SEED)
@@ -100,6 +110,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts score the base rate of the labels; rows without an id are left out; equal texts score alike."""
     scores = toxicity.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return scores.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
