@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -174,3 +174,25 @@ def parsed_json(text: Column, schema: str) -> Column:
     inner = F.regexp_replace(F.regexp_extract(text, r"(?s)(\{.*\})", 1), r",\s*([}\]])", "$1")
     strict = {"mode": "PERMISSIVE"}
     return F.coalesce(F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, schema, strict)), F.when(F.get_json_object(inner, "$").isNotNull(), F.from_json(inner, schema, strict)))
+
+
+#: Fixed value: a header line such as `**4.1 Design basis**`; groups are its number and its title.
+SECTION_HEADER = r"\*\*(\d+(?:\.\d+)*\.?)\s+([A-Z0-9][^\n*]+?)\s*\*\*[ \t]*$"
+
+
+def sections(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, number, title, start, length, content): a text cut before each header line; start counts characters from 0.
+
+    What precedes the first header is left out. A text without headers is one section without a number, titled by itself; a
+    null text has none.
+    """
+    parts = F.split(F.col(text), f"(?md)^(?={SECTION_HEADER})", -1)
+    starts = F.aggregate(parts, F.array(F.lit(0)), lambda at, p: F.array_append(at, F.element_at(at, -1) + F.length(p)))
+    cut = rows.where(F.col(text).isNotNull()).select(F.col(key), F.size(parts).alias("n__"), F.posexplode(F.arrays_zip(parts.alias("content"), starts.alias("start"))).alias("i__", "p"))
+    cut = cut.where(F.col("p.content").isNotNull()).select(key, "n__", F.col("p.content").alias("content"), F.col("p.start").cast("long").alias("start"))
+    head = f"(?md)\\A{SECTION_HEADER}"
+    number = F.regexp_extract("content", head, 1)
+    alone = (F.col("n__") == 1) & (number == "")
+    out = cut.where((number != "") | alone)
+    title = F.when(alone, F.col("content")).otherwise(F.trim(F.regexp_extract("content", head, 2)))
+    return out.select(key, F.rtrim(number, F.lit(".")).alias("number"), title.alias("title"), "start", F.length("content").cast("long").alias("length"), "content")

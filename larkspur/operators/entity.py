@@ -107,11 +107,12 @@ def merged_attributes(old: Column, new: Column, strategy: str) -> Column:
     return F.map_from_entries(F.concat(F.map_entries(F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k))), F.map_entries(second)))
 
 
-def resolved(new: DataFrame, known: DataFrame, new_key: str, known_key: str, name: str, column: str, floor: float = 0.8) -> DataFrame:
-    """(new_key, known_key, confidence, action): an exact match first, else the most similar one, else an insert."""
+def resolved(new: DataFrame, known: DataFrame, new_key: str, known_key: str, name: str, column: str, floor: float = 0.8, block: str | None = None) -> DataFrame:
+    """(new_key, known_key, confidence, action): an exact match first, else the most similar one (of equal `block`, if given),
+    else an insert."""
     exact = exact_matches(new, known, new_key, known_key, name).groupBy(new_key).agg(F.min(known_key).alias(known_key)).withColumn("confidence", F.lit(1.0))
     rest = new.join(exact, new_key, "left_anti")
-    near = similar_matches(rest, known, new_key, known_key, column, floor, 1).withColumnRenamed("similarity", "confidence")
+    near = similar_matches(rest, known, new_key, known_key, column, floor, 1, block).withColumnRenamed("similarity", "confidence")
     found = exact.select(new_key, known_key, "confidence").unionByName(near.select(new_key, known_key, "confidence"))
     return new.select(new_key).join(found, new_key, "left").withColumn("action", F.when(F.col(known_key).isNull(), "insert").otherwise("merge"))
 

@@ -225,11 +225,15 @@ def community_profile(member: DataFrame, edges: DataFrame, types: DataFrame) ->
     return out.withColumn("cohesion", F.when(pairs > 0, F.col("inner_edges") / pairs).otherwise(0.0))
 
 
-def community_tags(member: DataFrame, types: DataFrame, n: int = 3, least: int = 2) -> DataFrame:
-    """(community, tags): its n most frequent types with `least` members at least."""
+def community_tags(member: DataFrame, types: DataFrame, n: int = 3, least: int = 2, names: DataFrame | None = None) -> DataFrame:
+    """(community, tags): its n most frequent types with `least` members at least, and the first word of its name (names:
+    community, name) where that has several."""
     counts = member.join(types, "id").groupBy("community", "type").count().where(F.col("count") >= least)
     w = Window.partitionBy("community").orderBy(F.desc("count"), "type")
-    return counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).groupBy("community").agg(F.array_sort(F.collect_list("type")).alias("tags"))
+    best = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("community", F.col("type").alias("tag"))
+    if names is not None:
+        best = best.unionByName(names.where(F.col("name").contains(" ")).select("community", F.lower(F.split("name", " ")[0]).alias("tag")))
+    return best.groupBy("community").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
 def community_table(member: DataFrame, sample: int = 5) -> DataFrame:
@@ -241,6 +245,64 @@ def merged_communities(member: DataFrame, which: list, into) -> DataFrame:
     return member.withColumn("community", F.when(F.col("community").isin(which), F.lit(into)).otherwise(F.col("community"))).distinct()
 
 
+def with_members(member: DataFrame, added: DataFrame) -> DataFrame:
+    """member (community, id) with rows added, each pair once."""
+    return member.select("community", "id").unionByName(added.select("community", "id")).distinct()
+
+
+def without_members(member: DataFrame, removed: DataFrame) -> DataFrame:
+    return member.join(removed.select("community", "id").distinct(), ["community", "id"], "left_anti")
+
+
+def communities_of(member: DataFrame, ids: DataFrame) -> DataFrame:
+    """(community, id) for the vertices of ids (id)."""
+    return member.join(ids.select("id").distinct(), "id", "left_semi").select("community", "id")
+
+
+def type_histogram(vertices: DataFrame) -> DataFrame:
+    """(type, vertices): by type, else by group, else as unknown."""
+    named = [F.col(c).cast("string") for c in ("type", "group") if c in vertices.columns]
+    return vertices.groupBy(F.coalesce(*named, F.lit("unknown")).alias("type")).agg(F.count("*").alias("vertices"))
+
+
+def forest(vertices: DataFrame, edges: DataFrame, root: str | None = None) -> DataFrame:
+    """(node, parent, depth): all vertices (id, a string) as one tree, level by level.
+
+    Without a root, the smallest vertex without incoming edges is one (the smallest of all where each has some). Vertices
+    that it does not reach hang below `_root`, and so does the root then: first those without incoming edges from other such
+    vertices, then, of each cycle left over, the smallest. A vertex with several parents on the level above goes to the smallest. No
+    vertices give no rows.
+    """
+    ids, ways = _kept(vertices.select("id").distinct()), _kept(edges.select("src", "dst").where("src <> dst").distinct())
+    if root is None:
+        root = ids.join(ways.select(F.col("dst").alias("id")), "id", "left_anti").agg(F.min("id")).first()[0] or ids.agg(F.min("id")).first()[0]
+    seen = ids.sparkSession.createDataFrame([(root, None, 0)] if root is not None else [], "node string, parent string, depth int")
+
+    def walked(seen: DataFrame, level: DataFrame) -> DataFrame:
+        while True:
+            near = ways.join(level.select(F.col("node").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), (F.max("depth") + 1).alias("depth"))
+            level = _kept(near.join(seen.select("node"), "node", "left_anti"))
+            if level.isEmpty():
+                return seen
+            seen = _kept(seen.unionByName(level))
+
+    seen, whole = walked(seen, seen), True
+    while True:
+        rest = _kept(ids.join(seen.select(F.col("node").alias("id")), "id", "left_anti"))
+        if rest.isEmpty():
+            break
+        inner = _kept(ways.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        tops = _kept(rest.join(inner.select(F.col("dst").alias("id")), "id", "left_anti"))
+        if tops.isEmpty():
+            tops = components(inner).select(F.col("component").alias("id")).distinct()
+        start = _kept(tops.select(F.col("id").alias("node"), F.lit("_root").alias("parent"), F.lit(0).alias("depth")))
+        seen, whole = walked(_kept(seen.unionByName(start)), start), False
+    if whole:
+        return seen
+    below = seen.select("node", F.coalesce("parent", F.lit("_root")).alias("parent"), (F.col("depth") + 1).alias("depth"))
+    return below.unionByName(seen.sparkSession.createDataFrame([("_root", None, 0)], seen.schema))
+
+
 def tree_edges(edges: DataFrame, root) -> DataFrame:
     """(node, parent, depth) of a tree below a root."""
     level = edges.where(F.col("src") == root).select(F.col("dst").alias("node"), F.col("src").alias("parent"), F.lit(1).alias("depth"))

@@ -166,3 +166,59 @@ def block_relations(blocks: DataFrame) -> DataFrame:
     best = F.greatest(*(F.when(F.col("level") > n, F.col(f"p{n}")) for n in seen))
     nested = parents.withColumn("parent", best).where("parent IS NOT NULL").select(F.col("parent.id").alias("source"), F.col("id").alias("target"), F.lit("PARENT_CHILD").alias("type"))
     return following.unionByName(contains).unionByName(nested)
+
+
+#: Relations and their inverses; the first that a question holds counts.
+INVERSIONS = [("causes", "is caused by"), ("is caused by", "causes"), ("leads to", "results from"), ("results from", "leads to"), ("contains", "is contained in"), ("is contained in", "contains"), ("precedes", "follows"), ("follows", "precedes")]
+
+
+def inverted(question: Column) -> Column:
+    """A relationship question the other way round, in lower case but for its first letter; null where it names no relation
+    that has an inverse. The answer stays."""
+    low = F.lower(question)
+    turned = F.coalesce(*(F.when(low.contains(a), F.replace(low, F.lit(a), F.lit(b))) for a, b in INVERSIONS))
+    return F.concat(F.upper(F.substring(turned, 1, 1)), F.substring(turned, 2, 2**31 - 1))
+
+
+def rationale(title: Column, kind: Column, src: Column, dst: Column, section: Column | None = None, evidence: Column | None = None, score: Column | None = None, cited: Column | None = None) -> Column:
+    """Why an edge holds, as sentences of at least 50 characters; what is missing, empty or zero is not mentioned."""
+    none = F.lit(None).cast("string")
+    parts = [
+        F.concat(F.lit("Q&A extracted from document: "), F.coalesce(title, F.lit("Unknown"))),
+        F.when(section != "", F.concat(F.lit("Section: "), section)) if section is not None else none,
+        F.when(evidence > 0, F.concat(F.lit("Based on "), evidence.cast("string"), F.lit(" evidence blocks from source content"))) if evidence is not None else none,
+        F.concat(F.lit("Establishes "), F.lower(kind), F.lit(" relationship between "), src, F.lit(" and "), dst),
+        F.when(score != 0, F.concat(F.lit("Validated with confidence score of "), F.format_string("%.2f", score))) if score is not None else none,
+        F.when(cited, F.lit("Source citations verified and found in document")) if cited is not None else none,
+    ]
+    text = F.concat_ws(". ", *parts)
+    return F.when(F.length(text) < 50, F.concat(text, F.lit(". This Q&A pair provides contextual information derived from the document structure."))).otherwise(text)
+
+
+def hierarchy(document: Column, **known: Column) -> Column:
+    """A map of what is known of a document's place (document_title, section_title, parent_id, parent_title, path, level,
+    heading_level); the document's id alone where nothing is."""
+    given = [x for name, c in known.items() for x in (F.lit(name), c.cast("string"))]
+    places = F.map_filter(F.create_map(*given), lambda _, v: v.isNotNull()) if given else F.create_map().cast("map<string,string>")
+    return F.when(F.size(places) > 0, places).otherwise(F.create_map(F.lit("document_id"), document.cast("string")))
+
+
+def review_export(edges: DataFrame, entities: DataFrame, key: str, status: str | None = "approved", band: str | None = None, document=None, limit: int | None = 1000) -> DataFrame:
+    """(edge, from_entity, to_entity): question-answer edges (src, dst, type, confidence, review_status) with the entities
+    (id, ...) at their ends, null where there is none; the first `limit` by key. For `files.write` as JSON lines.
+
+    band is low, medium or high; a missing confidence is in none.
+    """
+    rows = edges.where("type = 'QA_DERIVED'")
+    if status:
+        rows = rows.where(F.col("review_status") == status)
+    if band:
+        rows = rows.where(F.col("confidence").isNotNull() & (confidence_band(F.col("confidence")) == band))
+    if document is not None:
+        rows = rows.where(F.col("source_document_id") == document)
+    if limit is not None:
+        rows = rows.orderBy(key).limit(limit)
+    rows = rows.select(F.struct("*").alias("edge"))
+    end = lambda name: entities.select(F.col("id").alias(f"{name}_id__"), F.struct("*").alias(name))
+    out = rows.join(end("from_entity"), F.col("edge.src") == F.col("from_entity_id__"), "left").join(end("to_entity"), F.col("edge.dst") == F.col("to_entity_id__"), "left")
+    return out.select("edge", "from_entity", "to_entity")

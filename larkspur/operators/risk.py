@@ -72,3 +72,29 @@ def attributed(observed: DataFrame, profiles: DataFrame, group: str) -> DataFram
     """(group, actor, score): the actor whose weighted techniques (actor, technique, weight) explain most of what was seen."""
     scores = observed.join(profiles, "technique").groupBy(group, "actor").agg(F.sum("weight").alias("score"))
     return scores.groupBy(group).agg(F.min_by("actor", F.struct(-F.col("score"), "actor")).alias("actor"), F.max("score").alias("score"))
+
+
+#: Columns of an exported matrix and where each comes from.
+MATRIX = {"ID": "id", "Name": "name", "Tactic": "tactic", "Severity": "severity", "Risk Score": "risk", "Detection Difficulty": "detection", "Exploitation Complexity": "complexity", "Countermeasures Count": "countermeasures"}
+
+
+def matrix_rows(techniques: DataFrame) -> DataFrame:
+    """The eight columns of a matrix export, for `files.write` as JSON or CSV; a missing score reads N/A."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) if c == "risk" else F.col(c)
+    return techniques.select(*(value(c).alias(name) for name, c in MATRIX.items()))
+
+
+def found(techniques: DataFrame, text: str, field: str = "all") -> DataFrame:
+    """Techniques that hold a text, whatever its case, in a field: id, name, description, or all of these and the elements
+    of the arrays `examples` and `countermeasures`. Nulls hold nothing."""
+    if field not in ("all", "id", "name", "description"):
+        raise ValueError(f"no field to search: {field}")
+    low = text.lower()
+    held = lambda c: F.coalesce(F.lower(c).contains(F.lit(low)), F.lit(False))
+    if field != "all":
+        return techniques.where(held(F.col(field)))
+    listed = (F.coalesce(F.exists(c, held), F.lit(False)) for c in ("examples", "countermeasures"))
+    where = held(F.col("id")) | held(F.col("name")) | held(F.col("description"))
+    for c in listed:
+        where = where | c
+    return techniques.where(where)

@@ -105,15 +105,17 @@ def match_confidence(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.round(conf, 6).alias("confidence"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey < (SELECT count(*) FROM supplier) THEN c_custkey END AS s_suppkey, CASE WHEN c_custkey < (SELECT count(*) FROM supplier) THEN 'merge' ELSE 'insert' END AS action FROM customer")
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT c_custkey, c_name, e, label FROM customer LEFT JOIN v ON vec_id = c_custkey), s AS (SELECT s_suppkey, s_name, e, label FROM supplier LEFT JOIN v ON vec_id = 2 * s_suppkey + 1),
+x AS (SELECT c_custkey, min(s_suppkey) AS s_suppkey FROM c JOIN s ON replace(lower(c_name), 'customer', 'supplier') = lower(s_name) GROUP BY 1),
+m AS (SELECT c_custkey, s_suppkey, list_inner_product(c.e, s.e) / (sqrt(list_inner_product(c.e, c.e)) * sqrt(list_inner_product(s.e, s.e))) AS sim FROM c JOIN s USING (label) WHERE c_custkey <> s_suppkey AND c_custkey NOT IN (SELECT c_custkey FROM x)),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY sim DESC, s_suppkey) AS r FROM m WHERE sim >= 0.8), f AS (SELECT c_custkey, s_suppkey, 1.0 AS sim FROM x UNION ALL SELECT c_custkey, s_suppkey, sim FROM n WHERE r = 1)
+SELECT c_custkey, s_suppkey, round(sim, 6)::DOUBLE AS confidence, CASE WHEN s_suppkey IS NULL THEN 'insert' ELSE 'merge' END AS action FROM customer LEFT JOIN f USING (c_custkey)""")
 def resolve_entities(spark, sf):
-    none = F.array().cast("array<double>")
-    c = table(spark, sf, "customer").select("c_custkey", F.regexp_replace("c_name", "Customer", "Supplier").alias("name"), none.alias("e"))
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name"), none.alias("e"))
-    near = entity.exact_matches(c, s, "c_custkey", "s_suppkey")
-    rest = c.join(near, "c_custkey", "left_anti").limit(0)
-    found = entity.resolved(rest.unionByName(c.join(near, "c_custkey", "left_semi")), s, "c_custkey", "s_suppkey", "name", "e")
-    return found.select("c_custkey", "s_suppkey", "action").unionByName(c.join(near, "c_custkey", "left_anti").select("c_custkey", F.lit(None).cast("long").alias("s_suppkey"), F.lit("insert").alias("action")))
+    """Customers against suppliers by name, else by vector among those of the same label; many have no vector."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("e"), "label")
+    c = table(spark, sf, "customer").select("c_custkey", F.regexp_replace("c_name", "Customer", "Supplier").alias("name"), F.col("c_custkey").alias("vec_id")).join(v, "vec_id", "left").drop("vec_id")
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name"), (2 * F.col("s_suppkey") + 1).alias("vec_id")).join(v, "vec_id", "left").drop("vec_id")
+    return entity.resolved(c, s, "c_custkey", "s_suppkey", "name", "e", block="label").select("c_custkey", "s_suppkey", F.round("confidence", 6).alias("confidence"), "action")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -57,11 +57,15 @@ def keep_highest(rows: DataFrame, keys: list[str], value: str, tie: str) -> Data
     return rows.groupBy(*keys).agg(best.alias("best")).select("best.*")
 
 
+def would_change(rows: DataFrame, where: Column, key: str, limit: int | None = None) -> DataFrame:
+    """The dry run of `bulk_updated`: the rows that it would change, as they are."""
+    which = rows.where(where)
+    return which if limit is None else which.orderBy(key).limit(limit)
+
+
 def bulk_updated(rows: DataFrame, where: Column, values: dict[str, Column], key: str, limit: int | None = None) -> DataFrame:
     """Change rows that `where` names, the first `limit` by key at most."""
-    which = rows.where(where).select(key)
-    if limit is not None:
-        which = which.orderBy(key).limit(limit)
+    which = would_change(rows, where, key, limit).select(key)
     out = rows.join(which.withColumn("hit__", F.lit(True)), key, "left")
     return out.withColumns({c: F.when(F.col("hit__"), v).otherwise(F.col(c)) for c, v in values.items()}).select(rows.columns)
 

@@ -246,3 +246,47 @@ def test_most_frequent_customer(spark):
     o = spark.createDataFrame(PIZZA_ORDERS, "c string, o string")
     best = o.groupBy("c").count().orderBy(F.desc("count"), "c").first()
     assert (best.c, best["count"]) == ("cust_001", 2)
+
+
+def test_sections_start_at_header_lines(spark):
+    rows = spark.createDataFrame([(1, "lead\n**4. General Design**\nbody\n**4.1 Plant Basis ** \nmore"), (2, "no header"), (3, None), (4, ""), (5, "a **4 Not A Line** b\n**4 x**")], "k int, t string")
+    got = {(r.k, r.number): r for r in text.sections(rows, "k", "t").collect()}
+    assert set(got) == {(1, "4"), (1, "4.1"), (2, ""), (4, ""), (5, "")}
+    assert got[1, "4"].title == "General Design" and got[1, "4"].start == 5 and got[1, "4.1"].title == "Plant Basis"
+    assert got[1, "4.1"].start + got[1, "4.1"].length == len(rows.first().t) and got[2, ""].title == got[2, ""].content == "no header"
+
+
+def test_forest_hangs_orphans_and_cycles_below_one_root(spark):
+    vertices = spark.createDataFrame([(c,) for c in "abcdefgh"], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("e", "f"), ("g", "h"), ("h", "g"), ("g", "g")], "src string, dst string")
+    got = {r.node: (r.parent, r.depth) for r in graph.forest(vertices, edges).collect()}
+    assert got == {"_root": (None, 0), "a": ("_root", 1), "b": ("a", 2), "c": ("a", 2), "d": ("b", 3), "e": ("_root", 1), "f": ("e", 2), "g": ("_root", 1), "h": ("g", 2)}
+    whole = {r.node: (r.parent, r.depth) for r in graph.forest(vertices.where("id < 'e'"), edges.where("src < 'e'")).collect()}
+    assert whole == {"a": (None, 0), "b": ("a", 1), "c": ("a", 1), "d": ("b", 2)}
+    assert graph.forest(vertices.limit(0), edges.limit(0)).count() == 0
+
+
+def test_inversion_takes_the_first_relation_and_ignores_others(spark):
+    rows = spark.createDataFrame([("What leads to Failure?",), ("What is contained in X?",), ("Who came?",), (None,)], "q string").select(qa.inverted(F.col("q")).alias("r"))
+    assert [r.r for r in rows.collect()] == ["What results from failure?", "What contains x?", None, None]
+
+
+def test_rationale_leaves_out_what_is_missing_and_is_long_enough(spark):
+    row = spark.sql("SELECT CAST(NULL AS STRING) AS t, 'FACTUAL' AS k, 'A' AS a, 'B' AS b, 0 AS n, CAST(NULL AS DOUBLE) AS s, false AS c")
+    r = row.select(qa.rationale(F.col("t"), F.col("k"), F.col("a"), F.col("b"), F.lit(""), F.col("n"), F.col("s"), F.col("c")).alias("r")).first().r
+    assert r == "Q&A extracted from document: Unknown. Establishes factual relationship between A and B"
+    assert row.select(qa.hierarchy(F.lit("d/1"), path=F.col("t")).alias("h")).first().h == {"document_id": "d/1"}
+
+
+def test_review_export_keeps_edges_without_entities(spark):
+    e = spark.sql("SELECT * FROM VALUES (2, 'a', 'zz', 'QA_DERIVED', 0.95D, 'approved'), (1, 'a', 'b', 'QA_DERIVED', NULL, 'approved'), (3, 'a', 'b', 'OTHER', 1D, 'approved') AS t(id, src, dst, type, confidence, review_status)")
+    n = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, name string")
+    assert {(r.edge.id, r.to_entity and r.to_entity.name) for r in qa.review_export(e, n, "id").collect()} == {(1, "B"), (2, None)}
+    assert [r.edge.id for r in qa.review_export(e, n, "id", band="low").collect()] == [] and [r.edge.id for r in qa.review_export(e, n, "id", limit=1).collect()] == [1]
+
+
+def test_threat_search_looks_into_arrays(spark):
+    rows = spark.sql("SELECT 'ST1' AS id, 'Jam' AS name, CAST(NULL AS STRING) AS description, array('Laser DAZZLE') AS examples, CAST(NULL AS array<string>) AS countermeasures")
+    assert [risk.found(rows, q, f).count() for q, f in [("dazzle", "all"), ("dazzle", "name"), ("st1", "id"), ("x", "all")]] == [1, 0, 1, 0]
+    with pytest.raises(ValueError):
+        risk.found(rows, "x", "severity")
