@@ -186,4 +186,18 @@ r AS (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY source) AS m,
 o AS (SELECT *, row_number() OVER (ORDER BY (2 * i - 1) / (2 * m), source NULLS FIRST, h, doc_id NULLS FIRST) - 1 AS p FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (p * 8 // n)::INTEGER AS shard, (p - ceil((p * 8 // n) * n / 8))::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM o"""
 
-ORACLES: dict[str, str] = {"op1_merkle_fixity": _FIXITY, "op2_url_filter": _URLS, "op3_mixing": _mixing_sql(TARGETS, ROUNDS), "op4_topk_search": _TOPK, "op7_line_dedup": _LINES, "op9_sharding": _SHARDS}
+#: All pairs of sets that share a shingle, and what their links reach.
+_NGRAMS = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), k AS (SELECT g, row_number() OVER () AS k FROM s GROUP BY g HAVING count(*) > 1), h AS MATERIALIZED (SELECT doc_id, k FROM s JOIN k USING (g)),
+i AS (SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS shared FROM h a JOIN h b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+m AS MATERIALIZED (SELECT one, two FROM i JOIN n x ON x.doc_id = one JOIN n y ON y.doc_id = two WHERE 100 * shared >= 85 * (x.n + y.n - shared)), l AS (SELECT one, two FROM m UNION ALL SELECT two, one FROM m),
+r AS (SELECT doc_id AS id, doc_id AS place FROM t UNION SELECT r.id, l.two FROM r JOIN l ON r.place = l.one)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(place) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id"""
+#: All pairs of vectors of a label, and what their links reach.
+_NEAR = """WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL),
+u AS (SELECT * FROM (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE n > 0),
+l AS (SELECT a.vec_id AS one, b.vec_id AS two FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS place FROM e UNION SELECT r.id, l.two FROM r JOIN l ON r.place = l.one), c AS (SELECT id, min(place) AS component_id FROM r GROUP BY id), d AS (SELECT one, count(*) AS links FROM l GROUP BY one)
+SELECT id AS vec_id, coalesce(links, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN d ON one = id"""
+ORACLES: dict[str, str] = {"op1_merkle_fixity": _FIXITY, "op2_url_filter": _URLS, "op3_mixing": _mixing_sql(TARGETS, ROUNDS), "op4_topk_search": _TOPK, "op6_ngram_join": _NGRAMS, "op7_line_dedup": _LINES, "op8_embedding_dedup": _NEAR, "op9_sharding": _SHARDS}
