@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import vector
 from larkspur.operators import dashboard, search
 from larkspur.plans.registry import query, table
-from larkspur.plans.retrieval import _query_vector
+from larkspur.plans.retrieval import COS, TOKENS, VEC, _query_vector
 from larkspur.sources import messages
 
 
@@ -33,19 +33,33 @@ def graph_rag(spark, sf):
     return search.hybrid(d, "doc_id", "text", "the nation of with", plan, edges=e).withColumn("score", F.round("score", 8))
 
 
-@query()
+def _words_sql(rows: str, words: list[str]) -> str:
+    """b (key, score): BM25 of rows (key, w) for words, as the operator scores them."""
+    asked = ", ".join(f"('{w}')" for w in words)
+    return f"""d AS ({rows}), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)::DOUBLE) AS a FROM d), q(t) AS (VALUES {asked}), df AS (SELECT t, count(*)::DOUBLE AS df FROM q JOIN d ON list_contains(w, t) GROUP BY t),
+b AS (SELECT key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / a))) AS score FROM (SELECT d.*, df.df, len(list_filter(w, lambda x: x = t))::DOUBLE AS tf FROM d JOIN df ON list_contains(w, t)), st GROUP BY key)"""
+
+
+_MEMORY = _words_sql(f"SELECT conv_id * 1000 + turn AS key, {TOKENS} AS w FROM conversations WHERE conv_id = 5", ["the", "of", "und", "die", "de", "la", "en", "el"])
+
+
+@query(f"WITH {_MEMORY} SELECT key, round(score, 6) AS score FROM b ORDER BY b.score DESC, key LIMIT 10")
 def memory_search(spark, sf):
     c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("conv_id").alias("conversation_id"), F.col("text").alias("content"))
     return search.memories(c, "key", "the of und die de la en el", None, 10, conversation=5).select("key", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {VEC} SELECT vec_id, round({COS}, 6) AS score FROM v, q0 WHERE label < 5 ORDER BY {COS} DESC, vec_id LIMIT 5")
 def compaction_search(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("compaction_method", F.when(F.col("label") < 5, "extract").otherwise("summary"))
     return search.compactions(e, "vec_id", _query_vector(e), 5, -1.0, ["extract"]).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_ASKED = _words_sql(f"SELECT q.conv_id * 1000 + q.turn AS key, list_concat({TOKENS.replace('text', 'q.text')}, {TOKENS.replace('text', 'a.text')}) AS w, lower(coalesce(q.text, '')) AS question, lower(coalesce(a.text, '')) AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'", ["the", "and", "of"])
+_HOLDS = "contains({0}, 'the') OR contains({0}, 'and') OR contains({0}, 'of')"
+
+
+@query(f"WITH {_ASKED}, z AS (SELECT key, 10 * score + CASE WHEN {_HOLDS.format('question')} THEN 2 ELSE 0 END + CASE WHEN {_HOLDS.format('answer')} THEN 3 ELSE 0 END AS score FROM b JOIN d USING (key)) SELECT key, round(score, 6) AS score FROM z ORDER BY z.score DESC, key LIMIT 10")
 def qa_edge_search(spark, sf):
     conv = table(spark, sf, "conversations")
     q = conv.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))

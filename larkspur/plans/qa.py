@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import entity, qa
 from larkspur.plans.registry import query, table
+from larkspur.plans.text import ENTITIES_SQL
 
 
 @query("""WITH p AS (SELECT item_id, string_split(text, '. ') AS s FROM benchmark),
@@ -103,7 +104,8 @@ def context_confidence(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(qa.context_confidence(base, i % 5, cited, i % 4 == 0), 6).alias("context"))
 
 
-@query()
+@query(f"""WITH {ENTITIES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, name) AS r FROM en), e AS (SELECT a.doc_id, a.name AS src, b.name AS dst, 0.95::DOUBLE * a.confidence * b.confidence AS c FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.r = 1 AND b.r = 2)
+SELECT doc_id, src, dst, round(c, 6) AS edge_confidence, CASE WHEN c >= 0.7 THEN 'auto_approved' ELSE 'pending' END AS review_status FROM e""")
 def qa_edges(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(0.95).alias("confidence"))
     found = entity.entities(docs, "doc_id", "text")

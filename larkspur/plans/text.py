@@ -48,7 +48,11 @@ def entities_regex(spark, sf):
     return entity.entities(table(spark, sf, "documents"), "doc_id", "text", entity.ENTITY_PATTERNS[:1])
 
 
-@query()
+_ALL = " UNION ALL ".join(f"SELECT doc_id, trim(unnest(regexp_extract_all(text, '{p}', 1)), ' ') AS name, '{kind}' AS type, {confidence}::DOUBLE AS confidence FROM documents" for p, kind, confidence in entity.ENTITY_PATTERNS)
+ENTITIES_SQL = f"en AS (SELECT doc_id, name, arg_max(type, confidence) AS type, max(confidence) AS confidence FROM ({_ALL}) GROUP BY doc_id, name)"
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT doc_id, name, type, confidence FROM en")
 def entities_all(spark, sf):
     return entity.entities(table(spark, sf, "documents"), "doc_id", "text")
 
