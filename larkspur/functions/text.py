@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,83 @@ def partial_ratio(needle: str, hay: str) -> float:
     return best
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
+def _pairs_of(codes: np.ndarray) -> np.ndarray:
+    """A number for each two successive characters."""
+    return codes[:-1] << 21 | codes[1:]
+
+
+def _commons(masks: np.ndarray, which: np.ndarray, width: np.ndarray, start: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Common subsequences of windows (start, width in letters) with their needle, one bit a character as in `_common`.
+
+    masks (words of 64 bits, needles, letters) has the places of each letter in each needle; the last letter is in none.
+    """
+    rows, none = [np.full(len(which), 2**64 - 1, dtype=np.uint64) for _ in masks], masks.shape[2] - 1
+    for step in range(int(width.max())):
+        letter = np.where(step < width, letters[np.minimum(start + step, len(letters) - 1)], none)
+        carry = np.zeros(len(which), dtype=np.uint64)
+        for k, mask in enumerate(masks):
+            found, row = mask[which, letter], rows[k]
+            part = row + (row & found)
+            whole = part + carry
+            carry = ((part < row) | (whole < part)).astype(np.uint64)
+            rows[k] = whole | row & ~found
+    used = [np.minimum(np.maximum(width - 64 * k, 0), 64) for k in range(len(rows))]
+    full = [np.where(u == 64, np.uint64(2**64 - 1), (np.uint64(1) << (u % 64).astype(np.uint64)) - np.uint64(1)) for u in used]
+    return sum(np.bitwise_count(~r & f).astype(np.int64) for r, f in zip(rows, full))
+
+
+def close_ratios(needles: list[str], hay: str, floor: float, lanes: int = 32_768) -> dict[int, float]:
+    """The needles (by place) whose partial ratio with a text is at least `floor`, which must exceed 200 / 3.
+
+    A window of w characters that scores f with a needle of n lacks at most n - f (n + w) / 2 of its characters and adds at
+    most w - f (n + w) / 2, so at least (1.5 f - 1) (n + w) - 1 of the needle's pairs of characters stand in it. Only
+    windows with so many pairs that occur in the needle are scored, up to `lanes` at a time, which loses none.
+    """
+    f, size, out, near = floor / 100, len(hay), {}, {False: [], True: []}
+    codes = _codes(hay)
+    known, where = np.unique(_pairs_of(codes), return_inverse=True) if size > 1 else (codes[:0], codes[:0])
+    for place, needle in enumerate(needles):
+        n = len(needle)
+        if n < 2 or size < n or needle in hay:
+            out[place] = partial_ratio(needle, hay)
+            continue
+        marked, pairs = np.zeros(len(known), dtype=bool), _pairs_of(_codes(needle))
+        at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+        marked[at[known[at] == pairs]] = True
+        total = np.concatenate(([0], np.cumsum(marked[where])))
+        if (total[n - 1 :] - total[: size - n + 1]).max() < (3 * f - 2) * n / (2 - f) - 1 - 1e-9:
+            continue  # the narrowest window that can score f asks for more pairs than any full one has
+        ends = np.arange(1, size + n)
+        start, stop = np.maximum(ends - n, 0), np.minimum(ends, size)
+        enough = np.flatnonzero(total[np.maximum(stop - 1, start)] - total[start] >= (1.5 * f - 1) * (n + stop - start) - 1 - 1e-9)
+        near[n > 64].append((place, enough))
+    alphabet, letters = np.unique(codes, return_inverse=True)
+    for group in filter(None, near.values()):
+        most = max(len(needles[p]) for p, _ in group)
+        masks = np.zeros((-(-most // 64), len(group), len(alphabet) + 1), dtype=np.uint64)
+        index = {chr(c): i for i, c in enumerate(alphabet.tolist())}
+        for row, (place, _) in enumerate(group):
+            for i, ch in enumerate(needles[place]):
+                if ch in index:
+                    masks[i // 64, row, index[ch]] |= np.uint64(1 << i % 64)
+        which = np.repeat(np.arange(len(group)), [len(e) for _, e in group])
+        n, end = np.array([len(needles[p]) for p, _ in group])[which], np.concatenate([e for _, e in group])
+        padded = np.concatenate((np.full(most, len(alphabet)), letters, np.full(most, len(alphabet))))
+        for i in range(0, len(which), lanes):
+            w, width, stop = which[i : i + lanes], n[i : i + lanes], end[i : i + lanes] + 1
+            common = _commons(masks, w, width, stop - width + most, padded)
+            scores = 200.0 * common / (width + np.minimum(stop, size) - np.maximum(stop - width, 0))
+            best = np.zeros(len(group))
+            np.maximum.at(best, w, scores)
+            for row in np.flatnonzero(best).tolist():
+                out[group[row][0]] = max(out.get(group[row][0], 0.0), float(best[row]))
+    return {place: score for place, score in out.items() if score >= floor}
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """Of the shared words, and the shared words with either rest, the best ratio of two."""
     x, y = (set(re.findall(r"\w+", s.lower())) for s in (a, b))

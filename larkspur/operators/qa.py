@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import partial_ratio_udf
+from larkspur.functions.text import close_ratios, partial_ratio_udf
 
 #: Weight of a question type in a knowledge edge.
 TYPE_WEIGHTS = {"FACTUAL": 0.9, "RELATIONSHIP": 0.8, "MULTI_HOP": 0.6, "HIERARCHICAL": 0.7, "COMPARATIVE": 0.7, "REVERSAL": 0.5}
@@ -53,6 +56,30 @@ def quoted(segments: DataFrame, texts: DataFrame, segment: str, key: str, text:
     return found.unionByName(texts.join(short, F.col(text).contains(F.col(segment))).select(segments.columns))
 
 
+def close_quotes(asked: DataFrame, texts: DataFrame, segment: str, text: str, floor: float = 85.0) -> DataFrame:
+    """(segment, score): the distinct segments that some text holds at a partial ratio of at least `floor`, and the best one.
+
+    The segments are a stated set of answers and go to every task; texts are streamed and stay where they are, unless they
+    lie in fewer partitions than there are cores: scoring costs far more than moving them. Null texts hold nothing.
+    """
+    if not floor > 200 / 3:
+        raise ValueError("a floor must exceed 200 / 3")
+    needles = [r[0] for r in asked.select(segment).where(F.length(segment) > 0).distinct().collect()]
+    cores, rows = texts.sparkSession.sparkContext.defaultParallelism, texts.select(text).where(F.col(text).isNotNull())
+    rows = rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, float] = {}
+        for batch in batches:
+            for t in batch[text]:
+                left = [i for i in range(len(needles)) if best.get(i, 0.0) < 100]
+                for at, score in close_ratios([needles[i] for i in left], t, floor).items():
+                    best[left[at]] = max(best.get(left[at], 0.0), score)
+        yield pd.DataFrame({segment: [needles[i] for i in best], "score": [*best.values()]}).astype({segment: object, "score": "float64"})
+
+    return rows.mapInPandas(run, f"`{segment}` string, score double").groupBy(segment).agg(F.max("score").alias("score"))
+
+
 def citation_status(score: Column, threshold: float = 97.0) -> Column:
     return F.when(score >= threshold, "validated").when(score >= 85.0, "partial").otherwise("failed")
 

@@ -27,11 +27,11 @@ def citation_exact(spark, sf):
 
 @query()
 def citation_validate(spark, sf):
-    """Each item against its own text with one word dropped: close, but not quoted."""
-    items = table(spark, sf, "benchmark")
-    blocks = items.select("item_id", F.regexp_replace("text", r"^(\S+ )", "").alias("block"))
-    out = qa.citation_scores(items, blocks, "item_id", "text", "block", "item_id")
-    return out.select("item_id", F.round("score", 4).alias("score"), qa.citation_status(F.col("score")).alias("status"))
+    """Every item with the best score of its segments in any document; below 85 there is none, and it fails."""
+    items = table(spark, sf, "benchmark").select("item_id", F.explode(qa.segments(F.col("text"))).alias("segment"))
+    close = qa.close_quotes(items, table(spark, sf, "documents"), "segment", "text")
+    best = items.join(close, "segment", "left").groupBy("item_id").agg(F.max("score").alias("score"))
+    return table(spark, sf, "benchmark").select("item_id").join(best, "item_id", "left").select("item_id", F.round("score", 4).alias("score"), qa.citation_status(F.col("score")).alias("status"))
 
 
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|3'), doc_id) AS r, count(*) OVER () AS n FROM labels)

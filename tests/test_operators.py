@@ -1,9 +1,12 @@
 """Operators on small hand-made tables: null and tie cases, properties, and worked examples of a pizza shop's graph."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
+from larkspur.functions.text import close_ratios, partial_ratio
 from larkspur.operators import conversation, entity, graph, qa, rank, risk, temporal
 from larkspur.sources import files, store
 from larkspur.streaming import jobs
@@ -65,7 +68,7 @@ def test_vector_search_filters_before_the_cut(spark):
 
 def test_ratios():
     assert text.ratio("kitten", "sitting") == pytest.approx(100 * 2 * 4 / 13)
-    assert text.partial_ratio("abcd", "xxabcdxx") == 100 and text.partial_ratio("", "") == 0 or True
+    assert text.partial_ratio("abcd", "xxabcdxx") == 100 and text.partial_ratio("", "") == 100 and text.partial_ratio("", "x") == 0
     assert text.partial_ratio("abcd", "xxabXcdxx") < 100
     assert text.token_set_ratio("new york mets", "mets york new") == 100
 
@@ -162,6 +165,33 @@ def test_citations(spark):
     assert s[1] == 100 and s[2] < 85
 
 
+@pytest.mark.parametrize("floor", [70.0, 85.0, 97.0])
+def test_close_ratios_lose_no_window(floor):
+    rng = random.Random(int(floor))
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 7)))
+    hay = " ".join(word() for _ in range(150))
+    needles, letters = ["", "a", "zzz", hay + "x"], "aeinrst zé"
+    for _ in range(150):
+        at, n = rng.randrange(-10, len(hay)), rng.randint(2, 90)
+        cut = [*hay[max(at, 0) : at + n]]
+        for _ in range(rng.randint(0, max(1, n // 4))):
+            i = rng.randrange(len(cut) + 1)
+            cut[i : i + rng.randint(0, 1)] = rng.choice(letters) * rng.randint(0, 1)
+        needles.append("".join(cut))
+    for text in (hay, hay[:40], "", "t"):
+        wanted = {i: s for i, s in ((i, partial_ratio(n, text)) for i, n in enumerate(needles)) if s >= floor}
+        assert close_ratios(needles, text, floor, 100) == pytest.approx(wanted)
+        assert text != hay or len(wanted) > 20
+
+
+def test_close_quotes_are_the_best_of_all_texts(spark):
+    asked = spark.createDataFrame([("the quick brown fox",), ("the quick brown fox",), ("nothing alike here",), ("",), (None,)], "s string")
+    texts = spark.createDataFrame([("a quick brown fax ran", 1), ("see the quack brown fox", 2), (None, 3), ("", 4)], "text string, score int")
+    got = {r.s: r.score for r in qa.close_quotes(asked, texts, "s", "text").collect()}
+    assert got == {"the quick brown fox": partial_ratio("the quick brown fox", "see the quack brown fox")}
+    assert qa.close_quotes(asked, texts.limit(0), "s", "text").count() == 0
+
+
 def test_reversal_and_edges(spark):
     p = spark.createDataFrame([(1, "What is the capital of France?", "Paris", 0.8)], "k int, q string, a string, c double")
     r = qa.reversed_pairs(p, "q", "a", "c").first()
