@@ -274,3 +274,15 @@ def sections(rows: DataFrame, key: str, text: str) -> DataFrame:
     out = cut.where((number != "") | alone)
     title = F.when(alone, F.col("content")).otherwise(F.trim(F.regexp_extract("content", head, 2)))
     return out.select(key, F.rtrim(number, F.lit(".")).alias("number"), title.alias("title"), "start", F.length("content").cast("long").alias("length"), "content")
+
+
+def first_number(caption: Column) -> Column:
+    """The number of a caption such as `Table 2.3 of 7` (2.3), as text; null where it has none."""
+    return F.nullif(F.regexp_extract(caption, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit(""))
+
+
+def chunk_records(rows: DataFrame, content: str, title: str, line: str) -> DataFrame:
+    """rows with the span of lines, token estimates and digest of each chunk; `line` is the one it starts on. Null contents
+    are left out."""
+    breaks = F.length(content) - F.length(F.replace(F.col(content), F.lit("\n"), F.lit("")))
+    return rows.where(F.col(content).isNotNull()).withColumns({"first_line": F.col(line).cast("long"), "last_line": (F.col(line) + breaks).cast("long"), "content_tokens": token_estimate(F.col(content)), "title_tokens": token_estimate(F.col(title)), "section_id": content_hash(F.col(content))})

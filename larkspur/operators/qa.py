@@ -90,12 +90,16 @@ def reply_ok(question: Column, answer: Column, least: int = 10, most: int = 10_0
 
 
 def reversed_pairs(pairs: DataFrame, question: str, answer: str, confidence: str) -> DataFrame:
-    """(…, reversed_question, reversed_answer, reversed_confidence): templates first, then a swap of names, then a generic form."""
+    """(…, reversed_question, reversed_answer, reversed_confidence): templates first, then a swap of names, then a generic form.
+
+    Templates fit questions of one line; the name that is swapped is the last one of the whole question.
+    """
     q, a = F.trim(F.regexp_replace(F.col(question), r"\?+$", "")), F.trim(F.col(answer))
     what = F.regexp_extract(q, r"(?i)^what (?:is|are) (?:the |an? )?(.+)$", 1)
     who = F.regexp_extract(q, r"(?i)^who (.+)$", 1)
     where = F.regexp_extract(q, r"(?i)^where (?:is|are) (.+)$", 1)
-    name = F.regexp_extract(q, r"\b([A-Z]\w+(?: [A-Z]\w+)*)\b(?!.*\b[A-Z]\w+)", 1)
+    names = F.regexp_extract_all(q, F.lit(r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]+(?: \p{Lu}[\p{L}\p{N}_]+)*)"), F.lit(1))
+    name = F.coalesce(F.get(names, F.size(names) - 1), F.lit(""))
     short = F.substring(a, 1, 80)
     new_q = F.when(what != "", F.concat(F.lit("What is described as: "), short, F.lit("?"))).when(who != "", F.concat(F.lit("What did "), short, F.lit(" do?"))).when(where != "", F.concat(F.lit("What is found in "), short, F.lit("?"))).when((name != "") & ~F.lower(q).startswith("how"), F.concat(F.lit("What is "), short, F.lit(" related to?"))).otherwise(F.concat(F.lit("Which question is answered by: "), short, F.lit("?")))
     new_a = F.when(what != "", what).when(who != "", who).when(where != "", where).when((name != "") & ~F.lower(q).startswith("how"), name).otherwise(F.col(question))
@@ -249,3 +253,12 @@ def review_export(edges: DataFrame, entities: DataFrame, key: str, status: str |
     end = lambda name: entities.select(F.col("id").alias(f"{name}_id__"), F.struct("*").alias(name))
     out = rows.join(end("from_entity"), F.col("edge.src") == F.col("from_entity_id__"), "left").join(end("to_entity"), F.col("edge.dst") == F.col("to_entity_id__"), "left")
     return out.select("edge", "from_entity", "to_entity")
+
+
+#: Kinds of objects that make up a document's text.
+CORPUS_KINDS = ["text", "table", "code", "section"]
+
+
+def corpus(objects: DataFrame) -> DataFrame:
+    """Objects (document_id, type, text, ...) that citations are checked against: those kinds, where there is a text."""
+    return objects.where(F.col("type").isin(CORPUS_KINDS) & F.col("text").isNotNull())

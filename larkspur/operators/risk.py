@@ -98,3 +98,24 @@ def found(techniques: DataFrame, text: str, field: str = "all") -> DataFrame:
     for c in listed:
         where = where | c
     return techniques.where(where)
+
+
+def threat_metrics(techniques: DataFrame) -> DataFrame:
+    """techniques with risk_score, and impact, likelihood, detection and mitigation in percent: the rows of an enriched
+    matrix and of its heatmap. Unknown or missing levels read medium, missing countermeasures none."""
+    n = F.coalesce("countermeasures", F.lit(0))
+    return techniques.withColumns(
+        {
+            "risk_score": score(F.col("severity"), F.col("complexity"), F.col("detection"), n),
+            "impact_score": 100 * lookup(IMPACT, F.col("severity"), 0.5),
+            "likelihood_score": 100 * lookup(LIKELIHOOD, F.col("complexity"), 0.6),
+            "detection_score": 100 * lookup(DETECTION, F.col("detection"), 0.6),
+            "mitigation_effectiveness": F.when(n > 0, F.least(F.lit(100.0), 20.0 * n)).otherwise(10.0),
+        }
+    )
+
+
+def detected_in(analyses: DataFrame, key: str, techniques: str, score: str) -> DataFrame:
+    """(src, dst, confidence): an edge from each analysis to each technique that it names; a missing score is 0, and an
+    analysis without techniques has no edge."""
+    return analyses.select(F.col(key).alias("src"), F.explode(techniques).alias("dst"), F.coalesce(F.col(score), F.lit(0.0)).cast("double").alias("confidence"))

@@ -85,7 +85,10 @@ def reply_checks(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", qa.reply_ok(F.col("question"), F.col("answer")).alias("ok"))
 
 
-@query()
+@query(rf"""WITH {_P}, q AS (SELECT *, trim(regexp_replace(question, '\?+$', '')) AS q, trim(answer) AS a FROM p),
+x AS (SELECT *, left(a, 80) AS s, regexp_extract(q, '(?i)^what (?:is|are) (?:the |an? )?(.+)$', 1) AS what, regexp_extract(q, '(?i)^who (.+)$', 1) AS who, regexp_extract(q, '(?i)^where (?:is|are) (.+)$', 1) AS place, CASE WHEN starts_with(lower(q), 'how') THEN '' ELSE coalesce(regexp_extract_all(q, '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}[\p{{L}}\p{{N}}_]+(?: \p{{Lu}}[\p{{L}}\p{{N}}_]+)*)', 1)[-1], '') END AS name FROM q)
+SELECT conv_id, turn, md5(CASE WHEN what <> '' THEN 'What is described as: ' || s || '?' WHEN who <> '' THEN 'What did ' || s || ' do?' WHEN place <> '' THEN 'What is found in ' || s || '?' WHEN name <> '' THEN 'What is ' || s || ' related to?' ELSE 'Which question is answered by: ' || s || '?' END) AS question,
+md5(CASE WHEN what <> '' THEN what WHEN who <> '' THEN who WHEN place <> '' THEN place WHEN name <> '' THEN name ELSE question END) AS answer, 0.72::DOUBLE AS reversed_confidence FROM x""")
 def reversals(spark, sf):
     rows = qa.reversed_pairs(_pairs(spark, sf).withColumn("confidence", F.lit(0.8)), "question", "answer", "confidence")
     return rows.select("conv_id", "turn", F.md5("reversed_question").alias("question"), F.md5("reversed_answer").alias("answer"), "reversed_confidence")

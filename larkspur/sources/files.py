@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 BLOCKS = "document_id string, pages array<struct<page_number int, blocks array<struct<type string, text string, level int>>>>"
 MESSAGES = "messages array<struct<role string, content string>>, metadata map<string,string>"
+THREATS = "collections struct<tactics array<struct<_key string, name string>>, techniques array<struct<_key string, name string, severity string, tactic_ids array<string>>>>, edges map<string, array<struct<_from string, _to string>>>"
 TECHNIQUES = "tactics array<struct<id string, name string>>, techniques array<struct<id string, name string, severity string, tactic_ids array<string>>>"
 
 
@@ -34,6 +35,14 @@ def techniques(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("tactic_id", F.explode("tactic_ids")).drop("tactic_ids")
 
 
+def threats(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tactics, techniques and edges (type, _from, _to) of an import; of rows with one key the import keeps one."""
+    whole = json(spark, path, THREATS)
+    rows = lambda name: whole.select(F.explode(f"collections.{name}").alias("r")).select("r.*").dropDuplicates(["_key"])
+    edges = whole.select(F.explode("edges").alias("type", "e")).select("type", F.explode("e").alias("e")).select("type", "e.*")
+    return rows("tactics"), rows("techniques"), edges
+
+
 def write(df: DataFrame, path: str, fmt: str = "json", compression: str | None = None, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     w = df.write.mode(mode)
     if fmt == "csv":

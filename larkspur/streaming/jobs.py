@@ -88,3 +88,11 @@ def rate_limited_stream(stream: DataFrame, key: str, time: str, rate: float, bur
 def cache_key(ids: str, parameters: str) -> Column:
     """A digest of an array column's sorted ids and a parameter column: equal graphs share an entry."""
     return F.sha2(F.to_json(F.struct(F.array_sort(F.col(ids)).alias("ids"), F.col(parameters).alias("parameters"))), 256)
+
+
+def limiter_stats(rows: DataFrame, key: str, time: str, at: Column, rate: float, burst: int) -> DataFrame:
+    """(key, current_calls, available_capacity) of limiters at a time, from rows with `admitted`: calls of the last
+    burst / rate seconds, and how many more would be let through by count. Keys without such calls have it all."""
+    since = F.unix_micros(at) - int(burst / rate * 1_000_000)
+    live = F.col("admitted") & (F.unix_micros(time) > since) & (F.unix_micros(time) <= F.unix_micros(at))
+    return rows.groupBy(key).agg(F.count_if(live).alias("current_calls"), (F.lit(burst).cast("long") - F.count_if(live)).alias("available_capacity"))

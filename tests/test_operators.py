@@ -320,3 +320,27 @@ def test_threat_search_looks_into_arrays(spark):
     assert [risk.found(rows, q, f).count() for q, f in [("dazzle", "all"), ("dazzle", "name"), ("st1", "id"), ("x", "all")]] == [1, 0, 1, 0]
     with pytest.raises(ValueError):
         risk.found(rows, "x", "severity")
+
+
+def test_threat_import_and_metrics(spark, tmp_path):
+    path = tmp_path / "threats.json"
+    path.write_bytes(b"\xef\xbb\xbf" + b'{"collections": {"tactics": [{"_key": "T", "name": "t"}, {"_key": "T", "name": "t"}], "techniques": [{"_key": "a", "severity": "high", "tactic_ids": ["T"]}]}, "edges": {"uses": [{"_from": "a", "_to": "T"}], "follows": []}}')
+    tactics, techniques, edges = files.threats(spark, str(path))
+    assert tactics.count() == 1 and techniques.first()["severity"] == "high"
+    assert [tuple(r) for r in edges.collect()] == [("uses", "a", "T")]
+    row = risk.threat_metrics(spark.createDataFrame([(None, "odd", "hard", None)], "severity string, complexity string, detection string, countermeasures int")).first()
+    assert (row.impact_score, row.likelihood_score, row.detection_score, row.mitigation_effectiveness) == (50, 60, 80, 10)
+
+
+def test_captions_chunks_and_corpus(spark):
+    rows = spark.createDataFrame([("Table 2.3 of 7", 1), ("none", 2), ("", 3), (None, 4)], "c string, k int")
+    assert [r.n for r in rows.orderBy("k").select(text.first_number(F.col("c")).alias("n")).collect()] == ["2.3", None, None, None]
+    chunk = text.chunk_records(spark.createDataFrame([("a\nb\n", "t", 5), (None, "t", 1)], "c string, t string, l int"), "c", "t", "l").collect()
+    assert [(r.first_line, r.last_line) for r in chunk] == [(5, 7)]
+    kept = qa.corpus(spark.createDataFrame([("text", "x"), ("figure", "x"), ("code", None), (None, "x")], "type string, text string"))
+    assert kept.count() == 1
+
+
+def test_reversal_swaps_the_last_name_of_all_lines(spark):
+    rows = qa.reversed_pairs(spark.createDataFrame([("Did Ada Byron write\nto Émile Zölch or not?", "Yes", 0.8)], "q string, a string, c double"), "q", "a", "c")
+    assert rows.first()["reversed_answer"] == "Émile Zölch"
