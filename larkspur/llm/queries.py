@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import embedding_dedup, fixity, line_dedup, mixing, ngram_join, packing, sharding, topk_search, toxicity, url_filter
+from larkspur.llm import embedding_dedup, fixity, language_id, line_dedup, mixing, ngram_join, packing, periodic_runs, sharding, spelling, topk_search, toxicity, url_filter
 from larkspur.llm.common import written
 
 #: Host, path prefix and verdict of the URL rules.
@@ -24,6 +24,9 @@ TARGETS = {
 }
 #: Rounds of raking that the SQL unrolls: more than the fit takes to settle.
 ROUNDS, SEED = 40, 17
+#: Words that spelling variants are sought among: least letters and occurrences, every how many lose a letter, and how much
+#: more frequent a form is.
+SHORTEST, RAREST, DROPPED, TIMES = 6, 5, 199, 5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,7 +118,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merkle_fixity, op2_url_filter, op3_mixing, op4_topk_search, op5_packing, op6_ngram_join, op7_line_dedup, op8_embedding_dedup, op9_sharding, op10_toxicity)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Automata of the rows outside fold 0 whose language is known, then every text judged. Null texts and those without a
+    letter are `und`; rows without an id are left out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where("doc_id IS NOT NULL")
+    model = language_id.learned(docs.where(toxicity.fold("doc_id") != 0))
+    return language_id.predicted(docs, model).select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "bits")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six letters and five occurrences or more, with planted misspellings; null and empty texts have no words."""
+    words = spelling.counted(_table(spark, sf_dir, "documents"), shortest=SHORTEST, drop_every=DROPPED)
+    return spelling.grouped(words.where(F.col("n") >= RAREST), TIMES)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs, with every tenth document turned periodic; null texts have no words; equal texts of other ids may
+    differ, as what is planted depends on the id."""
+    docs = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    found = periodic_runs.collapsed(docs.select("doc_id", periodic_runs.with_planted("doc_id", "text").alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    longest = (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"), F.expr("1000 * b.length DIV -b.period").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", *longest, "runs_sha256", "collapsed_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merkle_fixity, op2_url_filter, op3_mixing, op4_topk_search, op5_packing, op6_ngram_join, op7_line_dedup, op8_embedding_dedup, op9_sharding, op10_toxicity, op11_language_id, op12_spelling, op13_periodic_runs)}
 
 _FIXITY = f"""
 WITH r AS (SELECT page_id, page_id // {VOLUME} AS volume, (64 + coalesce(octet_length(encode(url)), 0) + coalesce(octet_length(encode(html)), 0))::BIGINT AS size,
@@ -200,4 +229,41 @@ u AS (SELECT * FROM (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM e WHERE
 l AS (SELECT a.vec_id AS one, b.vec_id AS two FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.98),
 r AS (SELECT vec_id AS id, vec_id AS place FROM e UNION SELECT r.id, l.two FROM r JOIN l ON r.place = l.one), c AS (SELECT id, min(place) AS component_id FROM r GROUP BY id), d AS (SELECT one, count(*) AS links FROM l GROUP BY one)
 SELECT id AS vec_id, coalesce(links, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN d ON one = id"""
-ORACLES: dict[str, str] = {"op1_merkle_fixity": _FIXITY, "op2_url_filter": _URLS, "op3_mixing": _mixing_sql(TARGETS, ROUNDS), "op4_topk_search": _TOPK, "op6_ngram_join": _NGRAMS, "op7_line_dedup": _LINES, "op8_embedding_dedup": _NEAR, "op9_sharding": _SHARDS}
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t"
+
+
+def _crc(bytes_: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda a, y: xor(a // 256, t[xor(a, y) % 256 + 1])))"
+
+
+#: Letters beyond ASCII as single bytes, so that edits of bytes are edits of letters.
+_ACCENTS = "".join(map(chr, range(0xC0, 0x100)))
+_SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.islower() and c != "'")[: len(_ACCENTS)]
+#: All pairs of words of like length by plain edit distance.
+_VARIANTS = rf"""WITH RECURSIVE t AS ({_CRC_TABLE}),
+o AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, w, count(*) AS n FROM o GROUP BY ALL), x AS (SELECT w, n, list_transform(string_split(hex(encode(doc_id::VARCHAR || ':' || w)), ''), lambda c: instr('0123456789ABCDEF', c) - 1) AS x FROM p),
+h AS (SELECT w, n, {_crc("list_transform(range(1, len(x), 2), lambda i: (16 * x[i] + x[i + 1])::BIGINT)")} AS h FROM x, t),
+c AS (SELECT CASE WHEN h % {DROPPED} = 0 THEN substring(w, 1, (h % length(w))::BIGINT) || substring(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n, translate(word, '{_ACCENTS}', '{_SIGNS}') AS spelled FROM c WHERE length(word) >= {SHORTEST} GROUP BY word HAVING sum(n) >= {RAREST}),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM v a, v b WHERE a.word <> b.word AND abs(length(a.spelled) - length(b.spelled)) <= 1 AND levenshtein(a.spelled, b.spelled) = 1),
+s AS (SELECT word, n, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY ALL),
+f AS MATERIALIZED (SELECT s.word, min(near.near) AS form, s.top AS form_n FROM s JOIN near ON near.word = s.word AND near.near_n = s.top WHERE s.top >= {TIMES} * s.n GROUP BY ALL),
+r AS (SELECT word, form AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root), e AS (SELECT word, root FROM r WHERE root NOT IN (SELECT word FROM f))
+SELECT v.word, f.form, coalesce(e.root, v.word) AS root, v.n, coalesce(s.n_near, 0) AS n_near, f.form_n FROM v LEFT JOIN s ON s.word = v.word LEFT JOIN f ON f.word = v.word LEFT JOIN e ON e.word = v.word"""
+
+#: Equal words of a document by distance, their unbroken stretches, and those that no stretch of a smaller distance holds.
+_RUNS = rf"""WITH t AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} AS h FROM documents, t WHERE doc_id IS NOT NULL),
+g AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d), q AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(0, n - a), lambda i: w[a + i % p + 1])) ELSE w END AS w FROM q),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM w),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM x JOIN x AS y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
+r AS MATERIALIZED (SELECT doc_id, min(i) AS s, count(*) + q AS l, q FROM k GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+m AS MATERIALIZED (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.l >= r.s + r.l)),
+b AS (SELECT doc_id, count(*) AS n_runs, max(struct_pack(l := l, s := -s, q := -q)) AS b, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS h FROM m GROUP BY doc_id),
+c AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS h FROM x WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = x.doc_id AND x.i >= m.s + m.q AND x.i < m.s + m.l) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -b.s AS start, b.l AS length, -b.q AS period, 1000 * b.l // -b.q AS exponent_milli, coalesce(b.h, sha256('')) AS runs_sha256, coalesce(c.h, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+ORACLES: dict[str, str] = {"op1_merkle_fixity": _FIXITY, "op2_url_filter": _URLS, "op3_mixing": _mixing_sql(TARGETS, ROUNDS), "op4_topk_search": _TOPK, "op6_ngram_join": _NGRAMS, "op7_line_dedup": _LINES, "op8_embedding_dedup": _NEAR, "op9_sharding": _SHARDS, "op12_spelling": _VARIANTS, "op13_periodic_runs": _RUNS}
