@@ -2,6 +2,7 @@
 columns that other tables have too."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -398,39 +399,36 @@ def test_toxicity_held_out(spark):
 
 
 def brute_toxicity(rows, labels):
-    """Word spellings and dictionaries: every n-gram counts, and the curve sees all rows of its fold."""
+    """Beginnings of words in dictionaries: every one counts, and the curve sees all rows of its fold."""
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
-    spell = lambda w: [tuple(([1] * 5 + list(w.encode()) + [2])[k : k + 6]) for k in range(len(w) + 1)]
-    t, c, mark = {}, {}, dict(labels)
+    spell = lambda w: [(w.encode() + b"\2")[:k] for k in range(1, min(len(w.encode()) + 1, 12) + 1)]
+    counts, mark = {}, dict(labels)
     for i, text in rows:
         for g in (g for w in text.split() for g in spell(w) if i in mark and fold(i) not in (0, 4)):
-            (t if mark[i] else c)[g] = (t if mark[i] else c).get(g, 0) + 1
-    counts = {6: {g: (t.get(g, 0), c.get(g, 0), 1) for g in {*t, *c}}}
-    for n in range(5, 0, -1):
-        counts[n] = {}
-        for g, x in counts[n + 1].items():
-            counts[n][g[1:]] = tuple(a + (b > 0) for a, b in zip(counts[n].get(g[1:], (0, 0, 0)), x))
-    p, left = {(): (1 / 256, 1 / 256)}, {}
-    for n in range(1, 7):
-        at = {g: (x[2], x[2]) if n <= 2 else x[:2] for g, x in counts[n].items()}
-        total, less = {}, {}
-        for g, x in at.items():
-            total[g[:-1]] = [a + b for a, b in zip(total.get(g[:-1], (0, 0)), x)]
-            less[g[:-1]] = [a + max(b - 0.75, 0) for a, b in zip(less.get(g[:-1], (0, 0)), x)]
-        for h in total:
-            left[h] = [1 - y / x if x else 1.0 for x, y in zip(total[h], less[h])]
-        for g, x in at.items():
-            p[g] = [max(x[k] - 0.75, 0) / max(total[g[:-1]][k], 1) + left[g[:-1]][k] * p[g[1:]][k] for k in (0, 1)]
+            counts.setdefault(g, [0, 0])[1 - mark[i]] += 1
+    after = {}
+    for g in counts:
+        after.setdefault(g[:-1], []).append(g)
+
+    def part(h, g, of, less):
+        total = sum(of(x) for x in after[h])
+        left = 1 - sum(max(of(x) - less, 0) for x in after[h]) / total
+        return (max(of(g) - less, 0) / total if g in counts else 0.0), left
 
     def value(g):
-        if len(g) == 2:
+        h = g[:-1]
+        if not all(sum(counts[x][k] for x in after.get(h, [])) for k in (0, 1)):
             return 0.0
-        return np.log(p[g][0] / p[g][1]) if g in p else (np.log(left[g[:-1]][0] / left[g[:-1]][1]) if g[:-1] in left else 0.0) + value(g[1:])
-
-    n = np.array([len(text.split()) for _, text in rows])
-    mean = np.array([sum(value(g) for w in text.split() for g in spell(w)) for _, text in rows]) / n
-    x, held = np.stack([np.ones(len(n)), mean, mean * np.sqrt(n)], 1), np.array([i in mark and fold(i) == 4 for i, _ in rows])
-    y, scale, w = np.array([mark[i] for i, _ in rows])[held], np.array([1, *x[held, 1:].std(0)]), np.zeros(3)
+        own, left = part(h, g, lambda x: sum(counts[x]), 0.75)
+        shared = own + left / 256
+        (t, left_t), (c, left_c) = (part(h, g, lambda x, k=k: counts[x][k], 3.0) for k in (0, 1))
+        return float(np.log(t + left_t * shared) - np.log(c + left_c * shared)) if g in counts else float(np.log(left_t) - np.log(left_c))
+
+    seen = {}
+    words = [[seen.setdefault(w, None) if seen.get(w) is not None else seen.update({w: sum(map(value, spell(w)))}) or seen[w] for w in text.split()] for _, text in rows]
+    x = np.array([[1.0, np.mean(v), np.mean(sorted(v)[-3:])] for v in words])
+    held = np.array([i in mark and fold(i) == 4 for i, _ in rows])
+    y, scale, w = np.array([mark[i] for i, _ in rows if i in mark and fold(i) == 4]), np.array([1, *x[held, 1:].std(0)]), np.zeros(3)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x[held] / scale @ w, -30, 30)))
         w = w + np.linalg.solve((x[held] / scale).T * (q * (1 - q)) @ (x[held] / scale) + 1e-3 * np.eye(3), (x[held] / scale).T @ (y - q) - 1e-3 * w)
@@ -440,14 +438,44 @@ def brute_toxicity(rows, labels):
 @pytest.mark.parametrize("held", [1 << 40, 0])
 def test_toxicity_counts_every_ngram(spark, monkeypatch, held):
     monkeypatch.setattr(toxicity, "HELD", held, raising=False)  # broadcast, and joined
-    for bound in ("MAX_GRAMS", "MAX_CURVE"):  # of an earlier version: no bound on the model or the curve has an effect
-        monkeypatch.setattr(toxicity, bound, 40, raising=False)
+    monkeypatch.setattr(toxicity, "_ADDED", 200)  # counts are handed on in parts
     rows, labels = toxic_corpus(300)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.score for r in toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert got == pytest.approx(brute_toxicity(rows, labels), abs=1e-6)
 
 
+def test_toxicity_finds_stems_in_every_language(spark):
+    """Insults that are stems with endings of their own, in texts of four kinds where parts of the stems are common letters."""
+    r = random.Random(11)
+    kinds = [("achlich", ["ach", "lich", "keit", "ung", "en", "und", "die"]), ("réeux", ["ré", "eux", "ment", "pa", "é", "la", "oi"]), ("boment", ["bo", "ment", "ción", "os", "de", "ra", "que"]), ("idiot", ["id", "io", "the", "ing", "of", "and", "tion"])]
+    kinds = [(stem, parts + ["".join(r.choice("aeioulnrst") for _ in range(3)) for _ in range(18)]) for stem, parts in kinds]
+    rows, labels = [], []
+    for i in range(1600):
+        stem, parts = r.choice(kinds)
+        words = ["".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(r.choice([30, 200]))]
+        bad = r.random() < 0.25
+        for _ in range(max(4, len(words) // 40) if bad else r.random() < 0.1):
+            words[r.randrange(len(words))] = stem + "".join(r.choice(parts) for _ in range(r.randint(1, 2)))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(got[i] >= 0.5, y, i) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    toxic, clean = [p for p, y, _ in held if y], [p for p, y, _ in held if not y]
+    assert len(toxic) > 50 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_on_the_test_tables(spark):
+    """Held-out labels, over all and by language."""
+    sf = "/root/testdata/sf0.1"
+    found = queries.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic IS NOT NULL").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = found.select("lang", "toxic", "predicted").collect()
+    for lang in (None, "en", "de", "fr", "es"):
+        toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == y and lang in (None, r["lang"])] for y in (1, 0))
+        assert sum(toxic) >= (0.9 if lang is None else 0.8) * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     empty = spark.createDataFrame([], "doc_id long, toxic int")
