@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from larkspur.functions import vector
 from larkspur.functions.text import name_variants
 
+#: Technologies that are known by name: a list to be replaced by one's own.
+TECHNOLOGIES = ("Python", "JavaScript", "TypeScript", "Java", "Ruby", "Go", "MongoDB", "MySQL", "PostgreSQL", "AWS", "Azure", "Docker", "Kubernetes")
 #: Pattern, type and confidence of entities in text.
 ENTITY_PATTERNS = [
     (r"([A-Z][a-z]+ [A-Z][a-z]+)", "PERSON", 0.7),
     (r"((?:[A-Z][a-zA-Z]+ (?:Inc\.|Corp\.|LLC|Company|Association|University|Institute))|(?:[A-Z][A-Za-z]+ [A-Z][A-Za-z]+ (?:Inc\.|Corp\.|LLC|Company|Association)))", "ORGANIZATION", 0.75),
     (r"(?i)([a-z][a-z]+ (?:algorithm|framework|method|technique|system|process|model|architecture))", "CONCEPT", 0.65),
-    (r"\b(Python|JavaScript|TypeScript|Java|Ruby|Go|ArangoDB|MongoDB|MySQL|PostgreSQL|AWS|Azure|Docker|Kubernetes)\b", "TECHNOLOGY", 0.85),
+    (rf"\b({'|'.join(TECHNOLOGIES)})\b", "TECHNOLOGY", 0.85),
 ]
 #: A run of words and white space, taken from its first word on: no later start can match where that one does not, so each
 #: run is tried once.

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share, so that a loop's plan does not grow."""
-    spark: SparkSession = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = (named or "file:///tmp/checkpoints/larkspur").rstrip("/")
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from larkspur.sources.shared import kept as _kept
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import vector
-
 from larkspur.operators import rank
 from larkspur.plans.registry import query, table
+from larkspur.sources.inverted import Index
+from larkspur.sources.shared import shared_dir
 
 Q = "the nation of with"
 TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
@@ -28,27 +31,56 @@ def _query_vector(emb: DataFrame) -> list[float]:
     return [float(x) for x in emb.where("vec_id = 0").first()["embedding"]]
 
 
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def text_index(spark, sf) -> Index:
+    """The written index of all documents' texts: built on first use in a session, opened afterwards."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _INDEXES:
+        index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+        index.add(table(spark, sf, "documents"), "doc_id", "text")
+        _INDEXES[at] = index
+    return _INDEXES[at]
+
+
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
 @query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf):
-    hits = rank.top(rank.bm25(table(spark, sf, "documents").select("doc_id", "text"), Q, "doc_id", "text"), 10, "doc_id")
-    return _rounded(hits.select("doc_id", "score"), "score")
+    return _rounded(text_index(spark, sf).search(Q, 10, "doc_id"), "score")
 
 
 @query(f"WITH {BM25}, f AS (SELECT *, count(*) OVER () AS total FROM b WHERE score >= 0.5 AND lang = 'en') SELECT doc_id, round(score, 6) AS score, total FROM f ORDER BY f.score DESC, doc_id LIMIT 20 OFFSET 10")
 def bm25_paged_total(spark, sf):
-    hits = rank.bm25(table(spark, sf, "documents").select("doc_id", "lang", "text"), Q, "doc_id", "text").where("score >= 0.5 AND lang = 'en'").select("doc_id", "score")
+    found = text_index(spark, sf).scores(Q, "doc_id").where("score >= 0.5")
+    hits = found.join(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"), "doc_id")
     total = hits.agg(F.count("*").alias("total"))
     return _rounded(rank.top(hits, 20, "doc_id", offset=10).crossJoin(F.broadcast(total)), "score")
 
 
 @query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 10")
 def bm25_postings(spark, sf):
-    index = rank.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return _rounded(rank.top(rank.bm25_from_postings(index, Q, "doc_id"), 10, "doc_id"), "score")
+    """All documents with a word of the query are scored from the index."""
+    return _rounded(rank.top(text_index(spark, sf).scores(Q, "doc_id"), 10, "doc_id"), "score")
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 10")
+def bm25_segments(spark, sf):
+    """The same from an index of two segments: documents of odd ids are added later, without a rebuild."""
+    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents")
+    index.add(docs.where("doc_id % 2 = 0"), "doc_id", "text")
+    index.add(docs.where("doc_id % 2 = 1"), "doc_id", "text")
+    return _rounded(index.search(Q, 10, "doc_id"), "score")
+
+
+@query(f"WITH {BM25} SELECT doc_id, lang, round(score, 6) AS score FROM b")
+def bm25_scan(spark, sf):
+    """Every match of a corpus that is not indexed, by two passes over its texts."""
+    return _rounded(rank.bm25(table(spark, sf, "documents").select("doc_id", "lang", "text"), Q, "doc_id", "text").select("doc_id", "lang", "score"), "score")
 
 
 @query(r"""SELECT doc_id, CASE WHEN contains(text, 'in the') THEN 1.0 ELSE 0.9 END::DOUBLE AS score FROM documents
@@ -132,7 +164,7 @@ def semantic_readiness(spark, sf):
 
 def _lists(spark, sf, n=20):
     docs, emb = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    words_ = rank.ranked(rank.bm25(docs.select("doc_id", "text"), Q, "doc_id", "text").select("doc_id", "score"), "doc_id", n)
+    words_ = rank.ranked(text_index(spark, sf).search(Q, n, "doc_id"), "doc_id", n)
     near = rank.ranked(rank.vector_scores(emb, "embedding", _query_vector(emb)).select(F.col("vec_id").alias("doc_id"), "score"), "doc_id", n)
     longest = rank.ranked(docs.select("doc_id", F.col("n_chars").cast("double").alias("score")), "doc_id", n)
     return words_, near, longest
@@ -168,7 +200,7 @@ def hybrid_topk(spark, sf):
     """Tag prefilter, words and vectors, fusion; the prefilter holds for both legs."""
     docs, emb = table(spark, sf, "documents"), table(spark, sf, "embeddings")
     tagged = rank.tags(docs.withColumn("tags", F.array("lang")), ["en"], "tags").select("doc_id")
-    hits = rank.bm25(docs.select("doc_id", "lang", "text"), Q, "doc_id", "text").where("lang = 'en'")
+    hits = text_index(spark, sf).scores(Q, "doc_id").join(tagged, "doc_id", "left_semi")
     near = rank.vector_scores(emb, "embedding", _query_vector(emb)).withColumnRenamed("vec_id", "doc_id").join(tagged, "doc_id", "left_semi")
     fused = rank.fused({"bm25": rank.ranked(hits, "doc_id", 20), "semantic": rank.ranked(near, "doc_id", 20)}, {"bm25": 0.5, "semantic": 0.5}, "doc_id")
     return rank.top(fused.select("doc_id", "score"), 10, "doc_id").withColumn("score", F.round("score", 8))
@@ -178,8 +210,8 @@ def hybrid_topk(spark, sf):
 r AS (SELECT t.doc_id, t.score, 0.4 + 0.4 * ((contains(lower(text), 'the'))::INT + (contains(lower(text), 'nation'))::INT + (contains(lower(text), 'with'))::INT) / 3.0::DOUBLE AS rr FROM t JOIN documents USING (doc_id))
 SELECT doc_id, round(rr, 6) AS rerank_score, round(0.3 * score + 0.7 * rr, 6) AS final_score FROM r ORDER BY 0.3 * score + 0.7 * rr DESC, doc_id LIMIT 10""")
 def rerank_overlap(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    hits = rank.top(rank.bm25(docs, Q, "doc_id", "text"), 30, "doc_id")
+    best = text_index(spark, sf).search(Q, 30, "doc_id")
+    hits = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(best), "doc_id")  # 30 rows
     out = rank.reranked(hits, rank.overlap_score(F.col("text"), Q), 10, "doc_id")
     return _rounded(out.select("doc_id", "rerank_score", "final_score"), "rerank_score", "final_score")
 
