@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import vector
+from larkspur.operators import matrix
 from larkspur.functions.text import name_variants
 
 #: Technologies that are known by name: a list to be replaced by one's own.
@@ -80,17 +80,11 @@ def exact_matches(new: DataFrame, known: DataFrame, new_key: str, known_key: str
 
 
 def similar_matches(new: DataFrame, known: DataFrame, new_key: str, known_key: str, column: str, floor: float = 0.85, most: int = 5, block: str | None = None, strict: bool = False) -> DataFrame:
-    """(new_key, known_key, similarity): up to `most` known vectors at a cosine of at least `floor`.
+    """(new_key, known_key, similarity): up to `most` known vectors at a cosine of at least `floor`, by products of tiles.
 
-    `block` joins only rows of an equal column (a type, say) by shuffle; without it `new` must be a small, stated set.
+    `block` compares only rows of an equal column (a type, say); without it every new row meets every known one.
     """
-    a = new.select(F.col(new_key), *([F.col(block).alias("block")] if block else []), vector.doubles(F.col(column)).alias("a"))
-    b = known.select(F.col(known_key), *([F.col(block).alias("block")] if block else []), vector.doubles(F.col(column)).alias("b"))
-    both = a.join(b, "block") if block else b.join(a, F.col(new_key) != F.col(known_key))
-    scored = both.where(F.col(new_key) != F.col(known_key)).withColumn("similarity", vector.cosine(F.col("a"), F.col("b")))
-    passed = scored.where(F.col("similarity") > floor if strict else F.col("similarity") >= floor)
-    w = Window.partitionBy(new_key).orderBy(F.desc("similarity"), known_key)
-    return passed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select(new_key, known_key, "similarity")
+    return matrix.best_matches(new, known, new_key, known_key, column, floor, most, F.col(block) if block else None, strict=strict)
 
 
 def match_confidence(name_exact: Column, name_close: Column, same_type: Column, attributes: Column, embedding: Column) -> Column:

@@ -10,10 +10,27 @@ from larkspur.plans.registry import query, table
 from larkspur.streaming import jobs
 
 
-@query()
+_CALLS = "e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)"
+#: The first call of a user, and each next one that is late enough after the last such call.
+_APART = """WITH RECURSIVE {calls}, a AS (SELECT user_id, r, ts FROM e WHERE r = 1 UNION ALL
+SELECT user_id, r, ts FROM (SELECT e.user_id, e.r, e.ts, row_number() OVER (PARTITION BY e.user_id ORDER BY e.r) AS k FROM a JOIN e ON e.user_id = a.user_id AND e.r > a.r AND e.ts >= a.ts + INTERVAL {span}) WHERE k = 1)
+SELECT event_id, user_id, {flag} FROM e LEFT JOIN a USING (user_id, r)"""
+
+
+def _calls(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(_APART.format(calls=_CALLS, span="24 hours", flag="a.r IS NOT NULL AS admitted"))
 def rate_limiter(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.rate_limited(rows, "user_id", "ts", "event_id", 1 / 3600, 3)
+    """A call a day and three in three days: the first rule implies the second."""
+    return jobs.rate_limited(_calls(spark, sf), "user_id", "ts", "event_id", 1 / 86400, 3).select("event_id", "user_id", "admitted")
+
+
+@query(_APART.format(calls=_CALLS, span="48 hours", flag="a.r IS NULL AS hit"))
+def cache_hits(spark, sf):
+    """Events as requests for a user's drawing, which is kept for two days."""
+    return jobs.cache_replay(_calls(spark, sf), "user_id", "ts", "event_id", "48 hours").select("event_id", "user_id", "hit")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 hour, ts)) AS start_us, event_type, count(*) AS events FROM events GROUP BY ALL")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from larkspur.operators import risk
@@ -71,18 +71,102 @@ def rate_limited(rows: DataFrame, key: str, time: str, tie: str, rate: float, bu
     return rows.repartition(key).sortWithinPartitions(key, time, tie).mapInPandas(run, schema)
 
 
-def rate_limited_stream(stream: DataFrame, key: str, time: str, rate: float, burst: int) -> DataFrame:
-    """Streaming form, by the same rule: state a key is the times admitted within the window; (key, time, admitted) come out."""
+def _stateful(spark: SparkSession) -> None:
+    """State with timers and lifetimes lives in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        times = sorted(t.timestamp() for b in batches for t in b[time])
-        ok, recent = admitted(times, rate, burst, recent, 1 / rate)
-        state.update((recent,))
-        yield pd.DataFrame({key: [k[0]] * len(times), "time": pd.to_datetime(times, unit="s"), "admitted": ok})
 
+def rate_limited_stream(stream: DataFrame, key: str, time: str, rate: float, burst: int, late: str = "0 seconds") -> DataFrame:
+    """Streaming form, by the same rule: (key, time, admitted) of each call, in order of time within a micro-batch.
+
+    State a key is the times admitted within the window. A timer on the watermark drops it once burst / rate seconds have
+    passed since the last of them, so keys that fall silent leave the state.
+    """
+    window = burst / rate
+
+    class Limiter(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.recent = handle.getValueState("recent", "times array<double>")
+
+        def handleInputRows(self, k: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+            before = list(self.recent.get()[0]) if self.recent.exists() else []
+            times = sorted(t.timestamp() for b in rows for t in b[time])
+            ok, recent = admitted(times, rate, burst, before, 1 / rate)
+            for at in before[-1:]:
+                self.handle.deleteTimer(_due(at))
+            if recent:
+                self.recent.update((recent,))
+                self.handle.registerTimer(_due(recent[-1]))
+            yield pd.DataFrame({key: [k[0]] * len(times), "time": pd.to_datetime(times, unit="s"), "admitted": ok})
+
+        def handleExpiredTimer(self, k: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.recent.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    def _due(last: float) -> int:
+        return int((last + window) * 1000) + 1
+
+    _stateful(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, time timestamp, admitted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    grouped = stream.withWatermark(time, late).groupBy(key)
+    return grouped.transformWithStateInPandas(Limiter(), f"`{key}` {kind}, time timestamp, admitted boolean", "Append", "EventTime")
+
+
+def cached_stream(requests: DataFrame, key: str, render, lifetime_ms: int, schema: str = "rendered string") -> DataFrame:
+    """(key, rendered, hit) of each request (key, ...): what `render(key)` gave within the lifetime, else rendered anew.
+
+    The entry's time to live is the state store's own, counted from when it was rendered; an expired entry leaves the state.
+    """
+    name = schema.split()[0]
+
+    class Cache(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.entry = handle.getValueState("entry", schema, lifetime_ms)
+
+        def handleInputRows(self, k: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+            n, hit = sum(len(b) for b in rows), self.entry.exists()
+            value = self.entry.get()[0] if hit else render(k[0])
+            if not hit:
+                self.entry.update((value,))
+            yield pd.DataFrame({key: [k[0]] * n, name: [value] * n, "hit": [hit] + [True] * (n - 1)})
+
+        def close(self) -> None:
+            pass
+
+    _stateful(requests.sparkSession)
+    kind = requests.schema[key].dataType.simpleString()
+    return requests.groupBy(key).transformWithStateInPandas(Cache(), f"`{key}` {kind}, {schema}, hit boolean", "Update", "ProcessingTime")
+
+
+def cache_replay(requests: DataFrame, key: str, time: str, tie: str, lifetime: str) -> DataFrame:
+    """requests with `hit`: whether an entry rendered less than a lifetime before was there; the same rule on recorded times.
+
+    Requests at least a lifetime after the one before always miss, so only what lies between two such gaps is walked, in order.
+    """
+    w = Window.partitionBy(key).orderBy(time, tie)
+    span = F.expr(f"INTERVAL '{lifetime}'")
+    fresh = F.coalesce(F.col(time) >= F.lag(time).over(w) + span, F.lit(True))
+    parts = requests.withColumn("part__", F.sum(fresh.cast("int")).over(w))
+    schema = StructType([*parts.schema.fields, StructField("hit", BooleanType())])
+    seconds = pd.Timedelta(lifetime)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, since = None, None
+        for batch in batches:
+            hits = []
+            for k, part, t in zip(batch[key], batch["part__"], batch[time]):
+                if (k, part) != last or t >= since + seconds:
+                    last, since = (k, part), t
+                    hits.append(False)
+                else:
+                    hits.append(True)
+            yield batch.assign(hit=hits)
+
+    return parts.repartition(key, "part__").sortWithinPartitions(key, "part__", time, tie).mapInPandas(run, schema).drop("part__")
 
 
 def cache_key(ids: str, parameters: str) -> Column:
