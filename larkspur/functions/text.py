@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -193,47 +193,78 @@ partial_ratio_udf = _pairwise(partial_ratio)
 token_set_ratio_udf = _pairwise(token_set_ratio)
 
 
-def greedy_chunks(text: str, budget: int) -> list[str]:
-    """Sentences packed in order while their token estimate fits; a sentence beyond the budget is split at words."""
-    parts: list[str] = []
-    for sentence in re.split(r"(?<=[.!?])\s+", text.strip()):
-        if len(sentence) // 4 <= budget:
-            parts.append(sentence)
-            continue
-        piece = ""
-        for word in sentence.split():
-            if piece and len(piece) + 1 + len(word) > 4 * budget:
-                parts.append(piece)
-                piece = word
-            else:
-                piece = f"{piece} {word}" if piece else word
-        parts.append(piece)
-    chunks: list[str] = []
-    for part in filter(None, parts):
-        if chunks and (len(chunks[-1]) + 1 + len(part)) // 4 <= budget:
-            chunks[-1] += f" {part}"
-        else:
-            chunks.append(part)
-    return chunks
+def _folded(parts: Column, fits) -> Column:
+    """Strings joined by a space to the one before while `fits(last, next)`; one pass, and the array grows by whole results only."""
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
+
+    def merge(held: Column, part: Column) -> Column:
+        same = held["last"].isNotNull() & fits(held["last"], part)
+        done = F.when(same | held["last"].isNull(), held["done"]).otherwise(F.array_append(held["done"], held["last"]))
+        return F.struct(done.alias("done"), F.when(same, F.concat(held["last"], F.lit(" "), part)).otherwise(part).alias("last"))
+
+    return F.aggregate(parts, empty, merge, lambda held: F.when(held["last"].isNull(), held["done"]).otherwise(F.array_append(held["done"], held["last"])))
 
 
 def chunks(text: Column, budget: int) -> Column:
-    """Array of chunks of at most `budget` estimated tokens (one longer word stays whole)."""
+    """Array of chunks of at most `budget` estimated tokens: sentences packed in order while their estimate fits, a sentence
+    beyond the budget split at white space first (one longer word stays whole). A null or blank text has none."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    words_of = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    short = lambda s: F.length(s) < 4 * (budget + 1)
+    pieces = lambda s: F.when(short(s), F.array(s)).otherwise(_folded(words_of(s), lambda a, w: F.length(a) + 1 + F.length(w) <= 4 * budget))
+    parts = F.filter(F.flatten(F.transform(F.split(plain, r"(?<=[.!?])\s+"), pieces)), lambda x: x != "")
+    return _folded(parts, lambda a, x: F.length(a) + 1 + F.length(x) < 4 * (budget + 1))
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: greedy_chunks(t or "", budget))
 
-    return run(text)
+def _lowered(text: str) -> str:
+    """In lower case, as long as the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class Glossary:
+    """Terms as a trie with failure links: one pass over a text finds all, however many there are."""
+
+    def __init__(self, terms: list[str]):
+        self.terms, self.trie = sorted({_lowered(t) for t in terms if t}), None
+
+    def spans(self, text: str) -> list[tuple[str, int, int]]:
+        """(term, start, end) at word bounds, the longest of those that start first, never overlapping."""
+        if self.trie is None:  # built once where it is used
+            import ahocorasick
+
+            self.trie = ahocorasick.Automaton()
+            for t in self.terms:
+                self.trie.add_word(t, t)
+            self.trie.make_automaton()
+        if not self.terms:
+            return []
+        low, found, at = _lowered(text), [], 0
+        is_word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+        hits = [(last - len(t) + 1, -last - 1, t) for last, t in self.trie.iter(low)]
+        for start, end, t in sorted(h for h in hits if is_word(h[0] - 1) != is_word(h[0]) and is_word(-h[1] - 1) != is_word(-h[1])):
+            if start >= at:
+                found.append((t, start, -end))
+                at = -end
+        return found
+
+
+#: Characters of all terms up to which a glossary is sent to the tasks.
+GLOSSARY = 64 << 20
 
 
 def find_terms(text: Column, terms: list[str]) -> Column:
-    """Spans (term, start, end) of glossary terms: longest first, at word bounds, never overlapping; a bounded list."""
-    pattern = re.compile(r"\b(?:" + "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")\b", re.IGNORECASE)
+    """Spans (term, start, end) of glossary terms without regard to case: longest first, at word bounds, never overlapping.
+
+    The glossary is broadcast once, so its size is checked; match a larger one in parts and keep the longest.
+    """
+    if sum(map(len, terms)) > GLOSSARY:
+        raise ValueError(f"a glossary holds at most {GLOSSARY} characters")
+    shared = SparkSession.active().sparkContext.broadcast(Glossary(terms))
 
     @F.pandas_udf("array<struct<term string, start int, end int>>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in pattern.finditer(t or "")])
+        return texts.map(lambda t: [{"term": x, "start": a, "end": b} for x, a, b in shared.value.spans(t or "")])
 
     return run(text)
 

@@ -74,6 +74,39 @@ def clustered(vertices: DataFrame, edges: DataFrame, group: str, least: int = 10
     return named.groupBy("node").agg(F.count("*").alias("members")), moved.groupBy(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")).agg(F.count("*").alias("edges"))
 
 
+def numbered_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, place, degree) of distinct edges: places from 0 within a source, counted in 256 slices so that a vertex with
+    very many neighbours is not sorted in one task."""
+    ends = edges.select("src", "dst").distinct().withColumn("slice", F.substring(F.md5(F.col("dst").cast("string")), 1, 2))
+    sizes = ends.groupBy("src", "slice").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "degree": F.sum("n").over(Window.partitionBy("src"))})
+    place = F.row_number().over(Window.partitionBy("src", "slice").orderBy("dst")) - 1
+    return ends.withColumn("within", place).join(sizes, ["src", "slice"]).select("src", "dst", (F.col("before") + F.col("within")).alias("place"), "degree")
+
+
+def random_walks(edges: DataFrame, seeds: DataFrame, hops: int, seed: int = 0, per_seed: int = 1) -> DataFrame:
+    """(id, walk, path): `per_seed` walks of up to `hops` steps from each seed (id), no vertex twice, the same for the same seed.
+
+    A step draws a place by hash of the walk and takes the first vertex from there on that the walk has not seen: as many
+    places as it has vertices, and one more, are enough. Only the drawn places are read, never all neighbours. A walk without a
+    way on ends; its path is shorter.
+    """
+    numbered = _kept(numbered_edges(edges))
+    degrees = numbered.where("place = 0").select(F.col("src").alias("at"), "degree")
+    walks = seeds.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_seed))).alias("walk"), F.array("id").alias("path"))
+    for step in range(1, hops + 1):
+        draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.col("walk").cast("string"), F.lit(str(step)))), 1, 8), 16, 10).cast("long")
+        going = walks.where(F.size("path") == step).withColumn("at", F.element_at("path", -1)).join(degrees, "at")
+        tried = going.withColumn("try", F.explode(F.sequence(F.lit(0), F.least(F.size("path").cast("long"), F.col("degree") - 1).cast("int"))))
+        asked = tried.withColumn("place", (draw + F.col("try")) % F.col("degree")).drop("degree")
+        free = asked.join(numbered.select(F.col("src").alias("at"), "place", "dst"), ["at", "place"]).where(~F.array_contains("path", F.col("dst")))
+        chosen = free.groupBy("id", "walk").agg(F.min_by("dst", "try").alias("next"))
+        walks = _kept(walks.join(chosen, ["id", "walk"], "left").select("id", "walk", F.when(F.col("next").isNotNull(), F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path")))
+    return walks
+
+
+
 def has_cycle(edges: DataFrame) -> bool:
     """Peels vertices without incoming edges; what is left, if anything, lies on or behind a cycle."""
     left = _kept(edges.select("src", "dst").distinct())

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import close_ratios, partial_ratio_udf
+from larkspur.functions.text import close_ratios, first_number, partial_ratio_udf
 
 #: Weight of a question type in a knowledge edge.
 TYPE_WEIGHTS = {"FACTUAL": 0.9, "RELATIONSHIP": 0.8, "MULTI_HOP": 0.6, "HIERARCHICAL": 0.7, "COMPARATIVE": 0.7, "REVERSAL": 0.5}
@@ -199,6 +199,29 @@ def block_relations(blocks: DataFrame) -> DataFrame:
     return following.unionByName(contains).unionByName(nested)
 
 
+#: Kinds of captioned blocks by block type, and how texts name them.
+CAPTIONED = {"image": "figure", "figure": "figure", "table": "table"}
+_MENTION = r"(?<![\p{L}\p{N}])(fig(?=ure |\. | )|tab(?=le |\. | ))(?:ure|le|\.)? (\d+(?:\.\d+)?)(?![\p{L}\p{N}]|\.\d)"
+
+
+def block_references(blocks: DataFrame) -> DataFrame:
+    """(source, target, type, reference_type): text blocks that name a figure or table of their document by its number.
+
+    Blocks (document_id, page, idx, type, text, caption). A caption that names its kind gives a figure or table its number;
+    of equal ones the last counts. Numbers stand whole: Table 23 is not a mention of Table 2. Mentions meet captions by an
+    equi-join on document, kind and number, so no text is searched for every caption.
+    """
+    ident = F.concat_ws(":", "document_id", "page", "idx")
+    kind = F.element_at(F.create_map(*(F.lit(x) for p in CAPTIONED.items() for x in p)), F.col("type"))
+    shown = blocks.where(F.col("type").isin(list(CAPTIONED))).select("document_id", kind.alias("kind"), first_number(F.col("caption")).alias("number"), F.struct("page", "idx", ident.alias("id")).alias("b"), "caption")
+    targets = shown.where(F.lower("caption").contains(F.col("kind")) & F.col("number").isNotNull()).groupBy("document_id", "kind", "number").agg(F.max("b").alias("b"))
+    low = F.lower(F.col("text"))
+    named = F.arrays_zip(F.regexp_extract_all(low, F.lit(_MENTION), F.lit(1)).alias("k"), F.regexp_extract_all(low, F.lit(_MENTION), F.lit(2)).alias("number"))
+    mentions = blocks.where(F.col("type") == "text").select("document_id", ident.alias("source"), F.explode(F.array_distinct(named)).alias("m"))
+    mentions = mentions.select("document_id", "source", F.when(F.col("m.k") == "fig", "figure").otherwise("table").alias("kind"), F.col("m.number").alias("number")).distinct()
+    return mentions.join(targets, ["document_id", "kind", "number"]).select("source", F.col("b.id").alias("target"), F.lit("REFERENCES").alias("type"), F.col("kind").alias("reference_type"))
+
+
 #: Relations and their inverses; the first that a question holds counts.
 INVERSIONS = [("causes", "is caused by"), ("is caused by", "causes"), ("leads to", "results from"), ("results from", "leads to"), ("contains", "is contained in"), ("is contained in", "contains"), ("precedes", "follows"), ("follows", "precedes")]
 

@@ -6,6 +6,7 @@ statistics and one for the scores, and no shuffle but the final top-k. Ties alwa
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,15 +89,59 @@ def substring(docs: DataFrame, term: str, field: str) -> DataFrame:
     return docs.where(F.lower(F.col(field)).contains(term.lower()))
 
 
-def fuzzy_words(docs: DataFrame, term: str, field: str, cutoff: float, key: str) -> DataFrame:
-    """(key, word, similarity) of distinct words with a ratio of at least cutoff; lengths prune before any ratio is taken."""
-    from larkspur.functions.text import ratio_udf
+def _cut(word: str, most: int) -> set[str]:
+    out = level = {word}
+    for _ in range(most):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
+    return out
+
+
+def deletion_keys(words_: DataFrame, most: Column, deepest: int) -> DataFrame:
+    """(word, key) of each distinct word: the word and all it becomes by losing up to `most` (at most `deepest`) letters."""
+    less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    level = words_.select("word", most.alias("most"), F.array("word").alias("now")).withColumn("keys", F.col("now"))
+    for n in range(1, deepest + 1):
+        further = F.array_distinct(F.flatten(F.transform(F.filter("now", lambda s: s != ""), less)))
+        level = level.withColumn("now", F.when(F.col("most") >= n, further).otherwise(F.array().cast("array<string>"))).withColumn("keys", F.concat("keys", "now"))
+    return level.select("word", F.explode("keys").alias("key"))
+
+
+def close_words(words_: DataFrame, terms: list[str], cutoff: float) -> DataFrame:
+    """(term, word, similarity) of distinct words (word) with a ratio of at least cutoff to one of a few stated terms.
 
+    The ratio is 200 times the longest common subsequence over both lengths, and words share a subsequence where both become
+    it by losing letters: they meet by an equi-join on what deletions leave, and the longest key they share is the answer.
+    How many letters a word may lose follows from the lengths and the cutoff, so nothing is missed; where few terms are
+    asked for, a bounded edit distance first leaves out the words that are near none of them.
+    """
+    c, terms = cutoff / 100, sorted({t.lower() for t in terms if t})
+    if not terms:
+        return words_.select(F.lit("").alias("term"), "word", F.lit(0.0).alias("similarity")).limit(0)
+    size, lengths = F.length("word"), sorted({len(t) for t in terms})
+    lost = {n: F.floor(size - c * (n + size) / 2 + 1e-9) for n in lengths}
+    fits = {n: size.between(math.ceil(n * c / (2 - c) - 1e-9), math.floor(n * (2 - c) / c + 1e-9)) for n in lengths}
+    most = F.greatest(F.lit(-1), *(F.when(fits[n], lost[n]).otherwise(-1) for n in lengths)).cast("int")
+    longest = math.floor(lengths[-1] * (2 - c) / c + 1e-9)
+    deepest = max(0, *(math.floor(b - c * (n + b) / 2 + 1e-9) for n in lengths for b in range(1, longest + 1) if n * c / (2 - c) - 1e-9 <= b <= n * (2 - c) / c + 1e-9))
+    rows = words_.where(most >= 0)
+    if len(terms) <= 8:
+        apart = {t: math.floor((1 - c) * (len(t) + math.floor(len(t) * (2 - c) / c + 1e-9)) + 1e-9) for t in terms}
+        near = [F.levenshtein("word", F.lit(t), k) >= 0 for t, k in apart.items()]
+        rows = rows.where(F.array_contains(F.array(*near), True))
+    keys = deletion_keys(rows, most, deepest)
+    asked = [(t, k) for t in terms for k in _cut(t, max(0, math.floor(len(t) * (2 - 2 * c) / (2 - c) + 1e-9)))]
+    met = keys.join(F.broadcast(words_.sparkSession.createDataFrame(asked, "term string, key string")), "key")  # the stated terms
+    found = met.groupBy("term", "word").agg((200.0 * F.max(F.length("key")) / (F.length("term") + F.length("word"))).alias("similarity"))
+    return found.where(F.col("similarity") >= cutoff)
+
+
+def fuzzy_words(docs: DataFrame, term: str, field: str, cutoff: float, key: str) -> DataFrame:
+    """(key, word, similarity) of distinct words of each row with a ratio of at least cutoff."""
     n, c = len(term), cutoff / 100
     short, long = n * c / (2 - c), n * (2 - c) / c  # ratio <= 2 min / (a + b)
-    candidates = docs.select(key, F.explode(F.array_distinct(words(F.col(field)))).alias("word")).where(F.length("word").between(short, long))
-    vocabulary = candidates.select("word").distinct().where(F.levenshtein("word", F.lit(term)) <= F.ceil((1 - c) * (F.length("word") + n)))
-    near = vocabulary.withColumn("similarity", ratio_udf(F.col("word"), F.lit(term.lower()))).where(F.col("similarity") >= cutoff)
+    candidates = docs.select(key, F.explode(F.array_distinct(words(F.col(field)))).alias("word")).where(F.length("word").between(math.ceil(short - 1e-9), math.floor(long + 1e-9)))
+    near = close_words(candidates.select("word").distinct(), [term], cutoff).select("word", "similarity")
     return candidates.join(near, "word").select(key, "word", "similarity")
 
 

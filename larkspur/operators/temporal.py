@@ -78,12 +78,41 @@ def superseded(rows: DataFrame, keys: list[str], order: list[str] | None = None)
     return rows.withColumn("invalid_at", F.least("invalid_at", F.lead("valid_at").over(w)))
 
 
+#: The narrowest buckets, in microseconds; each level's are four times as wide as the last's. The level of open intervals.
+_NARROW, _OPEN = 1_000_000, 99
+
+
+def _leveled(rows: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """rows (lo, hi in microseconds, null if open) with the level whose buckets are at least as wide as the interval; with
+    levels, one row for each bucket of this and each higher level that the interval touches, and its first bucket there."""
+    width = F.greatest((F.col("hi") - F.col("lo")) / _NARROW, F.lit(1.0))
+    own = F.when(F.col("lo").isNull() | F.col("hi").isNull(), _OPEN).otherwise(F.ceil(F.log2(width) / 2 - 1e-9)).cast("int")
+    if levels is None:
+        return rows.select(own.alias("level"))
+    at = rows.withColumn("own", own).withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("own"))))
+    number = lambda c: F.when(F.col("level") == _OPEN, F.lit(0)).otherwise(F.floor(F.col(c) / (_NARROW * F.pow(F.lit(4.0), "level")))).cast("long")
+    first = at.withColumn("first", number("lo"))
+    return first.withColumn("bucket", F.explode(F.sequence("first", number("hi")))).withColumn("own", F.col("own") == F.col("level"))
+
+
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], key_a: str, key_b: str, include_invalidated: bool = True) -> DataFrame:
-    """(key_a, key_b) of rows with equal keys whose validity overlaps; an equi join with the range test as its residual."""
-    x = a.select(*keys, F.col(key_a).alias("one"), F.col("valid_at").alias("s1"), F.col("invalid_at").alias("e1"))
-    y = (b if include_invalidated else b.where("invalid_at IS NULL")).select(*keys, F.col(key_b).alias("two"), F.col("valid_at").alias("s2"), F.col("invalid_at").alias("e2"))
+    """(key_a, key_b) of rows with equal keys whose validity overlaps, a missing end being open.
+
+    Intervals fall into time buckets about as wide as they are long, so a key with most rows is spread over its buckets: each
+    touches one or two of its own level and of each coarser one, a pair meets on the coarser of its two levels and counts in
+    its first common bucket. Open intervals share a level that has one bucket a key.
+    """
+    side = lambda df, k, n: df.select(*keys, F.col(k).alias(("one", "two")[n - 1]), F.col("valid_at").alias(f"s{n}"), F.col("invalid_at").alias(f"e{n}"), F.unix_micros(F.least("valid_at", "invalid_at")).alias("l0"), F.unix_micros(F.greatest("valid_at", "invalid_at")).alias("h0"))
+    whole = lambda df, n: df.withColumns({"lo": F.when(F.col(f"s{n}").isNotNull() & F.col(f"e{n}").isNotNull(), F.col("l0")), "hi": F.when(F.col(f"s{n}").isNotNull() & F.col(f"e{n}").isNotNull(), F.col("h0"))}).drop("l0", "h0")
+    x = whole(side(a, key_a, 1), 1)
+    y = whole(side(b if include_invalidated else b.where("invalid_at IS NULL"), key_b, 2), 2)
+    levels = sorted(r["level"] for r in _leveled(x).unionByName(_leveled(y)).distinct().collect())  # a few dozen at most
+    met = ["level", "bucket", *keys]
+    one = _leveled(x, levels).select(*met, "one", "s1", "e1", F.col("own").alias("own1"), F.col("first").alias("first1"))
+    two = _leveled(y, levels).select(*met, "two", "s2", "e2", F.col("own").alias("own2"), F.col("first").alias("first2"))
     meets = F.coalesce(F.col("s1") < F.col("e2"), F.lit(True)) & F.coalesce(F.col("s2") < F.col("e1"), F.lit(True))
-    return x.join(y, keys).where(F.col("one") != F.col("two")).where(meets)
+    once = (F.col("own1") | F.col("own2")) & (F.col("bucket") == F.greatest("first1", "first2"))
+    return one.join(two, met).where(F.col("one") != F.col("two")).where(once & meets).select(*keys, "one", "s1", "e1", "two", "s2", "e2")
 
 
 def resolved(pairs: DataFrame, strategy: str) -> DataFrame:

@@ -37,6 +37,25 @@ def bfs_depth3(spark, sf):
     return g.neighbourhood(_plain(spark, sf), seeds, 1, 3, "any").select("vertex", "depth")
 
 
+def _step(n: int) -> str:
+    """A step of every walk: from the drawn place on, the first vertex that the walk has not seen."""
+    draw = f"('0x' || substr(md5('7|' || id || '|1|{n}'), 1, 8))::BIGINT"
+    return f"""t{n} AS (SELECT id, path, dst, k, row_number() OVER (PARTITION BY id ORDER BY k) AS r FROM (SELECT w.id, w.path, q.dst, k FROM w{n - 1} w JOIN (SELECT DISTINCT src, degree FROM q) d ON d.src = w.path[-1], range(0, {n}) x(k), q
+  WHERE k < d.degree AND q.src = w.path[-1] AND q.place = ({draw} + k) % d.degree AND len(w.path) = {n} AND NOT list_contains(w.path, q.dst))),
+w{n} AS (SELECT w.id, CASE WHEN t.dst IS NULL THEN w.path ELSE list_append(w.path, t.dst) END AS path FROM w{n - 1} w LEFT JOIN t{n} t ON t.id = w.id AND t.r = 1)"""
+
+
+_WALKS = f"{EDGES}, {SMALL}, {BOTH}, q AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY substr(md5(dst), 1, 2), dst) - 1 AS place, count(*) OVER (PARTITION BY src) AS degree FROM w), w0 AS (SELECT DISTINCT src AS id, [src] AS path FROM n), {', '.join(_step(n) for n in (1, 2, 3))}"
+
+
+@query(f"WITH {_WALKS} SELECT id, array_to_string(path, '>') AS path FROM w3")
+def random_walks(spark, sf):
+    """A walk of three steps from every supplier, over parts and suppliers."""
+    e = _plain(spark, sf)
+    walks = g.random_walks(g.directed(e, "any"), e.select(F.col("src").alias("id")).distinct(), 3, 7)
+    return walks.select("id", F.array_join("path", ">").alias("path"))
+
+
 @query(f"WITH {EDGES} SELECT DISTINCT dst AS vertex FROM ed WHERE src = 's1' AND type = 'A'")
 def distinct_neighbourhood(spark, sf):
     seeds = spark.createDataFrame([("s1",)], "id string")

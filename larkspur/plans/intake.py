@@ -52,3 +52,21 @@ def limiter_capacity(spark, sf):
     """Calls of all types but errors as admitted ones; 20 calls in five days."""
     rows = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("admitted"))
     return jobs.limiter_stats(rows, "user_id", "ts", F.lit("2024-01-15").cast("timestamp"), 20 / 432_000, 20)
+
+
+#: Turns as blocks of a conversation's document: each fifth is a captioned table or figure, the others may name one.
+_BLOCKS = r"""b AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'image' ELSE 'text' END AS kind, (turn // 5)::VARCHAR || '.' || (conv_id % 3)::VARCHAR AS n FROM conversations),
+c AS (SELECT conv_id, CASE kind WHEN 'table' THEN 'table' ELSE 'figure' END AS kind, n, max(turn) AS turn FROM b WHERE kind <> 'text' AND (conv_id + turn) % 4 > 0 GROUP BY ALL),
+m AS (SELECT DISTINCT conv_id, turn, unnest([{'kind': 'table', 'n': '0.' || (turn % 3)::VARCHAR}, {'kind': 'figure', 'n': '0.' || (conv_id % 2)::VARCHAR}, {'kind': 'figure', 'n': '1'}]) AS m FROM b WHERE kind = 'text')"""
+
+
+@query(f"WITH {_BLOCKS} SELECT m.conv_id || ':1:' || m.turn AS source, c.conv_id || ':1:' || c.turn AS target, 'REFERENCES' AS type, c.kind AS reference_type FROM m JOIN c ON c.conv_id = m.conv_id AND c.kind = m.m.kind AND c.n = m.m.n")
+def block_references(spark, sf):
+    """Planted captions ("Table 0.1: ...", each fourth without its kind) and mentions in three spellings; `Fig. 1` names none."""
+    kind = F.element_at(F.array(*map(F.lit, ["table", "image", "text", "text", "text"])), (F.col("turn") % 5 + 1).cast("int"))
+    number = F.concat_ws(".", F.floor(F.col("turn") / 5).cast("string"), (F.col("conv_id") % 3).cast("string"))
+    name = F.when(kind == "table", "Table ").otherwise("Figure ")
+    caption = F.when(kind != "text", F.concat(F.when((F.col("conv_id") + F.col("turn")) % 4 > 0, name).otherwise("No. "), number, F.lit(": of 7")))
+    said = F.concat(F.lit("As TAB. 0."), (F.col("turn") % 3).cast("string"), F.lit(" and figure 0."), (F.col("conv_id") % 2).cast("string"), F.lit(" show, see Fig 1; not xfig 0.0, table  0.1 or table 0.15. "), F.coalesce("text", F.lit("")))
+    blocks = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.lit(1).alias("page"), F.col("turn").alias("idx"), kind.alias("type"), said.alias("text"), caption.alias("caption"))
+    return qa.block_references(blocks)

@@ -94,9 +94,17 @@ def substring_search(spark, sf):
     return rank.substring(table(spark, sf, "documents"), "License", "text").select("doc_id", "lang")
 
 
-@query()
+#: The longest common subsequence with one word, a row of the table for each letter.
+_EDITS = f"""w AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS word FROM documents), v AS (SELECT DISTINCT word FROM w WHERE length(word) BETWEEN 5 AND 10),
+d AS (SELECT word, list_reduce(list_prepend([0, 0, 0, 0, 0, 0, 0, 0], list_transform(string_split(word, ''), lambda c: [unicode(c)])),
+  lambda a, c: list_prepend(0, list_transform(range(2, 9), lambda j: list_max(list_transform(range(2, j + 1), lambda i: greatest(a[i], a[i - 1] + CASE WHEN unicode(substr('nations', i - 1, 1)) = c[1] THEN 1 ELSE 0 END)))))) AS r FROM v),
+f AS (SELECT word, 200.0 * r[8] / (7 + length(word)) AS similarity FROM d)"""
+
+
+@query(f"WITH {_EDITS} SELECT doc_id, word, round(similarity, 6)::DOUBLE AS similarity FROM w JOIN f USING (word) WHERE similarity >= 80")
 def fuzzy_word(spark, sf):
-    return _rounded(rank.fuzzy_words(table(spark, sf, "documents"), "nations", "text", 80.0, "doc_id"), "similarity")
+    """From the index's vocabulary and postings."""
+    return _rounded(text_index(spark, sf).fuzzy("nations", 80.0, "doc_id"), "similarity")
 
 
 @query()
@@ -270,7 +278,15 @@ def query_route(spark, sf):
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", rank.route(F.col("text")).alias("route"))
 
 
-@query()
+#: Terms at word bounds by place; of those that start first the longest, then what starts after its end.
+_SPANS = r"""g(term) AS (VALUES ('the'), ('that the'), ('in'), ('of an')), b AS (SELECT item_id, text, lower(text) AS low FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT item_id, text, low, unnest(range(1, length(text) + 1)) AS p FROM b),
+h AS (SELECT item_id, term, p - 1 AS s, p - 1 + length(term) AS e FROM p, g WHERE starts_with(substr(low, p), term) AND NOT regexp_matches(substr(text, p - 1, CASE WHEN p > 1 THEN 1 ELSE 0 END), '[\p{L}\p{N}_]') AND NOT regexp_matches(substr(text, p + length(term), 1), '[\p{L}\p{N}_]')),
+o AS (SELECT item_id, s, max(e) AS e FROM h GROUP BY ALL), z AS (SELECT item_id, 0 AS e, -1 AS s FROM b UNION ALL
+  SELECT item_id, e, s FROM (SELECT o.item_id, o.e, o.s, row_number() OVER (PARTITION BY o.item_id ORDER BY o.s) AS k FROM z JOIN o ON o.item_id = z.item_id AND o.s >= z.e) WHERE k = 1)"""
+
+
+@query(f"WITH RECURSIVE {_SPANS} SELECT h.item_id, h.term, h.s::INTEGER AS start, h.e::INTEGER AS end FROM z JOIN h USING (item_id, s, e)")
 def glossary_terms(spark, sf):
     from larkspur.functions.text import find_terms
 

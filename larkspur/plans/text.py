@@ -27,7 +27,16 @@ def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.content_hash(F.col("text")).alias("hash"), t.short_hash(F.col("text")).alias("short_hash"))
 
 
-@query()
+_LAST = "regexp_extract(a, '[^\\x01]*$')"
+#: Sentences, long ones in parts of at most 800 characters, joined while the estimate stays within 200 tokens.
+_CHUNKS = rf"""p AS (SELECT doc_id, {_SENT.replace("trim(coalesce(text, ''))", "regexp_replace(coalesce(text, ''), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')")} AS s FROM documents),
+w AS (SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN length(x) // 4 <= 200 THEN [x] ELSE string_split(list_reduce(list_filter(regexp_split_to_array(x, '[ \t\n\r\f\v]+'), lambda y: y <> ''),
+  lambda a, y: CASE WHEN length({_LAST}) + 1 + length(y) > 800 THEN a || chr(1) || y ELSE a || ' ' || y END), chr(1)) END)), lambda x: x <> '') AS s FROM p),
+c AS (SELECT doc_id, string_split(list_reduce(s, lambda a, y: CASE WHEN (length({_LAST}) + 1 + length(y)) // 4 <= 200 THEN a || ' ' || y ELSE a || chr(1) || y END), chr(1)) AS c FROM w WHERE len(s) > 0),
+u AS (SELECT doc_id, unnest(c) AS content, generate_subscripts(c, 1) - 1 AS chunk FROM c)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk::INTEGER AS chunk, length(content) // 4 AS tokens, substr(md5(content), 1, 10) AS hash FROM u")
 def chunks(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(t.chunks(F.col("text"), 200)).alias("chunk", "content"))
     return rows.select("doc_id", "chunk", t.token_estimate(F.col("content")).alias("tokens"), t.short_hash(F.col("content")).alias("hash"))

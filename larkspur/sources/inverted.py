@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import words
-from larkspur.operators.rank import K1, B, query_words, top
+from larkspur.operators.rank import K1, B, close_words, query_words, top
 from larkspur.sources.shared import dropped, shared_dir
 
 #: Folders that terms are dealt to, documents of a block, and postings that a task writes.
@@ -109,6 +109,16 @@ class Index:
             return self._nothing(key)
         return self._score(idf, self._of(self._postings, terms)).withColumnRenamed("key", key)
 
+    def vocabulary(self) -> DataFrame:
+        """(word) of all words that a segment holds."""
+        return self._bounds.select(F.col("term").alias("word")).distinct()
+
+    def fuzzy(self, term: str, cutoff: float, key: str = "key") -> DataFrame:
+        """(key, word, similarity) of documents with a word close to a term: no text is read, only the words and their postings."""
+        near = close_words(self.vocabulary(), [term], cutoff).select("word", "similarity")
+        hits = self._postings.select(F.col("term").alias("word"), F.col("key").alias(key))
+        return hits.join(near, "word").select(key, "word", "similarity")
+
     def search(self, query: str, n: int, key: str = "key", wave: int = 64) -> DataFrame:
         """(key, score) of the n best, ties to the smaller key: `wave` blocks are scored, and more only where they can matter."""
         terms = query_words(query)

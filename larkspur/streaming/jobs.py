@@ -82,14 +82,14 @@ def rate_limited_stream(stream: DataFrame, key: str, time: str, rate: float, bur
     State a key is the times admitted within the window. A timer on the watermark drops it once burst / rate seconds have
     passed since the last of them, so keys that fall silent leave the state.
     """
-    window = burst / rate
+    window, of = burst / rate, key
 
     class Limiter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.recent = handle.getValueState("recent", "times array<double>")
 
-        def handleInputRows(self, k: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
             before = list(self.recent.get()[0]) if self.recent.exists() else []
             times = sorted(t.timestamp() for b in rows for t in b[time])
             ok, recent = admitted(times, rate, burst, before, 1 / rate)
@@ -98,9 +98,9 @@ def rate_limited_stream(stream: DataFrame, key: str, time: str, rate: float, bur
             if recent:
                 self.recent.update((recent,))
                 self.handle.registerTimer(_due(recent[-1]))
-            yield pd.DataFrame({key: [k[0]] * len(times), "time": pd.to_datetime(times, unit="s"), "admitted": ok})
+            yield pd.DataFrame({of: [key[0]] * len(times), "time": pd.to_datetime(times, unit="s"), "admitted": ok})
 
-        def handleExpiredTimer(self, k: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
             self.recent.clear()
             return iter([])
 
@@ -121,18 +121,18 @@ def cached_stream(requests: DataFrame, key: str, render, lifetime_ms: int, schem
 
     The entry's time to live is the state store's own, counted from when it was rendered; an expired entry leaves the state.
     """
-    name = schema.split()[0]
+    name, of = schema.split()[0], key
 
     class Cache(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.entry = handle.getValueState("entry", schema, lifetime_ms)
 
-        def handleInputRows(self, k: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
             n, hit = sum(len(b) for b in rows), self.entry.exists()
-            value = self.entry.get()[0] if hit else render(k[0])
+            value = self.entry.get()[0] if hit else render(key[0])
             if not hit:
                 self.entry.update((value,))
-            yield pd.DataFrame({key: [k[0]] * n, name: [value] * n, "hit": [hit] + [True] * (n - 1)})
+            yield pd.DataFrame({of: [key[0]] * n, name: [value] * n, "hit": [hit] + [True] * (n - 1)})
 
         def close(self) -> None:
             pass

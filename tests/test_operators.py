@@ -1,5 +1,6 @@
 """Operators on small hand-made tables: null and tie cases, properties, and worked examples of a pizza shop's graph."""
 
+import re
 import random
 
 import pytest
@@ -73,11 +74,37 @@ def test_ratios():
     assert text.token_set_ratio("new york mets", "mets york new") == 100
 
 
-def test_chunks_keep_words_and_budget():
-    t = "One two three. " * 40 + "x" * 500 + ". End here!"
-    parts = text.greedy_chunks(t, 20)
-    assert " ".join(parts).split() == t.split()
-    assert all(len(p) // 4 <= 20 or " " not in p for p in parts)
+def plain_chunks(t, budget):
+    parts = []
+    for sentence in re.split(r"(?<=[.!?])\s+", t.strip()):
+        if len(sentence) // 4 <= budget:
+            parts.append(sentence)
+            continue
+        piece = ""
+        for word in sentence.split():
+            if piece and len(piece) + 1 + len(word) > 4 * budget:
+                parts.append(piece)
+                piece = word
+            else:
+                piece = f"{piece} {word}" if piece else word
+        parts.append(piece)
+    out = []
+    for part in filter(None, parts):
+        if out and (len(out[-1]) + 1 + len(part)) // 4 <= budget:
+            out[-1] += f" {part}"
+        else:
+            out.append(part)
+    return out
+
+
+def test_chunks_keep_words_and_budget(spark):
+    texts = ["One two three. " * 40 + "x" * 500 + ". End here!", "  a b\n", "", None, "word " * 300 + "end. Next one. " + "y" * 90, "A. B! C? d"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", text.chunks(F.col("t"), 20).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_chunks(t or "", 20)
+        assert " ".join(got[i]).split() == (t or "").split()
+        assert all(len(p) // 4 <= 20 or " " not in p for p in got[i])
 
 
 def test_names(spark):
