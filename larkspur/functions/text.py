@@ -278,11 +278,64 @@ def truncated(value: Column, most: int = 100) -> Column:
     return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most), F.lit("..."))).otherwise(value)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def json_kind(value: Column) -> Column:
+    """object, array, string, number, boolean or null, by how a JSON text begins; null where there is none."""
+    first = F.substring(F.ltrim(value), 1, 1)
+    return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").when(first.rlike(r"[-0-9]"), "number")
+
+
+def repaired_json(text: Column) -> Column:
+    """The outermost braces or brackets of a text (to its end, if they are not closed) with what models often get wrong put
+    right: fences and comments, single or curly quotes, bare keys, Python's words for true, false and null, trailing commas, and
+    quotes, brackets and braces that are missing at the end. Strings are set aside first and stay as they are."""
+    inner = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)([\[{].*)", 1)
+    body = F.regexp_replace(inner, "[\u201c\u201d]", '"')
+    strings = r'"(?:[^"\\]|\\.)*"'
+
+    def plain(part: Column) -> Column:
+        """What stands outside of strings; from a quote that is never closed on it stays."""
+        p = F.regexp_extract(part, '^([^"]*)', 1)
+        rest = F.substring(part, F.length(p) + 1, F.length(part))
+        p = F.regexp_replace(p, r"(?m)//.*$", "")
+        p = F.regexp_replace(p, r"'([^']*)'", '"$1"')
+        p = F.regexp_replace(p, r"(?<![\p{L}\p{N}_\"])(?!(?:true|false|null|True|False|None)\b)([A-Za-z_]\w*)(?=\s*:)", '"$1"')
+        for python, word in (("True", "true"), ("False", "false"), ("None", "null")):
+            p = F.regexp_replace(p, rf"\b{python}\b", word)
+        return F.concat(p, rest)
+
+    def joined(parts: Column, kept: Column, last: Column) -> Column:
+        """Parts and strings up to the last closing sign outside of strings: what follows it is not part of the value."""
+        cut = lambda p, i: F.when((last < 0) | (i < last), plain(p)).when(i == last, plain(F.regexp_extract(p, r'(?s)^([^"]*[\]}])', 1))).otherwise("")
+        ended = lambda k, i: F.when((last < 0) | (i < last), k).otherwise("")
+        return F.array_join(F.flatten(F.zip_with(F.transform(parts, cut), F.transform(kept, ended), lambda p, k: F.array(p, F.coalesce(k, F.lit(""))))), "")
+
+    def mend(x: Column) -> Column:
+        last = lambda parts: F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), F.lit(-1), lambda held, i: F.when(F.get(parts, i).rlike(r'^[^"]*[\]}]'), i).otherwise(held))
+        whole = _let(F.split(x, strings, -1), lambda parts: _let(F.regexp_extract_all(x, F.lit(f"({strings})"), F.lit(1)), lambda kept: _let(last(parts), lambda n: joined(parts, kept, n))))
+        odd = lambda j: (F.length(j) - F.length(F.replace(j, F.lit('"'), F.lit("")))) % 2 == 1
+        return _let(whole, lambda j: F.regexp_replace(F.when(odd(j), F.concat(j, F.lit('"'))).otherwise(j), r",\s*$", ""))
+
+    def balanced(x: Column) -> Column:
+        bare = F.regexp_replace(x, strings, "")
+        signs = F.filter(F.split(bare, ""), lambda c: c.isin("{", "}", "[", "]"))
+        open_ = F.aggregate(signs, F.array().cast("array<string>"), lambda held, c: F.when(c.isin("{", "["), F.array_append(held, c)).otherwise(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))))
+        return F.concat(x, F.array_join(F.reverse(F.transform(open_, lambda c: F.when(c == "{", "}").otherwise("]"))), ""))
+
+    mended = _let(body, lambda x: F.regexp_replace(_let(mend(x), balanced), r",\s*([}\]])", "$1"))
+    return F.when(body != "", mended)
+
+
 def parsed_json(text: Column, schema: str) -> Column:
-    """The struct in a text: as it is, else its outermost braces with trailing commas taken out; null if neither parses."""
+    """The struct in a text: as it is, else its outermost braces, else these repaired; null if none parses."""
     inner = F.regexp_replace(F.regexp_extract(text, r"(?s)(\{.*\})", 1), r",\s*([}\]])", "$1")
     strict = {"mode": "PERMISSIVE"}
-    return F.coalesce(F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, schema, strict)), F.when(F.get_json_object(inner, "$").isNotNull(), F.from_json(inner, schema, strict)))
+    read = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema, strict))
+    return F.coalesce(read(text), read(inner), _let(repaired_json(F.regexp_extract(text, r"(?s)(\{.*)", 1)), read))
 
 
 #: Fixed value: a header line such as `**4.1 Design basis**`; groups are its number and its title.

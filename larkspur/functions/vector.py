@@ -60,6 +60,16 @@ def hash_embedding(text: Column, dims: int = 64) -> Column:
     return run(text)
 
 
+def repaired(v: Column, dims: int, fields: dict[str, Column]) -> tuple[Column, Column]:
+    """The vector a row should have, and how it came by it: kept; cut or padded to the length; made from the first field that
+    is not blank (`made from <name>`); or null, `missing`, without any."""
+    name = F.coalesce(*(F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.lit(n)) for n, c in fields.items()), F.lit(None).cast("string"))
+    text = F.coalesce(*(F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c) for c in fields.values()))
+    usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
+    how = F.when(usable & (F.size(v) == dims), "kept").when(usable & (F.size(v) > dims), "cut").when(usable, "padded").when(name.isNotNull(), F.concat(F.lit("made from "), name)).otherwise("missing")
+    return F.when(usable, fitted(v, dims)).when(name.isNotNull(), hash_embedding(text, dims)), how
+
+
 def index_lists(n: Column) -> Column:
     """How many lists an inverted-file index of n vectors should have."""
     return F.least(F.when(n < 100, 2).when(n < 1000, 10).otherwise(50), n)

@@ -47,6 +47,12 @@ def compactions(messages: DataFrame, conversation: str, order: str, role: str, c
     return both.select(conversation, F.lit(method).alias("compaction_method"), F.col("summary").alias("content"), F.col("turns").alias("message_count"), token_estimate(F.col("transcript")).alias("original_tokens"), token_estimate(F.col("summary")).alias("compacted_tokens"), shrink.alias("reduction_ratio"))
 
 
+def compaction_edges(compactions: DataFrame, messages: DataFrame, conversation: str, compaction: str, message: str, now: Column | None = None) -> DataFrame:
+    """(src, dst, type, created_at): each compaction to the messages of its conversation that it sums up."""
+    both = compactions.select(conversation, F.col(compaction).alias("src")).join(messages.select(conversation, F.col(message).alias("dst")), conversation)
+    return both.select("src", "dst", F.lit("summarizes").alias("type"), (F.current_timestamp() if now is None else now).alias("created_at"))
+
+
 def history(messages: DataFrame, conversation: str, value, order: str, newest_first: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
     return messages.where(F.col(conversation) == value).orderBy(F.desc(order) if newest_first else F.asc(order)).offset(offset).limit(limit)
 

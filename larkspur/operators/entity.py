@@ -55,6 +55,24 @@ def entities(rows: DataFrame, key: str, text: str, patterns: list[tuple[str, str
     return found.groupBy(key, "name").agg(F.min_by("type", F.struct(-F.col("confidence"), "type")).alias("type"), F.max("confidence").alias("confidence"))
 
 
+def united(found: dict[str, DataFrame], known: DataFrame, key: str, default: float = 0.8) -> DataFrame:
+    """(key column, key, name, type, confidence): what several extractors found in each row, each a table (key column, name, type,
+    confidence), once.
+
+    A name that is known (key, name, type, confidence) without regard to case takes the known row's key, name and type at the
+    higher confidence (`default` where the known row has none); of several known rows of a name the smallest key counts.
+    Others are once a name and type, at their highest confidence.
+    """
+    rows = None
+    for name, part in found.items():
+        one = part.select(F.col(key).alias("row__"), "name", "type", F.col("confidence").cast("double").alias("confidence"))
+        rows = one if rows is None else rows.unionByName(one)
+    first = known.groupBy(F.lower("name").alias("low__")).agg(F.min_by(F.struct(F.col("key").alias("k"), F.col("name").alias("n"), F.col("type").alias("t"), F.coalesce(F.col("confidence").cast("double"), F.lit(default)).alias("c")), "key").alias("known"))
+    met = rows.withColumn("low__", F.lower("name")).join(first, "low__", "left")
+    out = met.select(F.col("row__").alias(key), F.col("known.k").alias("key"), F.coalesce("known.n", "name").alias("name"), F.coalesce("known.t", "type").alias("type"), F.greatest("confidence", "known.c").alias("confidence"))
+    return out.groupBy(key, "key", "name", "type").agg(F.max("confidence").alias("confidence"))
+
+
 def relations(rows: DataFrame, key: str, text: str, floor: float = 0.7, most: int = 10, patterns: list[tuple[str, str, float, int, int]] = RELATION_PATTERNS, name: str | None = None) -> DataFrame:
     """(key, source, target, type, confidence): the first `most` relations of each text in the order of patterns and places.
 

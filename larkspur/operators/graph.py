@@ -335,6 +335,21 @@ def tree_edges(edges: DataFrame, root) -> DataFrame:
         found = _kept(found.unionByName(level))
 
 
+def numbered(nodes: DataFrame, key: str = "id") -> DataFrame:
+    """nodes with `index`, their place by key from 0: rows are sorted in ranges, and ranges counted, so no task holds them all."""
+    sorted_ = _kept(nodes.orderBy(key).withColumn("at__", F.monotonically_increasing_id()))
+    part = F.shiftright("at__", 33)
+    sizes = sorted_.groupBy(part.alias("part__")).agg(F.count("*").alias("n__"))  # a row a range
+    before = sizes.select("part__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
+    return sorted_.withColumn("part__", part).join(F.broadcast(before), "part__").withColumn("index", F.col("before__") + F.col("at__") - F.shiftleft(F.col("part__"), 33)).drop("at__", "part__", "before__")
+
+
+def indexed_links(nodes: DataFrame, links: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """links with both ends as indexes of numbered nodes; links whose ends are no nodes are left out."""
+    at = lambda end: nodes.select(F.col("id").alias(end), F.col("index").alias(f"{end}_index"))
+    return links.join(at(source), source).join(at(target), target)
+
+
 def shaped(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and links for drawing: keys without their collection, names and weights with defaults, radius by degree."""
     bare = lambda c: F.element_at(F.split(F.col(c).cast("string"), "/"), -1)

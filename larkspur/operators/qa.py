@@ -89,6 +89,17 @@ def reply_ok(question: Column, answer: Column, least: int = 10, most: int = 10_0
     return (q != "") & (a != "") & F.length(a).between(least, most)
 
 
+def reply_problems(question: Column, thinking: Column, answer: Column, content: Column, least: int = 10, most: int = 10_000) -> Column:
+    """What is wrong with a generated pair, as an array: missing fields; else an answer too short or too long, or without
+    a sentence of over 20 characters (parts after `. `) that the content holds without regard to case."""
+    missing = [F.when(F.coalesce(c, F.lit("")) == "", F.lit(f"missing {n}")) for n, c in (("question", question), ("thinking", thinking), ("answer", answer))]
+    gaps = F.array_compact(F.array(*missing))
+    low = F.lower(F.coalesce(content, F.lit("")))
+    quoted = F.exists(F.split(answer, r"\. "), lambda x: (F.length(x) > 20) & low.contains(F.lower(x)))
+    faults = F.array_compact(F.array(F.when(F.length(answer) < least, F.lit("too short")).when(F.length(answer) > most, F.lit("too long")), F.when(~F.coalesce(quoted, F.lit(False)), F.lit("not in content"))))
+    return F.when(F.size(gaps) > 0, gaps).otherwise(faults)
+
+
 def reversed_pairs(pairs: DataFrame, question: str, answer: str, confidence: str) -> DataFrame:
     """(…, reversed_question, reversed_answer, reversed_confidence): templates first, then a swap of names, then a generic form.
 
@@ -175,6 +186,26 @@ def statistics(pairs: DataFrame, group: str, valid: str, score: str) -> DataFram
     return pairs.groupBy(group).agg(F.count("*").alias("total"), F.count_if(F.col(valid)).alias("valid"), F.avg(score).alias("average"), F.try_divide(F.count_if(F.col(valid)), F.count("*")).alias("rate"))
 
 
+def summary(pairs: DataFrame, kind: str, valid: str, confidence: str, key: str, sample: list[str]) -> DataFrame:
+    """(kind, total, share, valid, valid_share, average, sample): one row a type, with its first pair by key as a sample; shares
+    are of all pairs and of the type's, null where there is none."""
+    first = F.min_by(F.struct(*sample), F.col(key)).alias("sample")
+    by = pairs.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("total"), F.count_if(F.col(valid)).alias("valid"), F.avg(confidence).alias("average"), first)
+    return by.crossJoin(F.broadcast(by.agg(F.sum("total").alias("all")))).select("kind", "total", F.try_divide("total", "all").alias("share"), "valid", F.try_divide("valid", "total").alias("valid_share"), "average", "sample")  # one row
+
+
+#: The columns of tabular exports.
+CSV_COLUMNS = ["question", "answer", "thinking", "question_type", "confidence", "validation_score", "citation_found"]
+PARQUET_COLUMNS = [*CSV_COLUMNS, "document_id", "created_at"]
+
+
+def tabular(examples: DataFrame, columns: list[str] = PARQUET_COLUMNS) -> DataFrame:
+    """Training examples (messages array<struct<role, content, thinking>>, metadata struct) as flat rows: the first message asks,
+    the second answers; an answer without thinking has an empty one."""
+    said = {"question": F.get("messages", 0)["content"], "answer": F.get("messages", 1)["content"], "thinking": F.coalesce(F.get("messages", 1)["thinking"], F.lit(""))}
+    return examples.select(*((said[c] if c in said else F.col(f"metadata.{c}")).alias(c) for c in columns))
+
+
 def confidence_band(confidence: Column) -> Column:
     """A missing confidence is low."""
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.7, "medium").otherwise("low")

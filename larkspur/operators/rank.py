@@ -175,6 +175,12 @@ def vector_search(rows: DataFrame, column: str, query: list[float], n: int, key:
     return top(vector_scores(rows, column, query, measure), n, key, floor=floor)
 
 
+def vector_distances(rows: DataFrame, column: str, query: list[float], n: int, key: str, floor: float = 0.5) -> DataFrame:
+    """The n nearest rows by `distance` (1 - cosine), the nearest first, of those at a cosine of at least floor."""
+    found = vector_scores(rows, column, query).where(F.col("score") >= floor).withColumn("distance", 1 - F.col("score"))
+    return found.orderBy("distance", key).limit(n)
+
+
 def readiness(rows: DataFrame, column: str) -> DataFrame:
     """One row: counts with and without vectors, lengths seen, and whether vector search can run."""
     v = F.col(column)

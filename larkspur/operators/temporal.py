@@ -21,6 +21,27 @@ def with_defaults(rows: DataFrame, now: Column | None = None) -> DataFrame:
     return rows.withColumns({"created_at": created, "valid_at": F.coalesce(col("valid_at"), created), "invalid_at": end})
 
 
+def iso8601(t: Column) -> Column:
+    """A time as text, in UTC to the millisecond, whatever the session's zone."""
+    us = F.unix_micros(t)
+    whole = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(us).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.lit("."), F.lpad(F.pmod(F.floor(us / 1000), F.lit(1000)).cast("string"), 3, "0"), F.lit("Z"))
+
+
+def shifted(t: Column, amount: int, unit: str) -> Column:
+    """A time moved by whole units; months and years keep the day where the month has it."""
+    return t + F.expr(f"make_interval({', '.join(str(amount) if u == unit.rstrip('s') else '0' for u in ('year', 'month', 'week', 'day', 'hour', 'minute', 'second'))})")
+
+
+def decorated(edges: DataFrame, valid_from: Column, valid_until: Column, now: Column | None = None, source: Column | None = None) -> DataFrame:
+    """edges with created_at, valid_at, invalid_at, confidence (1.0 where they have none) and, given a source row's struct (id, key),
+    source_id and source_key. Times are ISO texts: a start that is none counts from now, an end that is none stays open."""
+    now, have = F.current_timestamp() if now is None else now, set(edges.columns)
+    iso = lambda c: F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(c))
+    new = {"created_at": now, "valid_at": F.coalesce(iso(valid_from), now), "invalid_at": iso(valid_until), "confidence": F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in have else F.lit(1.0)}
+    return edges.withColumns(new if source is None else {**new, "source_id": source["id"], "source_key": source["key"]})
+
+
 def backfilled(rows: DataFrame, time_col: str, now: Column) -> DataFrame:
     """Old rows made bi-temporal: valid from their own time, else from when they were recorded, else from now."""
     return rows.withColumns({"valid_at": F.coalesce("valid_at", time_col, "created_at", now), "created_at": F.coalesce("created_at", time_col, now), "invalid_at": F.col("invalid_at")})

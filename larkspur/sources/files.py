@@ -29,9 +29,9 @@ def chat(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     return json(spark, path, MESSAGES, lines)
 
 
-def techniques(spark: SparkSession, path: str) -> DataFrame:
+def techniques(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row a technique and tactic."""
-    t = json(spark, path, TECHNIQUES).select(F.explode("techniques").alias("t")).select("t.*")
+    t = json(spark, path, TECHNIQUES, lines).select(F.explode("techniques").alias("t")).select("t.*")
     return t.withColumn("tactic_id", F.explode("tactic_ids")).drop("tactic_ids")
 
 
@@ -43,10 +43,26 @@ def threats(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataF
     return rows("tactics"), rows("techniques"), edges
 
 
+def seeded(spark: SparkSession, path: str, collections: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a seed file, a JSON object with a list of rows for each collection; collections gives their schemas, and
+    a list that the file lacks is an empty table."""
+    whole = json(spark, path, ", ".join(f"`{name}` array<struct<{schema}>>" for name, schema in collections.items()))
+    return {name: whole.select(F.explode(F.col(f"`{name}`")).alias("r")).select("r.*") for name in collections}
+
+
+#: Texts are written as they are: quoted, with breaks and outer white space kept, null and empty told apart.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\\N", "emptyValue": ""}
+
+
+def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `write` wrote as csv, compressed or not."""
+    return spark.read.options(**_CSV, multiLine=True).schema(schema).csv(path)
+
+
 def write(df: DataFrame, path: str, fmt: str = "json", compression: str | None = None, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     w = df.write.mode(mode)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**_CSV, quoteAll=True)
     if compression:
         w = w.option("compression", compression)
     (w.partitionBy(*partition_by) if partition_by else w).format(fmt).save(path)
