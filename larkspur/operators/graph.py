@@ -25,6 +25,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, min_depth: int = 1, max_de
         ways = ways.where(F.col("type").isin(types))
     wanted = F.col("type").isin(types) if types and not prune else F.lit(True)
     ways = ways.select("src", "dst", wanted.alias("wanted"))
+    ways = _kept(ways) if max_depth > 1 else ways
     seen = _kept(seeds.select(F.col("id").alias("seed"), F.col("id").alias("vertex"), F.lit(0).alias("depth"), F.lit(True).alias("wanted")).distinct())
     level = seen
     for depth in range(1, max_depth + 1):

@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import vector
 from larkspur.operators import matrix, rank
+from larkspur.sources.shared import kept
 
 #: Rows that the centroids are fitted on, at most; rows a file of a list holds.
 SAMPLE, FILE = 50_000, 1_000_000
@@ -29,11 +30,6 @@ def lists_for(n: int) -> int:
     return min(2 if n < 100 else 10 if n < 1000 else 50, n)
 
 
-def _unit(v: Column) -> Column:
-    n = vector.norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
-
-
 class VectorIndex:
     """A folder of lists. `build` writes it, the constructor opens it."""
 
@@ -48,24 +44,24 @@ class VectorIndex:
     def build(cls, rows: DataFrame, key: str, column: str, path: str, lists: int | None = None, seed: int = 5) -> VectorIndex:
         """Rows without a key or with a null, empty or zero vector or null components are left out."""
         spark, v = rows.sparkSession, F.col(column).cast("array<double>")
-        usable = rows.where(F.col(key).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull()) & (F.size(v) > 0)).withColumn("unit__", _unit(v)).where(vector.norm(F.col("unit__")) > 0)
+        usable = rows.where(F.col(key).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull()) & F.exists(v, lambda x: x != 0)).withColumn("v__", v)
         n = usable.count()
         share = min(1.0, SAMPLE / max(n, 1))
-        sample = usable.where(F.xxhash64(F.col(key), F.lit(seed)) / F.lit(2.0**64) + 0.5 <= share).select(array_to_vector("unit__").alias("features"))
+        unit = F.transform(F.array(vector.norm(F.col("v__"))), lambda n: F.transform("v__", lambda x: x / n))[0]  # one norm a row
+        sample = kept(usable.where(F.xxhash64(F.col(key), F.lit(seed)) / F.lit(2.0**64) + 0.5 <= share).select(array_to_vector(unit).alias("features")), "sample")
         model = KMeans(k=max(2, lists or lists_for(n)), seed=seed, maxIter=15).fit(sample)
         centers = np.array(model.clusterCenters())
         centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
 
         def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                u = b.column("unit__")
+                u = b.column("v__")
                 m = u.values.to_numpy(zero_copy_only=False)[u.offsets[0].as_py() : u.offsets[-1].as_py()].reshape(-1, centers.shape[1])
-                cos = m @ centers.T
+                cos = m @ centers.T / np.linalg.norm(m, axis=1, keepdims=True)
                 best = cos.argmax(axis=1)
-                yield b.drop_columns(["unit__"]).append_column("list", pa.array(best, pa.int32())).append_column("near", pa.array(cos[np.arange(len(best)), best]))
+                yield b.drop_columns(["v__"]).append_column("list", pa.array(best, pa.int32())).append_column("near", pa.array(cos[np.arange(len(best)), best]))
 
-        kept = usable.schema.fieldNames()[:-1]
-        schema = usable.select(*kept, F.lit(0).cast("int").alias("list"), F.lit(0.0).alias("near")).schema
+        schema = usable.drop("v__").select("*", F.lit(0).cast("int").alias("list"), F.lit(0.0).alias("near")).schema
         parts = max(1, n // FILE)
         dealt = usable.mapInArrow(assigned, schema).repartition(max(1, len(centers) * parts), "list", F.pmod(F.xxhash64(key), F.lit(parts)))
         dealt.sortWithinPartitions("list", key).write.partitionBy("list").parquet(f"{path}/lists")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,7 +105,16 @@ def deletion_keys(words_: DataFrame, most: Column, deepest: int) -> DataFrame:
     for n in range(1, deepest + 1):
         further = F.array_distinct(F.flatten(F.transform(F.filter("now", lambda s: s != ""), less)))
         level = level.withColumn("now", F.when(F.col("most") >= n, further).otherwise(F.array().cast("array<string>"))).withColumn("keys", F.concat("keys", "now"))
-    return level.select("word", F.explode("keys").alias("key"))
+    return level.select("word", F.explode_outer("keys").alias("key"))  # never empty; a plain explode would test that before other filters
+
+
+def _may_be_close(term: str, c: float) -> Column:
+    """What a word of a ratio of at least c holds: as many letters in common, and no more edits than letters may be lost."""
+    size, word = F.length("word"), F.col("word")
+    shared = sum((F.least(size - F.length(F.replace(word, F.lit(x), F.lit(""))), F.lit(n)) for x, n in Counter(term).items()), F.lit(0))
+    longest = math.floor(len(term) * (2 - c) / c + 1e-9)
+    edits = F.levenshtein("word", F.lit(term), math.floor((1 - c) * (len(term) + longest) + 1e-9))
+    return (2 * shared >= c * (size + len(term)) - 1e-9) & (edits >= 0) & (edits <= F.floor((1 - c) * (size + len(term)) + 1e-9))
 
 
 def close_words(words_: DataFrame, terms: list[str], cutoff: float) -> DataFrame:
@@ -113,7 +123,7 @@ def close_words(words_: DataFrame, terms: list[str], cutoff: float) -> DataFrame
     The ratio is 200 times the longest common subsequence over both lengths, and words share a subsequence where both become
     it by losing letters: they meet by an equi-join on what deletions leave, and the longest key they share is the answer.
     How many letters a word may lose follows from the lengths and the cutoff, so nothing is missed; where few terms are
-    asked for, a bounded edit distance first leaves out the words that are near none of them.
+    asked for, letters in common and a bounded edit distance first leave out words that are near none of them.
     """
     c, terms = cutoff / 100, sorted({t.lower() for t in terms if t})
     if not terms:
@@ -126,9 +136,7 @@ def close_words(words_: DataFrame, terms: list[str], cutoff: float) -> DataFrame
     deepest = max(0, *(math.floor(b - c * (n + b) / 2 + 1e-9) for n in lengths for b in range(1, longest + 1) if n * c / (2 - c) - 1e-9 <= b <= n * (2 - c) / c + 1e-9))
     rows = words_.where(most >= 0)
     if len(terms) <= 8:
-        apart = {t: math.floor((1 - c) * (len(t) + math.floor(len(t) * (2 - c) / c + 1e-9)) + 1e-9) for t in terms}
-        near = [F.levenshtein("word", F.lit(t), k) >= 0 for t, k in apart.items()]
-        rows = rows.where(F.array_contains(F.array(*near), True))
+        rows = rows.where(F.array_contains(F.array(*(_may_be_close(t, c) for t in terms)), True))
     keys = deletion_keys(rows, most, deepest)
     asked = [(t, k) for t in terms for k in _cut(t, max(0, math.floor(len(t) * (2 - 2 * c) / (2 - c) + 1e-9)))]
     met = keys.join(F.broadcast(words_.sparkSession.createDataFrame(asked, "term string, key string")), "key")  # the stated terms

@@ -32,14 +32,15 @@ def bucket(term: Column) -> Column:
 
 
 def term_counts(text: Column) -> Column:
-    """(term, tf) of each distinct word of a text, without a shuffle: sorted words fall into runs."""
+    """(terms, dl): the (term, tf) of each distinct word of a text and how many words it has, without a shuffle, as sorted words
+    fall into runs."""
 
     def of(w: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
         runs = F.transform(F.array(first), lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.size(w))), lambda x, y: F.struct(F.get(w, x).alias("term"), (y - x).alias("tf"))))
-        return F.when(F.size(w) > 0, runs[0])
+        return F.struct(F.when(F.size(w) > 0, runs[0]).alias("terms"), F.size(w).alias("dl"))
 
-    return F.transform(F.array(F.array_sort(words(text))), of)[0]
+    return F.transform(F.array(F.sort_array(words(text))), of)
 
 
 class Index:
@@ -65,9 +66,8 @@ class Index:
     def add(self, docs: DataFrame, key: str, text: str) -> None:
         """Index rows whose keys no segment holds yet; null and empty texts count towards the average length only."""
         segment, forward = f"s-{uuid.uuid4().hex}", f"{shared_dir(self.spark)}/forward-{uuid.uuid4().hex}"
-        counted = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), term_counts(F.col(text)).alias("terms"))
-        dl = F.coalesce(F.aggregate("terms", F.lit(0), lambda s, t: s + t["tf"]), F.lit(0))
-        counted.select("key", "terms", dl.alias("dl"), F.floor(4 * F.log2(F.greatest(dl, F.lit(1)))).alias("kind")).write.parquet(forward)
+        counted = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.inline(term_counts(F.col(text))))
+        counted.withColumn("kind", F.floor(4 * F.log2(F.greatest("dl", F.lit(1))))).write.parquet(forward)
         rows = self.spark.read.parquet(forward)
         kinds = rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("dl").alias("length"), F.sum(F.coalesce(F.size("terms"), F.lit(0))).alias("postings")).collect()  # as many as lengths double, times 4
         slices = F.create_map(*(F.lit(x) for k in kinds for x in (k["kind"], math.ceil(k["n"] / BLOCK)))) if kinds else F.create_map(F.lit(0), F.lit(1))
@@ -85,8 +85,8 @@ class Index:
         self.refresh()
 
     def _of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
-        buckets = {r[0] for r in self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("t")).select(bucket(F.col("t"))).collect()}
-        return rows.where(F.col("bucket").isin(list(buckets)) & F.col("term").isin(terms))
+        """Rows of some words; the words' folders are constants of the plan, so others are never opened."""
+        return rows.where(F.col("bucket").isin([bucket(F.lit(t)) for t in terms]) & F.col("term").isin(terms))
 
     def _weights(self, bounds: DataFrame) -> Column | None:
         """The inverse document frequency of each word that is known, over all segments."""
