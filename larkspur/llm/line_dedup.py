@@ -258,7 +258,7 @@ def lost_lines(state: LineState) -> DataFrame:
     return written(_hits(state), "hits").join(shared, ["hi", "lo"]).where("doc_id <> first").select("doc_id", "hi", "lo")
 
 
-def _kept(at: int, least: int):
+def _kept(at: int, least: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, at, _TEXTS)):
             kept, lines, dropped = [], [], []
@@ -272,7 +272,7 @@ def _kept(at: int, least: int):
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(left))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[:-1], "kept__", "n_lines__", "n_dropped__"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "kept__", "n_lines__", "n_dropped__"])
 
     return run
 
@@ -289,6 +289,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.where(F.col(id_col).isNotNull())
     state = state or build(docs, id_col, text_col, min_chars)
     lost = _packed(lost_lines(state))
-    joined = docs.join(lost, F.col(id_col).cast("long") == F.col("lost_id__"), "left").select(*docs.columns, "lost__")
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever docs' columns are called
+    joined = rows.join(lost, rows[docs.columns.index(id_col)].cast("long") == lost["lost_id__"], "left").select(*rows.columns, lost["lost__"])
     schema = StructType([*docs.schema.fields, StructField("kept__", StringType()), StructField("n_lines__", LongType()), StructField("n_dropped__", LongType())])
-    return joined.mapInArrow(_kept(docs.columns.index(text_col), min_chars), schema)
+    return joined.mapInArrow(_kept(docs.columns.index(text_col), min_chars, docs.columns), schema)

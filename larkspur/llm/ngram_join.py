@@ -34,8 +34,8 @@ _STAR, _CHUNK, _BLOCK = 48, 96, 768
 _LEAF = 24
 #: Cells of one distance: more than set sizes have steps (a cell that wraps around only adds comparisons).
 _ROW = 4096
-#: Postings that one candidate bucket should hold.
-_BUCKET = 500_000
+#: Postings that one candidate bucket should hold, and the cells that they are counted in.
+_BUCKET, _CELLS = 400_000, 1024
 #: Postings of one shingle beyond which they do not go to its bucket but stay rows of their own.
 _HOT = _BUCKET // 8
 #: Low bits of a class key that hold the size of its set.
@@ -77,16 +77,17 @@ def _postings(k: int, num: int, den: int, buckets: int):
             for i in range(len(words)):
                 s = shingles(words.of(i), k)
                 if len(s):
-                    hi = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0]
+                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    hi = np.frombuffer(digest, np.int64)[0]
                     e = len(s) - _need(len(s), num, den) + int(_extra(len(s), num, den))
-                    sets.setdefault(int(_key(hi, np.int64(len(s)))), s[:e])
+                    sets.setdefault(digest, (int(_key(hi, np.int64(len(s)))), s[:e]))
             if not sets:
                 continue
-            gram = mix(np.concatenate(list(sets.values())) ^ np.uint64(0x5851F42D4C957F2D))
-            key = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()])
+            gram = mix(np.concatenate([s for _, s in sets.values()]) ^ np.uint64(0x5851F42D4C957F2D))
+            key = np.repeat(np.array([k for k, _ in sets.values()], np.int64), [len(s) for _, s in sets.values()])
             bucket = ((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, gram, key = bucket[order], gram[order].astype(np.uint32), key[order]
+            bucket, gram, key = bucket[order], gram[order].view(np.int64), key[order]
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             to = [*at[1:], len(bucket)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array([gram[a:b].tobytes() for a, b in zip(at, to)], pa.binary()), pa.array([key[a:b].tobytes() for a, b in zip(at, to)], pa.binary())], ["bucket", "grams", "keys"])
@@ -94,43 +95,65 @@ def _postings(k: int, num: int, den: int, buckets: int):
     return run
 
 
-def _often(least: int):
-    """(bucket, gram, sets) of shingles that `least` distinct sets of one batch share."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, cell, n): how many postings a cell of each bucket has, added up within the task."""
+    held: dict[int, np.ndarray] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
-                gram, n = np.unique(np.frombuffer(grams.as_buffer(), np.uint32), return_counts=True)
-                gram, n = gram[n >= least], n[n >= least]
-                if len(gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), bucket, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["bucket", "gram", "sets"])
+    def out() -> pa.RecordBatch:
+        parts = [(np.full(len(at), b, np.int32), at, n[at]) for b, n in held.items() for at in [np.flatnonzero(n)]]
+        held.clear()
+        bucket, cell, n = (np.concatenate(x) for x in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cell.astype(np.int32)), pa.array(n)], ["bucket", "cell", "n"])
 
-    return run
+    for batch in batches:
+        for bucket, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+            n = np.bincount(np.frombuffer(grams.as_buffer(), np.int64) & (_CELLS - 1), minlength=_CELLS).astype(np.int64)
+            held[bucket] = held[bucket] + n if bucket in held else n
+        if len(held) > 2048:
+            yield out()
+    if held:
+        yield out()
 
 
-def _gram(bucket: int, gram: np.ndarray) -> np.ndarray:
-    return (np.int64(bucket) << np.int64(32)) | gram.astype(np.int64)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, gram, sets) of the shingles in crowded cells."""
+    for batch in batches:
+        for bucket, grams, cells in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            gram = np.frombuffer(grams.as_buffer(), np.int64)
+            gram, n = np.unique(gram[np.isin(gram & (_CELLS - 1), cells)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), bucket, np.int32)), pa.array(gram), pa.array(n.astype(np.int64))], ["bucket", "gram", "sets"])
+
+
+def _hot_grams(blobs: DataFrame) -> DataFrame:
+    """(bucket, hot): shingles that more than three quarters of `_HOT` sets hold, by exact counts over all postings of the
+    cells that are crowded enough to hold one, however thinly their sets are spread over batches."""
+    most = 0.75 * _HOT
+    crowded = blobs.select("bucket", "grams").mapInArrow(_cells, "bucket int, cell int, n long").groupBy("bucket", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    crowded = written(crowded.groupBy("bucket").agg(F.collect_list("cell").alias("cells")), "crowded")  # at most _CELLS a bucket
+    counted = blobs.select("bucket", "grams").join(small(crowded, _BROADCAST), "bucket").select("bucket", "grams", "cells").mapInArrow(_counted, "bucket int, gram long, sets long")
+    often = counted.groupBy("bucket", "gram").agg(F.sum("sets").alias("sets")).where(F.col("sets") > most)
+    return written(often.groupBy("bucket").agg(F.collect_list("gram").alias("hot")), "hot")
 
 
 def _without_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, grams, keys, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
-            gram, key = np.frombuffer(grams.as_buffer(), np.uint32), np.frombuffer(keys.as_buffer(), np.int64)
+            gram, key = np.frombuffer(grams.as_buffer(), np.int64), np.frombuffer(keys.as_buffer(), np.int64)
             stay = ~np.isin(gram, hot or [])
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([gram[stay].tobytes()], pa.binary()), pa.array([key[stay].tobytes()], pa.binary())], ["bucket", "grams", "keys"])
 
 
 def _only_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for bucket, grams, keys, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
-            gram, key = np.frombuffer(grams.as_buffer(), np.uint32), np.frombuffer(keys.as_buffer(), np.int64)
+        for grams, keys, hot in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            gram, key = np.frombuffer(grams.as_buffer(), np.int64), np.frombuffer(keys.as_buffer(), np.int64)
             own = np.isin(gram, hot)
-            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(_gram(bucket, gram[own]))], ["key", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(gram[own])], ["key", "gram"])
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """The postings of one bucket whose shingle is in two distinct sets at least, with the number of sets."""
-    gram = np.frombuffer(b"".join(rows["grams"]), np.uint32)
+    gram = np.frombuffer(b"".join(rows["grams"]), np.int64)
     key = np.frombuffer(b"".join(rows["keys"]), np.int64)
     order = np.lexsort((key, gram))
     gram, key = gram[order], key[order]
@@ -140,7 +163,7 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     _, at, df = np.unique(gram, return_inverse=True, return_counts=True)
     df = df[at]
     keep = df > 1
-    return pd.DataFrame({"key": key[keep], "gram": _gram(rows["bucket"].iloc[0], gram[keep]), "df": df[keep].astype(np.int64)})
+    return pd.DataFrame({"key": key[keep], "gram": gram[keep], "df": df[keep].astype(np.int64)})
 
 
 def candidate_regions(texts: DataFrame, k: int, num: int, den: int, postings: int) -> DataFrame:
@@ -151,14 +174,11 @@ def candidate_regions(texts: DataFrame, k: int, num: int, den: int, postings: in
     least among their rarest count - l + 1 of those (rarity counted over the whole corpus); sets joined by such a
     shingle, and by chains of them, form a region.
 
-    Postings meet in buckets of hashes, but those of a shingle that more than `_HOT` sets hold (found by counts within
-    batches first) stay rows; such shingles count as equally frequent, which is a rarity that all sets see alike.
+    Postings meet in buckets of hashes, but those of a shingle that nearly `_HOT` sets hold or more (see `_hot_grams`) stay rows; such shingles count as equally frequent, which is a rarity that all sets see alike.
     """
     buckets = max(64, -(-postings // _BUCKET))
     blobs = written(texts.select("text").mapInArrow(_postings(k, num, den, buckets), "bucket int, grams binary, keys binary"), "blobs")
-    batches = (blobs.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0) + 1
-    often = blobs.select("bucket", "grams").mapInArrow(_often(max(2, _HOT // (4 * batches))), "bucket int, gram long, sets long")
-    hot = written(often.groupBy("bucket", "gram").agg(F.sum("sets").alias("sets")).where(F.col("sets") > 0.75 * _HOT).groupBy("bucket").agg(F.collect_list("gram").alias("hot")), "hot")
+    hot = _hot_grams(blobs)
     light = blobs.join(small(hot, _BROADCAST), "bucket", "left").select("bucket", "grams", "keys", "hot").mapInArrow(_without_hot, "bucket int, grams binary, keys binary")
     heavy = blobs.join(small(hot, _BROADCAST), "bucket").select("bucket", "grams", "keys", "hot").mapInArrow(_only_hot, "key long, gram long").distinct()
     shared = light.groupBy("bucket").applyInPandas(_shared, "key long, gram long, df long").unionByName(heavy.withColumn("df", F.lit(1 << 40)))

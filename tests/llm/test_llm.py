@@ -83,6 +83,26 @@ def test_one_of_each_group_stays(docs, none):
     assert ngram_join.ngram_components(none).count() == 0
 
 
+def test_hot_shingles_are_found_however_thinly_they_are_spread(spark, monkeypatch):
+    """One shingle stands once in each of 200 batches, others in fewer; each batch alone shows nothing."""
+    monkeypatch.setattr(ngram_join, "_HOT", 100)
+    r = random.Random(1)
+    hot, near = 7 + (1 << 40), 7 + (1 << 41)  # in one cell
+    rows = []
+    for i in range(200):
+        grams = [hot, *([near] if i < 60 else []), *(r.randrange(1 << 62) for _ in range(20))]
+        rows.append((3, np.array(grams, np.int64).tobytes(), np.arange(len(grams), dtype=np.int64).tobytes()))
+    blobs = spark.createDataFrame(rows, "bucket int, grams binary, keys binary").repartition(7)
+    assert [(x["bucket"], x["hot"]) for x in ngram_join._hot_grams(blobs).collect()] == [(3, [hot])]
+
+
+def test_lines_of_documents_with_names_like_ours(spark):
+    rows = spark.createDataFrame([(1, "a repeated line\nown", 1), (2, "a repeated line\nother", 2)], "doc_id long, text string, n int")
+    named = rows.withColumns({"lost__": F.lit("x"), "lost_id__": F.lit(5), "c0": F.lit(1), "hi": F.lit(2)})
+    got = {x["doc_id"]: (x["kept__"], x["lost__"], x["lost_id__"]) for x in line_dedup.dedup_lines(named).collect()}
+    assert got == {1: ("a repeated line\nown", "x", 5), 2: ("other", "x", 5)}
+
+
 def test_metric_join_within_a_region():
     r = np.random.default_rng(0)
     base = r.choice(10**6, 400, replace=False).astype(np.uint64)
