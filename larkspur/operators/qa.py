@@ -37,18 +37,28 @@ def citation_scores(pairs: DataFrame, blocks: DataFrame, key: str, answer: str,
     return scored.where(F.col("score") >= floor).groupBy(key).agg(F.max("score").alias("score"), F.min_by("segment", F.struct(-F.col("score"), "segment")).alias("segment"))
 
 
+#: Pairs of words that are sent to every text.
+_PAIRS = 10_000
+
+
 def quoted(segments: DataFrame, texts: DataFrame, segment: str, key: str, text: str) -> DataFrame:
     """segments' rows that some text (key, text) holds word for word.
 
     The second and third word of a segment stand whole in a text that holds it, so an equi-join on such pairs of words
-    finds the texts to compare in full; segments of fewer than four words, a stated few, are looked for in every text.
+    finds the texts to compare in full. Where few pairs are asked for (`_PAIRS`, counted), each text keeps only those of its own
+    before they become rows. Segments of fewer than four words, a stated few, are looked for in every text.
     """
     words = F.split(F.col(segment), " ", -1)
     pair = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))
     long = segments.where(F.size(words) > 3).withColumn("pair__", pair(words, F.lit(1)))
     short = segments.where(F.size(words) <= 3)
     spoken = texts.select(F.col(key).alias("key__"), F.split(F.col(text), " ", -1).alias("w")).where(F.size("w") > 1)
-    spoken = spoken.select("key__", F.explode(F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))).alias("pair__"))
+    said = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    wanted = long.select("pair__").distinct()
+    if wanted.count() <= _PAIRS:
+        spoken = spoken.crossJoin(F.broadcast(wanted.agg(F.collect_list("pair__").alias("wanted__"))))  # one row
+        said = F.array_intersect(said, F.col("wanted__"))
+    spoken = spoken.select("key__", F.explode(F.array_distinct(said)).alias("pair__"))
     near = long.join(spoken.join(long.select("pair__").distinct(), "pair__", "left_semi"), "pair__")
     found = near.join(texts.select(F.col(key).alias("key__"), F.col(text).alias("text__")), "key__").where(F.col("text__").contains(F.col(segment))).select(segments.columns)
     if short.isEmpty():

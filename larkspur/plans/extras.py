@@ -49,10 +49,25 @@ def memory_search(spark, sf):
     return search.memories(c, "key", "the of und die de la en el", None, 10, conversation=5).select("key", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {VEC} SELECT vec_id, round({COS}, 6) AS score FROM v, q0 WHERE label < 5 ORDER BY {COS} DESC, vec_id LIMIT 5")
+@query(f"WITH {VEC} SELECT vec_id, round({COS}, 6) AS score FROM v, q0 WHERE label < 5 AND {COS} >= 0.2 ORDER BY {COS} DESC, vec_id LIMIT 5")
 def compaction_search(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("compaction_method", F.when(F.col("label") < 5, "extract").otherwise("summary"))
-    return search.compactions(e, "vec_id", _query_vector(e), 5, -1.0, ["extract"]).select("vec_id", F.round("score", 6).alias("score"))
+    return search.compactions(e, "vec_id", _query_vector(e), 5, 0.2, ["extract"]).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {VEC}, s AS (SELECT vec_id, {COS} AS score FROM v, q0) SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.75 ORDER BY s.score DESC, vec_id LIMIT 5")
+def compaction_default(spark, sf):
+    """The same of all methods, at the floor that holds by default."""
+    e = table(spark, sf, "embeddings")
+    return search.compactions(e, "vec_id", _query_vector(e)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {VEC} SELECT vec_id AS key, round(({COS} + 1) / 2, 6) AS score FROM v, q0 ORDER BY {COS} DESC, vec_id LIMIT 10")
+def memory_vector(spark, sf):
+    """Memories without a filter go by vector."""
+    e = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "key")
+    asked = _query_vector(e.withColumnRenamed("key", "vec_id"))
+    return search.memories(e, "key", "anything", asked).select("key", F.round("score", 6).alias("score"))
 
 
 _ASKED = _words_sql(f"SELECT q.conv_id * 1000 + q.turn AS key, list_concat({TOKENS.replace('text', 'q.text')}, {TOKENS.replace('text', 'a.text')}) AS w, lower(coalesce(q.text, '')) AS question, lower(coalesce(a.text, '')) AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'", ["the", "and", "of"])

@@ -59,9 +59,11 @@ def keep_highest(spark, sf):
     return store.keep_highest(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id")
 
 
-@query("SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 5 END + coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def counter_increment(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    """Customers' counts, of which each third is missing, raised by their orders."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 5).alias("orders"))
+    return store.incremented(rows, table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "orders")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%ring%' AND p_size BETWEEN 5 AND 20 AND list_has_any([p_brand, p_type], ['Brand#2', 'ECONOMY'])")

@@ -129,9 +129,12 @@ def tag_all(spark, sf):
     return rank.tags(_tagged(spark, sf), ["en", "src1"], "tags", True).select("doc_id")
 
 
-@query("SELECT doc_id, 0.5::DOUBLE AS tag_score FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, round(((lang IN ('en', 'de'))::INT + (source IN ('src1', 'src2'))::INT) / 5.0, 6)::DOUBLE AS tag_score FROM documents WHERE lang IN ('en', 'de') OR source = 'src1'")
 def tag_fraction(spark, sf):
-    return rank.tags(_tagged(spark, sf), ["en", "SRC1x"], "tags").select("doc_id", "tag_score")
+    """Five wanted tags: two languages and one source as they are written, a source in another case, which scores but does not
+    filter, and one that nothing has."""
+    found = rank.tags(_tagged(spark, sf), ["en", "de", "src1", "SRC2", "SRC1x"], "tags")
+    return found.select("doc_id", F.round("tag_score", 6).alias("tag_score"))
 
 
 @query(f"WITH {VEC}, s AS (SELECT vec_id, {COS} AS score FROM v, q0) SELECT vec_id, round(score, 6) AS score FROM s WHERE s.score >= 0.1 ORDER BY s.score DESC, vec_id LIMIT 10")
@@ -165,7 +168,7 @@ def memory_score_norm(spark, sf):
     return _rounded(rank.top(scored, 10, "vec_id").select("vec_id", "score"), "score")
 
 
-@query("SELECT count(*) AS total, count(embedding) AS embedded, count(*) FILTER (WHERE embedding IS NULL) AS missing, true AS ready FROM embeddings")
+@query("SELECT count(*) AS total, count(embedding) AS embedded, count(*) FILTER (WHERE embedding IS NULL) AS missing, count(embedding) >= 2 AND count(DISTINCT len(embedding)) = 1 AS ready FROM embeddings")
 def semantic_readiness(spark, sf):
     return rank.readiness(table(spark, sf, "embeddings"), "embedding").select("total", "embedded", "missing", "ready")
 

@@ -143,10 +143,12 @@ def embedding_checks(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", vector.well_formed(v, 64).alias("ok"), F.size(vector.fitted(v, 70)).alias("fitted_length"))
 
 
-@query("SELECT doc_id, 1.0::DOUBLE AS norm FROM documents")
+@query("SELECT doc_id, 1.0::DOUBLE AS norm, count(*) OVER (PARTITION BY md5(coalesce(text, ''))) AS alike FROM documents")
 def hash_embeddings(spark, sf):
-    e = vector.hash_embedding(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.round(vector.norm(e), 6).alias("norm"))
+    """Unit vectors, and how many documents have the same one: those of equal text."""
+    made = table(spark, sf, "documents").select("doc_id", vector.hash_embedding(F.col("text")).alias("e"))
+    same = made.groupBy(F.xxhash64("e").alias("h")).agg(F.count("*").alias("alike"))
+    return made.join(same, F.xxhash64("e") == F.col("h")).select("doc_id", F.round(vector.norm(F.col("e")), 6).alias("norm"), "alike")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS shown FROM documents")

@@ -44,6 +44,14 @@ def deleted(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(keys.select(on).distinct(), on, "left_anti")
 
 
+def incremented(rows: DataFrame, changes: DataFrame, key: str, counter: str, by: str | None = None) -> DataFrame:
+    """rows with `counter` raised by the changes of their key: one each, or the sum of column `by`; a missing count starts at 0.
+    Changes are added up before the join, so one key with most of them is no one task's work."""
+    added = changes.groupBy(F.col(key).alias("key__")).agg((F.sum(by) if by else F.count("*")).alias("added__"))
+    new = F.coalesce(F.col(counter), F.lit(0)) + F.coalesce(F.col("added__"), F.lit(0))
+    return rows.join(added, rows[key] == added["key__"], "left").withColumn(counter, new).select(rows.columns)
+
+
 def upserted(rows: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The latest row of each key of both tables; new rows win ties."""
     both = rows.withColumn("new__", F.lit(0)).unionByName(new.withColumn("new__", F.lit(1)))
