@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import graph, rank, temporal
+from larkspur.sources.inverted import Index
 
 
 @dataclass
@@ -52,10 +53,11 @@ def graph_leg(seeds: DataFrame, edges: DataFrame, key: str, n: int, share: float
     return rank.ranked(best, key, n)
 
 
-def hybrid(docs: DataFrame, key: str, text: str, query: str, plan: Plan, vectors: DataFrame | None = None, vector: list[float] | None = None, edges: DataFrame | None = None, tags: tuple[str, list[str]] | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, key: str, text: str, query: str, plan: Plan, vectors: DataFrame | None = None, vector: list[float] | None = None, edges: DataFrame | None = None, tags: tuple[str, list[str]] | None = None, index: Index | None = None) -> DataFrame:
     """The plan's legs over documents that pass the tag and time filters, fused; filters hold for every leg.
 
-    vectors has the same key and a column `embedding`; edges (src, dst) join keys of documents.
+    vectors has the same key and a column `embedding`; edges (src, dst) join keys of documents. With a written index of
+    docs the word legs read no text; words are then weighed over all that it holds, filters or not.
     """
     rows = docs
     if plan.since is not None:
@@ -63,7 +65,10 @@ def hybrid(docs: DataFrame, key: str, text: str, query: str, plan: Plan, vectors
     if tags:
         rows = rank.tags(rows, tags[1], tags[0])
     weights, lists = normalised(plan.weights), {}
-    words = rank.bm25(rows, query, key, text)
+    if index is None:
+        words = rank.bm25(rows, query, key, text).select(key, "score")
+    else:
+        words = index.scores(query, key) if plan.since is None and not tags else index.scores(query, key).join(rows.select(key), key, "left_semi")
     if "bm25" in weights:
         lists["bm25"] = rank.ranked(words.select(key, "score"), key, plan.leg)
     if "semantic" in weights and vectors is not None and vector:

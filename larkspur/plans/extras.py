@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import vector
 from larkspur.operators import dashboard, search
 from larkspur.plans.registry import query, table
-from larkspur.plans.retrieval import COS, TOKENS, VEC, _query_vector
+from larkspur.plans.retrieval import BM25, COS, TOKENS, VEC, _query_vector, text_index
 from larkspur.sources import messages
 
 
@@ -17,27 +17,39 @@ def _docs(spark, sf):
     return d, v
 
 
-@query()
+def _words_sql(rows: str, words: list[str]) -> str:
+    """b (key, score): BM25 of rows (key, w) for words, as the operator scores them."""
+    asked = ", ".join(f"('{w}')" for w in words)
+    return f"""d AS ({rows}), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)::DOUBLE) AS a FROM d), q(t) AS (VALUES {asked}), df AS (SELECT t, count(*)::DOUBLE AS df FROM q JOIN d ON list_contains(w, t) GROUP BY t),
+b AS (SELECT key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / a))) AS score FROM (SELECT d.*, df.df, len(list_filter(w, lambda x: x = t))::DOUBLE AS tf FROM d JOIN df ON list_contains(w, t)), st GROUP BY key)"""
+
+
+_WHY = _words_sql(f"SELECT doc_id AS key, text, {TOKENS} AS w FROM documents", ["why", "the", "nation", "of", "with"])
+_HELD = " + ".join(f"(contains(lower(text), '{w}'))::INT" for w in ("why", "the", "nation", "with"))
+
+
+@query(f"""WITH {_WHY}, {VEC}, l1 AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS r FROM b QUALIFY r <= 20), s AS (SELECT vec_id AS key, {COS} AS score FROM v, q0 WHERE vec_id IN (SELECT key FROM d)),
+l2 AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS r FROM s QUALIFY r <= 20),
+f AS (SELECT key, 0.3 / (60 + coalesce(l1.r, (SELECT count(*) + 1 FROM l1))) + 0.7 / (60 + coalesce(l2.r, (SELECT count(*) + 1 FROM l2))) AS score FROM l1 FULL JOIN l2 USING (key) ORDER BY score DESC, key LIMIT 20)
+SELECT key AS doc_id, round(0.3 * score + 0.7 * (0.4 + 0.4 * ({_HELD}) / 4.0::DOUBLE), 8) AS score FROM f JOIN d USING (key) ORDER BY 0.3 * score + 0.7 * (0.4 + 0.4 * ({_HELD}) / 4.0::DOUBLE) DESC, key LIMIT 10""")
 def routed_search(spark, sf):
+    """A question of reasons: words and vectors, reranked."""
     d, v = _docs(spark, sf)
-    out = search.routed(d, "doc_id", "text", "why the nation of with", vectors=v, vector=_query_vector(table(spark, sf, "embeddings")))
+    out = search.routed(d, "doc_id", "text", "why the nation of with", vectors=v, vector=_query_vector(table(spark, sf, "embeddings")), index=text_index(spark, sf))
     return out.withColumn("score", F.round("score", 8))
 
 
-@query()
+@query(f"""WITH {BM25}, l1 AS (SELECT doc_id, source, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b QUALIFY r <= 20),
+g AS (SELECT doc_id, score FROM l1 UNION ALL SELECT -1 - regexp_extract(source, '[0-9]+$')::BIGINT, 0.8 * score FROM l1), m AS (SELECT doc_id, max(score) AS score FROM g GROUP BY 1),
+l2 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM m QUALIFY r <= 20)
+SELECT doc_id, round(0.4 / (60 + coalesce(l1.r, (SELECT count(*) + 1 FROM l1))) + 0.6 / (60 + coalesce(l2.r, (SELECT count(*) + 1 FROM l2))), 8) AS score FROM l1 FULL JOIN l2 USING (doc_id)
+ORDER BY 0.4 / (60 + coalesce(l1.r, (SELECT count(*) + 1 FROM l1))) + 0.6 / (60 + coalesce(l2.r, (SELECT count(*) + 1 FROM l2))) DESC, doc_id LIMIT 10""")
 def graph_rag(spark, sf):
-    """Seeds by words, and documents that share a source with them through a walk of two steps."""
+    """Seeds by words, and the sources that they lead to, as vertices of their own."""
     d, _ = _docs(spark, sf)
-    e = d.select(F.col("doc_id").alias("src"), (-1 - F.abs(F.hash("source").cast("long"))).alias("dst"))
+    e = d.select(F.col("doc_id").alias("src"), (-1 - F.regexp_extract("source", "[0-9]+$", 0).cast("long")).alias("dst"))
     plan = search.Plan({"bm25": 0.4, "graph": 0.6})
-    return search.hybrid(d, "doc_id", "text", "the nation of with", plan, edges=e).withColumn("score", F.round("score", 8))
-
-
-def _words_sql(rows: str, words: list[str]) -> str:
-    """b (key, score): BM25 of rows (key, w) for words, as the operator scores them."""
-    asked = ", ".join(f"('{w}')" for w in words)
-    return f"""d AS ({rows}), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)::DOUBLE) AS a FROM d), q(t) AS (VALUES {asked}), df AS (SELECT t, count(*)::DOUBLE AS df FROM q JOIN d ON list_contains(w, t) GROUP BY t),
-b AS (SELECT key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / a))) AS score FROM (SELECT d.*, df.df, len(list_filter(w, lambda x: x = t))::DOUBLE AS tf FROM d JOIN df ON list_contains(w, t)), st GROUP BY key)"""
+    return search.hybrid(d, "doc_id", "text", "the nation of with", plan, edges=e, index=text_index(spark, sf)).withColumn("score", F.round("score", 8))
 
 
 _MEMORY = _words_sql(f"SELECT conv_id * 1000 + turn AS key, {TOKENS} AS w FROM conversations WHERE conv_id = 5", ["the", "of", "und", "die", "de", "la", "en", "el"])
