@@ -50,19 +50,19 @@ def seeded(spark: SparkSession, path: str, collections: dict[str, str]) -> dict[
     return {name: whole.select(F.explode(F.col(f"`{name}`")).alias("r")).select("r.*") for name in collections}
 
 
-#: Texts are written as they are: quoted, with breaks and outer white space kept, null and empty told apart.
-_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\\N", "emptyValue": ""}
+#: Breaks and outer white space of texts stay; a null is nothing, an empty text two quotes.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What `write` wrote as csv, compressed or not."""
-    return spark.read.options(**_CSV, multiLine=True).schema(schema).csv(path)
+    return spark.read.options(**_CSV, multiLine=True, nullValue="\x00").schema(schema).csv(path)  # else two quotes would be null too
 
 
 def write(df: DataFrame, path: str, fmt: str = "json", compression: str | None = None, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     w = df.write.mode(mode)
     if fmt == "csv":
-        w = w.options(**_CSV, quoteAll=True)
+        w = w.options(**_CSV)
     if compression:
         w = w.option("compression", compression)
     (w.partitionBy(*partition_by) if partition_by else w).format(fmt).save(path)
