@@ -259,7 +259,7 @@ def ivf_certified(spark, sf):
 
 
 #: Lists that a query reads: enough for a recall of 0.9 on vectors without much structure.
-PROBES = 25
+PROBES = 35
 
 
 @query()
