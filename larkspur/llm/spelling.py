@@ -8,7 +8,8 @@ single letter, so what shares a key is bounded by the alphabet times the word's
 is its most frequent near word, if that is frequent enough; forms are followed to their roots by doubling.
 
 Keys are hashes and words go by number until they are compared, so a very long word costs its length, not its square, in
-moved bytes. Words are counted within each task before the shuffle.
+moved bytes. Words are counted within each task before the shuffle. Tables here look small as files (packed words and
+numbers) and are large as rows, so every join is a shuffled one by hint: none is built whole on the driver.
 
 Defined cases: null and empty texts have no words; rows without an id are left out; repeated rows each count; words are
 compared by code points, ties go to the smaller in code-point order; without near words n_near is 0, form is null and root
@@ -80,12 +81,12 @@ def near_words(words: DataFrame) -> DataFrame:
     named = written(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
     whole = F.array(F.struct(F.xxhash64("word").alias("key"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi")))
     keys = named.select("id", F.length("word").alias("size"), F.explode(F.concat(whole, _deletions("word"))).alias("k")).select("k.key", "id", "size", "k.lo", "k.hi")
-    a, b = keys.alias("a"), keys.alias("b")
+    a, b = keys.alias("a"), keys.alias("b").hint("merge")
     one = F.expr("a.size <> b.size OR (a.lo <= b.hi AND b.lo <= a.hi)")  # the other is the key, or a letter is replaced
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & one).select(F.col("a.id").alias("one"), F.col("b.id").alias("two"))
     first = named.select(F.col("id").alias("one"), F.col("word").alias("word"), F.col("n"))
     second = named.select(F.col("id").alias("two"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    sure = pairs.join(first, "one").join(second, "two").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    sure = pairs.join(first.hint("merge"), "one").join(second.hint("merge"), "two").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
     return sure.select(F.explode(F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))).alias("p")).select("p.*")
 
 
@@ -95,13 +96,13 @@ def grouped(words: DataFrame, times: int = 5) -> DataFrame:
     words = written(words.select("word", "n"), "vocabulary")
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("word"))).alias("best"))
     strong = -F.col("best.n") >= times * F.col("n")
-    formed = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(strong, F.col("best.word")).alias("form"), F.when(strong, -F.col("best.n")).alias("form_n"))
+    formed = words.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(strong, F.col("best.word")).alias("form"), F.when(strong, -F.col("best.n")).alias("form_n"))
     formed = written(formed, "forms")
     roots = formed.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:  # n grows with each form, so chains end; what is passed doubles each round
         on = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        roots = written(roots.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        roots = written(roots.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         if roots.where("moved").isEmpty():
             break
         roots = roots.select("word", "root")
-    return formed.join(roots.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(roots.select("word", "root").hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

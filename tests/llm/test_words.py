@@ -216,3 +216,18 @@ def test_nothing_learned_is_und(spark):
     rows = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     got = language_id.predicted(rows, language_id.learned(rows.where(toxicity.fold("doc_id") != 9))).first()
     assert (got["lang_pred"], got["score"]) == ("und", 0.0)
+
+
+def test_spelling_joins_build_no_table_on_the_driver(spark):
+    """Small files hold many words: at half a gigabyte of text a broadcast of their deletions did not fit the driver."""
+    words = spark.createDataFrame([("example", 90), ("exampel", 1), ("exmple", 2), ("samples", 7), ("sample", 50)], "word string, n long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for found in (spelling.near_words(words), spelling.grouped(words)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+            found.collect()
+            assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
