@@ -465,6 +465,23 @@ def test_toxicity_counts_every_ngram(spark, monkeypatch, held):
     assert got == pytest.approx(brute_toxicity(rows, labels), abs=1e-6)
 
 
+def test_toxicity_of_a_large_model_meets_texts_in_parts(spark, monkeypatch):
+    """No row on the way grows with a batch of texts, and many small parts give the scores of one whole model."""
+    kinds, written = [], toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: kinds.extend(k for _, k in df.dtypes) or written(df, name))
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    monkeypatch.setattr(toxicity, "_LEAST", 200, raising=False)
+    rows, labels = toxic_corpus(200)
+    rows += [(900, "ab é zz"), (901, "a"), (902, ""), (903, None), (904, "abzz abyy zzab"), (904, "abzz abyy zzab"), (904, "other text")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    in_parts = sorted(tuple(r) for r in toxicity.scored(docs, marks).collect())
+    assert "binary" not in kinds
+    monkeypatch.setattr(toxicity, "HELD", 1 << 40)
+    whole = sorted(tuple(r) for r in toxicity.scored(docs, marks).collect())
+    assert [i for i, _ in in_parts] == [i for i, _ in whole] and len(whole) == len(rows)
+    assert [x for _, x in in_parts] == pytest.approx([x for _, x in whole], abs=1e-9)
+
+
 def test_toxicity_finds_stems_in_every_language(spark):
     """Insults that are stems with endings of their own, in texts of four kinds where parts of the stems are common letters."""
     r = random.Random(11)
