@@ -324,3 +324,27 @@ def test_references_by_number(spark):
     b = spark.createDataFrame(rows, "document_id string, page int, idx int, type string, text string, caption string")
     got = sorted((r["source"], r["target"], r["reference_type"]) for r in qa.block_references(b).collect())
     assert got == [("d:2:0", "d:1:1", "table"), ("d:2:0", "d:1:2", "figure"), ("d:2:1", "d:1:2", "figure")]
+
+
+def test_pairs_and_successors_in_as_many_parts_as_rows_need(spark, monkeypatch):
+    """Pairs of items of a group, items that follow each other, and modularity with weights and loops; no part grows with the table."""
+    from larkspur.operators import graph
+
+    monkeypatch.setattr(graph, "ROWS", 10)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(30)]), i, rng.choice([None, *range(9)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, n int, x int")
+    pairs, follow = graph.together(df, "g", "x"), graph.successors(df, "g", "x", "n")
+    assert pairs.rdd.getNumPartitions() >= 80 and follow.rdd.getNumPartitions() >= 20
+    groups = {}
+    for g, n, x in rows:
+        groups.setdefault(g, []).append(x)
+    known = [{x for x in v if x is not None} for g, v in groups.items() if g is not None]
+    assert sorted(map(tuple, pairs.collect())) == sorted({(a, b) for v in known for a in v for b in v if a < b})
+    assert {tuple(r) for r in follow.collect()} == {(a, b) for v in groups.values() for a, b in zip(v, v[1:]) if b is not None}
+    e = [(rng.randrange(8), rng.randrange(8), rng.choice([None, 2.0, 0.5])) for _ in range(40)]
+    both = [(a, b, 1.0 if w is None else w) for s, d, w in e for a, b in ((s, d), (d, s))]
+    m2, c = sum(w for *_, w in both), lambda v: v % 3
+    want = sum(sum(w for a, b, w in both if c(a) == k == c(b)) / m2 - (sum(w for a, _, w in both if c(a) == k) / m2) ** 2 for k in range(3))
+    member = spark.createDataFrame([(v, c(v)) for v in range(8)], "id int, community int")
+    assert graph.modularity(spark.createDataFrame(e, "src int, dst int, w double"), member, "w").first()[0] == pytest.approx(want)
