@@ -1,7 +1,7 @@
 """Comparing many vectors with many: rows are dealt into blocks, blocks into tiles, and pairs of tiles are multiplied.
 
 Within a group every block has about `ROWS` vectors whatever the group's size, and a task multiplies two tiles of `TILE`
-blocks, so a group with most rows becomes many tasks of equal size; each keeps at most the `most` best of a row before the
+blocks, a strip of `CELLS` products at a time, so a group with most rows becomes many tasks of equal size; each keeps at most the `most` best of a row before the
 shuffle. The number of products is that of all pairs within a group: give it groups that are as fine as the question allows, or
 ask with a stated set. Null vectors take no part; vectors of another length are of another group; a zero vector has cosine 0.
 """
@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block and blocks of a tile.
-ROWS, TILE = 1024, 8
+#: Vectors of a block, blocks of a tile, and products that a task holds at a time.
+ROWS, TILE, CELLS = 1024, 8, 1 << 20
 _GROUP = ["group__", "dims__"]
 
 
@@ -59,11 +59,12 @@ def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: st
         index: dict[object, list[int]] = {}
         for i, k in enumerate(keys_b.to_pylist() if others else []):
             index.setdefault(k, []).append(i)
-        for s in range(0, len(m), ROWS):
-            both = norm_a[s : s + ROWS, None] * norm_b
-            cos = np.divide(m[s : s + ROWS] @ n.T, both, out=np.zeros_like(both), where=both > 0)
+        strip = max(1, CELLS // len(n))
+        for s in range(0, len(m), strip):
+            both = norm_a[s : s + strip, None] * norm_b
+            cos = np.divide(m[s : s + strip] @ n.T, both, out=np.zeros_like(both), where=both > 0)
             if others:
-                for r, k in enumerate(keys_a.slice(s, ROWS).to_pylist()):
+                for r, k in enumerate(keys_a.slice(s, strip).to_pylist()):
                     if (at := index.get(k)) is not None:
                         cos[r, at] = -np.inf
             passed = cos > floor if strict else cos >= floor
