@@ -73,12 +73,13 @@ class Index:
         slices = F.create_map(*(F.lit(x) for k in kinds for x in (k["kind"], math.ceil(k["n"] / BLOCK)))) if kinds else F.create_map(F.lit(0), F.lit(1))
         block = F.col("kind") * (1 << 32) + F.pmod(F.xxhash64("key"), F.element_at(slices, F.col("kind")))
         parts = max(1, math.ceil(sum(k["postings"] for k in kinds) / (BUCKETS * WRITTEN)))
-        postings = rows.select("key", "dl", block.alias("block"), F.explode("terms").alias("t")).select("t.term", "block", "key", "t.tf", "dl", F.lit(segment).alias("segment"), bucket(F.col("t.term")).alias("bucket"))
-        dealt = postings.repartition(BUCKETS * parts, "bucket", F.pmod("block", F.lit(parts))).sortWithinPartitions("bucket", "term", "block", "key")
-        dealt.write.mode("append").partitionBy("segment", "bucket").parquet(f"{self.path}/postings")
-        written = self.spark.read.schema(postings.schema).parquet(f"{self.path}/postings").where(F.col("segment") == segment)
-        bounds = written.groupBy("term", "block", "segment", "bucket").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min(F.col("dl") / F.col("tf")).alias("least_ratio"))
-        bounds.repartition(BUCKETS * parts, "bucket", F.pmod("block", F.lit(parts))).sortWithinPartitions("bucket", "term", "block").write.mode("append").partitionBy("segment", "bucket").parquet(f"{self.path}/bounds")
+        postings = rows.select("key", "dl", block.alias("block"), F.explode("terms").alias("t")).select("t.term", "block", "key", "t.tf", "dl", bucket(F.col("t.term")).alias("bucket"))
+        place = (F.col("bucket") * parts + F.pmod("block", F.lit(parts))).cast("int")  # a task each: hashed, several would meet in one
+        dealt = postings.repartitionById(BUCKETS * parts, place).sortWithinPartitions("bucket", "term", "block", "key")
+        dealt.write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        written = self.spark.read.schema(postings.schema).parquet(f"{self.path}/postings/segment={segment}")
+        bounds = written.groupBy("term", "block", "bucket").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min(F.col("dl") / F.col("tf")).alias("least_ratio"))
+        bounds.repartitionById(BUCKETS * parts, place).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/bounds/segment={segment}")
         stats = self.spark.createDataFrame([(segment, sum(k["n"] for k in kinds), int(sum(k["length"] or 0 for k in kinds)))], "segment string, documents long, length long")
         stats.coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
         dropped(self.spark, forward)

@@ -348,3 +348,28 @@ def test_pairs_and_successors_in_as_many_parts_as_rows_need(spark, monkeypatch):
     want = sum(sum(w for a, b, w in both if c(a) == k == c(b)) / m2 - (sum(w for a, _, w in both if c(a) == k) / m2) ** 2 for k in range(3))
     member = spark.createDataFrame([(v, c(v)) for v in range(8)], "id int, community int")
     assert graph.modularity(spark.createDataFrame(e, "src int, dst int, w double"), member, "w").first()[0] == pytest.approx(want)
+
+
+def test_each_task_of_an_index_writes_one_bucket(spark, tmp_path, monkeypatch):
+    """Several buckets in a task, as hashing deals them, made its memory a multiple of what a task is to write."""
+    monkeypatch.setattr(inverted, "WRITTEN", 20)
+    monkeypatch.setattr(inverted, "BLOCK", 8)
+    monkeypatch.setattr(inverted, "BUCKETS", 8)
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(1, 12))) for i in range(120)]
+    inverted.Index(spark, f"{tmp_path}/index").add(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    for kind in ("postings", "bounds"):
+        writers = {}
+        for file in tmp_path.glob(f"index/{kind}/**/part-*.parquet"):
+            writers.setdefault(file.name.split("-")[1], set()).add(file.parent.name)
+        assert len(writers) > 8 and all(len(buckets) == 1 for buckets in writers.values())
+
+
+def test_best_matches_hold_a_strip_of_products(spark, monkeypatch):
+    """Strips of any size give the same matches, and no strip is larger than asked for."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 5)))], "id long, v array<double>")
+    found = {}
+    for cells in (1 << 20, 130, 1):
+        monkeypatch.setattr(matrix, "CELLS", cells)
+        found[cells] = [(r["id"], r["other"], round(r["similarity"], 9)) for r in matrix.best_matches(rows, rows.withColumnRenamed("id", "other"), "id", "other", "v", -2.0, 3).orderBy("id", "other").collect()]
+    assert len(found[1]) == 180 and found[1] == found[130] == found[1 << 20]
