@@ -105,12 +105,13 @@ def clustered(vertices: DataFrame, edges: DataFrame, group: str, least: int = 10
 def numbered_edges(edges: DataFrame) -> DataFrame:
     """(src, dst, place, degree) of distinct edges: places from 0 within a source, counted in 256 slices so that a vertex with
     very many neighbours is not sorted in one task."""
-    ends = edges.select("src", "dst").distinct().withColumn("slice", F.substring(F.md5(F.col("dst").cast("string")), 1, 2))
+    ends = edges.select("src", "dst", F.substring(F.md5(F.col("dst").cast("string")), 1, 2).alias("slice"))
+    place = F.row_number().over(Window.partitionBy("src", "slice").orderBy("dst")) - 1
+    ends = _kept(dealt(ends, edges.count(), "src", "slice").distinct().withColumn("within", place))  # read twice, made once
     sizes = ends.groupBy("src", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "degree": F.sum("n").over(Window.partitionBy("src"))})
-    place = F.row_number().over(Window.partitionBy("src", "slice").orderBy("dst")) - 1
-    return ends.withColumn("within", place).join(sizes, ["src", "slice"]).select("src", "dst", (F.col("before") + F.col("within")).alias("place"), "degree")
+    return ends.join(sizes, ["src", "slice"]).select("src", "dst", (F.col("before") + F.col("within")).alias("place"), "degree")
 
 
 def random_walks(edges: DataFrame, seeds: DataFrame, hops: int, seed: int = 0, per_seed: int = 1) -> DataFrame:

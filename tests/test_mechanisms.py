@@ -373,3 +373,18 @@ def test_best_matches_hold_a_strip_of_products(spark, monkeypatch):
         monkeypatch.setattr(matrix, "CELLS", cells)
         found[cells] = [(r["id"], r["other"], round(r["similarity"], 9)) for r in matrix.best_matches(rows, rows.withColumnRenamed("id", "other"), "id", "other", "v", -2.0, 3).orderBy("id", "other").collect()]
     assert len(found[1]) == 180 and found[1] == found[130] == found[1 << 20]
+
+
+def test_numbered_edges_make_their_edges_once(spark, monkeypatch):
+    """The edges of walks were made and sorted out twice, for their places and for their counts."""
+    from larkspur.operators import graph
+
+    made, real = [], graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda df, *a: made.append(df) or real(df, *a))
+    rng = random.Random(2)
+    pairs = [(rng.randrange(5), rng.randrange(30)) for _ in range(200)]
+    got = {(r["src"], r["dst"]): (r["place"], r["degree"]) for r in graph.numbered_edges(spark.createDataFrame(pairs, "src int, dst int")).collect()}
+    assert len(made) == 1 and set(got) == set(pairs)
+    for s in range(5):
+        mine = [got[p] for p in set(pairs) if p[0] == s]
+        assert sorted(p for p, _ in mine) == list(range(len(mine))) and {d for _, d in mine} == {len(mine)}
