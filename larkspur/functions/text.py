@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,80 +93,201 @@ def partial_ratio(needle: str, hay: str) -> float:
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def _pairs_of(codes: np.ndarray) -> np.ndarray:
-    """A number for each two successive characters."""
-    return codes[:-1] << 21 | codes[1:]
+def _slots(codes: np.ndarray) -> np.ndarray:
+    """A number under 2^16 for each two successive characters; beyond Latin-1 some pairs share one."""
+    return (codes[:-1] << 8 ^ codes[:-1] >> 8 ^ codes[1:]) & 0xFFFF
 
 
-def _commons(masks: np.ndarray, which: np.ndarray, width: np.ndarray, start: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Common subsequences of windows (start, width in letters) with their needle, one bit a character as in `_common`.
+def _commons(masks: np.ndarray, n: np.ndarray, width: np.ndarray, which: np.ndarray, start: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Common subsequences of windows (start, width in letters) with their needle of n, one bit a character as in `_common`.
 
     masks (words of 64 bits, needles, letters) has the places of each letter in each needle; the last letter is in none.
     """
     rows, none = [np.full(len(which), 2**64 - 1, dtype=np.uint64) for _ in masks], masks.shape[2] - 1
     for step in range(int(width.max())):
-        letter = np.where(step < width, letters[np.minimum(start + step, len(letters) - 1)], none)
-        carry = np.zeros(len(which), dtype=np.uint64)
-        for k, mask in enumerate(masks):
-            found, row = mask[which, letter], rows[k]
-            part = row + (row & found)
-            whole = part + carry
+        letter = np.where(step < width, letters.take(start + step, mode="clip"), none)
+        rows = _stepped(rows, [mask[which, letter] for mask in masks])
+    return _counted(rows, _filled(n, len(rows)))
+
+
+def _stepped(rows: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of common subsequences after one more letter, which stands at the places `found`."""
+    carry, out = None, []
+    for row, at in zip(rows, found):
+        part = row + (row & at)
+        whole = part if carry is None else part + carry
+        if len(rows) > 1:
             carry = ((part < row) | (whole < part)).astype(np.uint64)
-            rows[k] = whole | row & ~found
-    used = [np.minimum(np.maximum(width - 64 * k, 0), 64) for k in range(len(rows))]
-    full = [np.where(u == 64, np.uint64(2**64 - 1), (np.uint64(1) << (u % 64).astype(np.uint64)) - np.uint64(1)) for u in used]
-    return sum(np.bitwise_count(~r & f).astype(np.int64) for r, f in zip(rows, full))
+        out.append(whole | row & ~at)
+    return out
 
 
-def close_ratios(needles: list[str], hay: str, floor: float, lanes: int = 32_768) -> dict[int, float]:
-    """The needles (by place) whose partial ratio with a text is at least `floor`, which must exceed 200 / 3.
+def _filled(width: np.ndarray, words: int) -> list[np.ndarray]:
+    """The lowest `width` bits, as words of 64."""
+    used = [np.minimum(np.maximum(width - 64 * k, 0), 64) for k in range(words)]
+    return [np.where(u == 64, np.uint64(2**64 - 1), (np.uint64(1) << (u % 64).astype(np.uint64)) - np.uint64(1)) for u in used]
+
+
+def _counted(rows: list[np.ndarray], full: list[np.ndarray]) -> np.ndarray:
+    return sum(np.bitwise_count(~r & f).astype(np.int32) for r, f in zip(rows, full))
+
+
+class _Needles:
+    """Needles of like length (none of under 2 characters) that are looked for together.
 
-    A window of w characters that scores f with a needle of n lacks at most n - f (n + w) / 2 of its characters and adds at
-    most w - f (n + w) / 2, so at least (1.5 f - 1) (n + w) - 1 of the needle's pairs of characters stand in it. Only
-    windows with so many pairs that occur in the needle are scored, up to `lanes` at a time, which loses none.
+    A window of w characters that scores f with a needle of n has a common subsequence of L >= f (n + w) / 2 with it, so it
+    lacks n - L of the needle's characters and adds w - L. Each of these parts at most one more pair of neighbours, so at
+    least 3 L - n - w - 1 of the window's pairs stand in the needle, each at most n - L places from where it stands in a
+    window of n. Windows are cut into steps, and the pairs of a step are looked up among those of the needle's places near
+    it. Windows with enough of them, which are all that can score f, are scored where the text of up to a step of such windows
+    has a common subsequence of L with the needle. Windows cut by an end of the text are all scored.
     """
-    f, size, out, near = floor / 100, len(hay), {}, {False: [], True: []}
-    codes = _codes(hay)
-    known, where = np.unique(_pairs_of(codes), return_inverse=True) if size > 1 else (codes[:0], codes[:0])
-    for place, needle in enumerate(needles):
-        n = len(needle)
-        if n < 2 or size < n or needle in hay:
-            out[place] = partial_ratio(needle, hay)
-            continue
-        marked, pairs = np.zeros(len(known), dtype=bool), _pairs_of(_codes(needle))
-        at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-        marked[at[known[at] == pairs]] = True
-        total = np.concatenate(([0], np.cumsum(marked[where])))
-        if (total[n - 1 :] - total[: size - n + 1]).max() < (3 * f - 2) * n / (2 - f) - 1 - 1e-9:
-            continue  # the narrowest window that can score f asks for more pairs than any full one has
-        ends = np.arange(1, size + n)
-        start, stop = np.maximum(ends - n, 0), np.minimum(ends, size)
-        enough = np.flatnonzero(total[np.maximum(stop - 1, start)] - total[start] >= (1.5 * f - 1) * (n + stop - start) - 1 - 1e-9)
-        near[n > 64].append((place, enough))
-    alphabet, letters = np.unique(codes, return_inverse=True)
-    for group in filter(None, near.values()):
-        most = max(len(needles[p]) for p, _ in group)
-        masks = np.zeros((-(-most // 64), len(group), len(alphabet) + 1), dtype=np.uint64)
-        index = {chr(c): i for i, c in enumerate(alphabet.tolist())}
-        for row, (place, _) in enumerate(group):
-            for i, ch in enumerate(needles[place]):
-                if ch in index:
-                    masks[i // 64, row, index[ch]] |= np.uint64(1 << i % 64)
-        which = np.repeat(np.arange(len(group)), [len(e) for _, e in group])
-        n, end = np.array([len(needles[p]) for p, _ in group])[which], np.concatenate([e for _, e in group])
-        padded = np.concatenate((np.full(most, len(alphabet)), letters, np.full(most, len(alphabet))))
-        for i in range(0, len(which), lanes):
-            w, width, stop = which[i : i + lanes], n[i : i + lanes], end[i : i + lanes] + 1
-            common = _commons(masks, w, width, stop - width + most, padded)
-            scores = 200.0 * common / (width + np.minimum(stop, size) - np.maximum(stop - width, 0))
-            best = np.zeros(len(group))
-            np.maximum.at(best, w, scores)
-            for row in np.flatnonzero(best).tolist():
-                out[group[row][0]] = max(out.get(group[row][0], 0.0), float(best[row]))
-    return {place: score for place, score in out.items() if score >= floor}
+
+    def __init__(self, needles: list[str], floor: float, lanes: int):
+        self.floor, self.lanes, codes = floor, lanes, [_codes(n) for n in needles]
+        self.n = n = np.array([len(c) for c in codes])
+        alphabet = np.unique(np.concatenate(codes))
+        self.letter = np.full(0x110000, len(alphabet), dtype=np.int32)
+        self.letter[alphabet] = np.arange(len(alphabet))
+        self.masks = np.zeros((-(-n.max() // 64), len(n), len(alphabet) + 1), dtype=np.uint64)
+        for row, c in enumerate(codes):
+            for i, at in enumerate(self.letter[c].tolist()):
+                self.masks[i // 64, row, at] |= np.uint64(1 << i % 64)
+        self.ahead = [np.ascontiguousarray(m.T) for m in self.masks]
+        back = np.zeros_like(self.masks)
+        for row, c in enumerate(codes):
+            for i, at in enumerate(self.letter[c[::-1]].tolist()):
+                back[i // 64, row, at] |= np.uint64(1 << i % 64)
+        self.back = [np.ascontiguousarray(m.T) for m in back]
+
+        self.least = least = self._least(n)
+        self.step = 1 << min(3, max(0, int(n.max() - 1).bit_length() - 3))
+        slots = [_slots(c) for c in codes]
+        known = np.unique(np.concatenate(slots))
+        self.slot = np.full(1 << 16, len(known), dtype=np.int32)
+        self.slot[known] = np.arange(len(known))
+        small = np.uint8 if n.max() < 250 else np.uint16
+        self.tables = np.zeros((-(-(n.max() - 1) // self.step), len(known) + 1, len(n)), dtype=small)
+        for row, s in enumerate(slots):
+            at, last, off = self.slot[s], len(s) - 1, n[row] - least[row]
+            for k in range(-(-len(s) // self.step)):
+                self.tables[k, at[max(0, last - (k + 1) * self.step + 1 - off) : last - k * self.step + off + 1], row] = 1
+        self.enough = np.maximum(3 * least - 2 * n - 1, 0).astype(small)
+
+    def _least(self, width: np.ndarray) -> np.ndarray:
+        return np.ceil(self.floor * (self.n + width) / 200 - 1e-9).astype(np.int64)
+
+    def matches(self, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(needles, texts, scores) of windows that reach the floor, in texts (first, size in codes) no shorter than the needle."""
+        letters = self.letter[codes]
+        for which, start in self._near(codes):
+            text = np.searchsorted(first, start, "right") - 1
+            inside = (start >= 0) & (start + self.n[which] <= first[text] + size[text])
+            which, start, text = which[inside], start[inside], text[inside]
+            row, cell = np.unique(which * len(codes) + start // self.step, return_inverse=True)
+            row, at = np.divmod(row, len(codes))
+            whole = self._common(row, at * self.step, self.step - 1, letters) >= self.least[row]
+            which, start, text = (x[whole[cell]] for x in (which, start, text))
+            score = 200.0 * self._common(which, start, 0, letters) / (2 * self.n[which])
+            good = score >= self.floor
+            yield which[good], text[good], score[good]
+        yield from self._cut(letters, first, size)
+
+    def _common(self, which: np.ndarray, start: np.ndarray, more: int, letters: np.ndarray) -> np.ndarray:
+        """Common subsequences of needles with windows that are so many letters longer."""
+        part = [slice(i, i + self.lanes) for i in range(0, len(which), self.lanes)]
+        return np.concatenate([np.zeros(0, dtype=np.int32), *(_commons(self.masks, self.n[which[p]], self.n[which[p]] + more, which[p], start[p], letters) for p in part)])
+
+    def _near(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(needles, starts) of windows with enough pairs; some may lie across texts."""
+        reach, none, wide = len(self.tables) * self.step - 1, self.tables.shape[1] - 1, max(256, (1 << 18) // len(self.n))
+        found, held = [], 0
+        for low in range(0, len(codes) - 1, wide):  # windows whose last pair is one of `wide` from here
+            part = self.slot[_slots(codes[max(0, low - reach) : low + wide + 1])]
+            part = np.concatenate((np.full(max(0, reach - low), none), part))
+            count = len(part) - reach + self.step - 1
+            total = self.tables[0].take(part[-count:], axis=0)
+            for k in range(1, len(self.tables)):
+                stop = len(part) - k * self.step
+                total += self.tables[k].take(part[stop - count : stop], axis=0)
+            span = 1
+            while span < self.step:
+                total, span = total[span:] + total[:-span], 2 * span
+            enough = total >= self.enough
+            some = np.flatnonzero(enough.any(axis=1))
+            last, which = np.nonzero(enough[some])
+            found.append((which, some[last] + low + 2 - self.n[which]))
+            held += len(which)
+            if held >= self.lanes or low + wide >= len(codes) - 1:
+                yield tuple(map(np.concatenate, zip(*found)))
+                found, held = [], 0
+
+    def _cut(self, letters: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of fewer letters than the needle, at the starts and ends of texts."""
+        texts = np.flatnonzero(size >= self.n.min())
+        full, per = _filled(self.n, len(self.masks)), max(1, self.lanes // len(self.n))
+        need = [np.where((least := self._least(np.int64(w))) <= min(w, self.n.max()), least, 1 << 30) for w in range(int(self.n.max()))]
+        need = [np.where(w < self.n, x, 1 << 30) for w, x in enumerate(need)]
+        for side, masks in ((1, self.ahead), (-1, self.back)):
+            for i in range(0, len(texts), per):
+                text = texts[i : i + per]
+                at = first[text] if side == 1 else first[text] + size[text] - 1
+                rows = [np.full((len(text), len(self.n)), 2**64 - 1, dtype=np.uint64) for _ in masks]
+                for w in range(1, int(self.n.max())):
+                    letter = letters.take(at + side * (w - 1), mode="clip")
+                    rows = _stepped(rows, [m.take(letter, axis=0) for m in masks])
+                    if need[w].min() <= w:
+                        common = _counted(rows, full)
+                        row, which = np.nonzero(common >= need[w])
+                        kept = self.n[which] <= size[text[row]]
+                        row, which = row[kept], which[kept]
+                        score = 200.0 * common[row, which] / (self.n[which] + w)
+                        good = score >= self.floor
+                        yield which[good], text[row[good]], score[good]
+
+
+class Closeness:
+    """Needles to find in many texts by their partial ratio, where it is at least `floor`, which must exceed 200 / 3."""
+
+    def __init__(self, needles: list[str], floor: float, lanes: int = 32_768):
+        self.needles, self.floor, self.lanes, groups = needles, floor, lanes, {}
+        for place, needle in enumerate(needles):
+            if len(needle) > 1:
+                groups.setdefault(max(5, (len(needle) - 1).bit_length()), []).append(place)
+        self.groups = [(np.array(g), _Needles([needles[p] for p in g], floor, lanes)) for g in groups.values()]
+
+    def pairs(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(needles, texts, scores) by place, the best of each pair among them, for needles no longer than the text."""
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        first, codes = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64), _codes("".join(texts))
+        for places, group in self.groups:
+            if len(codes) >= group.n.min():
+                for which, text, score in group.matches(codes, first, size):
+                    yield places[which], text, score
+        for place, needle in enumerate(self.needles):
+            if len(needle) < 2:
+                held = np.array([i for i, t in enumerate(texts) if (needle in t if needle else not t)], dtype=np.int64)
+                yield np.full(len(held), place), held, np.full(len(held), 100.0)
+
+    def best(self, texts: list[str]) -> dict[int, float]:
+        """The best partial ratio of each needle (by place) in any of the texts; the shorter of the two is the one that is found."""
+        out = np.zeros(len(self.needles))
+        for which, _, score in self.pairs(texts):
+            np.maximum.at(out, which, score)
+        most = max(map(len, self.needles), default=0)
+        short = sorted({t for t in texts if 0 < len(t) < most})
+        for i in range(0, len(short), 512):
+            for _, which, score in Closeness(short[i : i + 512], self.floor, self.lanes).pairs(self.needles):
+                np.maximum.at(out, which, score)
+        return {i: float(out[i]) for i in np.flatnonzero(out >= self.floor).tolist()}
+
+
+def close_ratios(needles: list[str], hay: str, floor: float, lanes: int = 32_768) -> dict[int, float]:
+    """The needles (by place) whose partial ratio with a text is at least `floor`, which must exceed 200 / 3."""
+    return Closeness(needles, floor, lanes).best([hay])
 
 
 def token_set_ratio(a: str, b: str) -> float:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import close_ratios, first_number, partial_ratio_udf
+from larkspur.functions.text import Closeness, first_number, partial_ratio_udf
 
 #: Weight of a question type in a knowledge edge.
 TYPE_WEIGHTS = {"FACTUAL": 0.9, "RELATIONSHIP": 0.8, "MULTI_HOP": 0.6, "HIERARCHICAL": 0.7, "COMPARATIVE": 0.7, "REVERSAL": 0.5}
@@ -66,28 +66,63 @@ def quoted(segments: DataFrame, texts: DataFrame, segment: str, key: str, text:
     return found.unionByName(texts.join(short, F.col(text).contains(F.col(segment))).select(segments.columns))
 
 
+#: Characters of texts that are searched at once.
+_SPAN = 1 << 21
+
+
+def _spans(batches: Iterator[pd.DataFrame], text: str) -> Iterator[list[str]]:
+    """Texts of successive rows, about `_SPAN` characters of them at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for t in batch[text]:
+            held.append(t)
+            size += len(t)
+            if size >= _SPAN:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def close_quotes(asked: DataFrame, texts: DataFrame, segment: str, text: str, floor: float = 85.0) -> DataFrame:
     """(segment, score): the distinct segments that some text holds at a partial ratio of at least `floor`, and the best one.
 
     The segments are a stated set of answers and go to every task; texts are streamed and stay where they are, unless they
-    lie in fewer partitions than there are cores: scoring costs far more than moving them. Null texts hold nothing.
+    lie in fewer partitions than there are cores: scoring costs far more than moving them. Null texts hold nothing. A first
+    pass finds, all at once, the segments that a text holds word for word; only the others are scored.
     """
     if not floor > 200 / 3:
         raise ValueError("a floor must exceed 200 / 3")
-    needles = [r[0] for r in asked.select(segment).where(F.length(segment) > 0).distinct().collect()]
-    cores, rows = texts.sparkSession.sparkContext.defaultParallelism, texts.select(text).where(F.col(text).isNotNull())
+    spark, needles = texts.sparkSession, [r[0] for r in asked.select(segment).where(F.length(segment) > 0).distinct().collect()]
+    cores, rows = spark.sparkContext.defaultParallelism, texts.select(text).where(F.col(text).isNotNull())
     rows = rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
+    form = f"`{segment}` string, score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, float] = {}
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        search, held = ahocorasick.Automaton(), set()
+        for place, needle in enumerate(needles):
+            search.add_word(needle, place)
+        search.make_automaton()
         for batch in batches:
-            for t in batch[text]:
-                left = [i for i in range(len(needles)) if best.get(i, 0.0) < 100]
-                for at, score in close_ratios([needles[i] for i in left], t, floor).items():
-                    best[left[at]] = max(best.get(left[at], 0.0), score)
-        yield pd.DataFrame({segment: [needles[i] for i in best], "score": [*best.values()]}).astype({segment: object, "score": "float64"})
+            for t in batch[text] if needles else ():
+                held.update(place for _, place in search.iter(t))
+        yield pd.DataFrame({segment: [needles[i] for i in held], "score": 100.0}).astype({segment: object, "score": "float64"})
 
-    return rows.mapInPandas(run, f"`{segment}` string, score double").groupBy(segment).agg(F.max("score").alias("score"))
+    exact = {r[0] for r in rows.mapInPandas(whole, form).select(segment).distinct().collect()}
+    rest = [n for n in needles if n not in exact]
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, float] = {}
+        search = Closeness(rest, floor)
+        for span in _spans(batches, text):
+            for at, score in search.best(span).items():
+                best[at] = max(best.get(at, 0.0), score)
+        yield pd.DataFrame({segment: [rest[i] for i in best], "score": [*best.values()]}).astype({segment: object, "score": "float64"})
+
+    found = spark.createDataFrame([(n, 100.0) for n in needles if n in exact], form)
+    return found.unionByName(rows.mapInPandas(near, form).groupBy(segment).agg(F.max("score").alias("score")))
 
 
 def citation_status(score: Column, threshold: float = 97.0) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.functions.text import close_ratios, partial_ratio
+from larkspur.functions.text import Closeness, close_ratios, partial_ratio
 from larkspur.operators import conversation, entity, graph, qa, rank, risk, temporal
 from larkspur.sources import files, store
 from larkspur.streaming import jobs
@@ -211,6 +211,33 @@ def test_close_ratios_lose_no_window(floor):
         assert text != hay or len(wanted) > 20
 
 
+def test_close_ratios_score_few_windows(monkeypatch):
+    rng, scored, commons, parts = random.Random(1), [], text._commons, "th in er re an on nd es ha ti ou st en ed at or".split()
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+    hay, other = (" ".join(word() for _ in range(2_000)) for _ in range(2))
+    needles = [other[i : i + 50] for i in range(0, 6_000, 100)] + [other[i : i + 100] for i in range(0, 2_000, 100)]
+    monkeypatch.setattr(text, "_commons", lambda *a: scored.append(len(a[1])) or commons(*a))
+    close_ratios(needles, hay, 85.0)
+    assert 0 < sum(scored) < len(needles) * len(hay) / 20
+
+
+@pytest.mark.parametrize("floor", [70.0, 85.0])
+def test_closeness_finds_the_best_of_many_texts(floor):
+    rng = random.Random(int(floor))
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 7)))
+    texts = ["", "t", "\u4e2d\u6587 \U0001f355 stands here \u4e2d"] + [" ".join(word() for _ in range(n)) for n in (1, 3, 8, 15, 40, 60, 90)]
+    needles = ["", "t", "\u4e2d\u6587 \U0001f355 stood here", texts[-2][-20:] + texts[-1][:20], "z" + texts[-1]]
+    for t in texts[3:]:  # cut by the start, by the end, whole, and with letters changed
+        for n in (12, 33, 50, 64, 65, 90, 300):
+            for cut in ("zz" + t[: n - 2], t[-n:] + "zzz", t[5 : 5 + n]):
+                at = rng.randint(0, len(cut))
+                needles.append(cut[:at] + "z" * rng.randint(0, 2) + cut[at + 1 :])
+    wanted = {i: s for i, s in ((i, max(partial_ratio(n, t) for t in texts)) for i, n in enumerate(needles)) if s >= floor}
+    assert Closeness(needles, floor, 100).best(texts) == wanted and len(wanted) > 100
+    for few in (["ab"], ["abc", "abcde"], ["ab", "abcdefghi"]):  # none of them long
+        assert Closeness(few, floor).best(["xacdex"]) == {i: s for i, s in enumerate(partial_ratio(n, "xacdex") for n in few) if s >= floor}
+
+
 def test_close_quotes_are_the_best_of_all_texts(spark):
     asked = spark.createDataFrame([("the quick brown fox",), ("the quick brown fox",), ("nothing alike here",), ("",), (None,)], "s string")
     texts = spark.createDataFrame([("a quick brown fax ran", 1), ("see the quack brown fox", 2), (None, 3), ("", 4)], "text string, score int")
