@@ -249,6 +249,10 @@ class _Needles:
                         yield which[good], text[row[good]], score[good]
 
 
+#: Needles that are looked for together, in tables of some MB.
+_TOGETHER = 256
+
+
 class Closeness:
     """Needles to find in many texts by their partial ratio, where it is at least `floor`, which must exceed 200 / 3."""
 
@@ -257,7 +261,8 @@ class Closeness:
         for place, needle in enumerate(needles):
             if len(needle) > 1:
                 groups.setdefault(max(5, (len(needle) - 1).bit_length()), []).append(place)
-        self.groups = [(np.array(g), _Needles([needles[p] for p in g], floor, lanes)) for g in groups.values()]
+        parts = [g[i : i + _TOGETHER] for g in groups.values() for i in range(0, len(g), _TOGETHER)]
+        self.groups = [(np.array(g), _Needles([needles[p] for p in g], floor, lanes)) for g in parts]
 
     def pairs(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(needles, texts, scores) by place, the best of each pair among them, for needles no longer than the text."""

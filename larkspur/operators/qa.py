@@ -87,15 +87,15 @@ def _spans(batches: Iterator[pd.DataFrame], text: str) -> Iterator[list[str]]:
 def close_quotes(asked: DataFrame, texts: DataFrame, segment: str, text: str, floor: float = 85.0) -> DataFrame:
     """(segment, score): the distinct segments that some text holds at a partial ratio of at least `floor`, and the best one.
 
-    The segments are a stated set of answers and go to every task; texts are streamed and stay where they are, unless they
-    lie in fewer partitions than there are cores: scoring costs far more than moving them. Null texts hold nothing. A first
-    pass finds, all at once, the segments that a text holds word for word; only the others are scored.
+    The segments are a stated set of answers and go to every task. A first pass finds, all at once, those that a text holds
+    word for word; only the others are scored. Texts are streamed and stay where they are, unless they lie in few partitions:
+    scoring costs far more than moving them. Null texts hold nothing.
     """
     if not floor > 200 / 3:
         raise ValueError("a floor must exceed 200 / 3")
     spark, needles = texts.sparkSession, [r[0] for r in asked.select(segment).where(F.length(segment) > 0).distinct().collect()]
     cores, rows = spark.sparkContext.defaultParallelism, texts.select(text).where(F.col(text).isNotNull())
-    rows = rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
+    spread = lambda least: rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < least else rows
     form = f"`{segment}` string, score double"
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +110,7 @@ def close_quotes(asked: DataFrame, texts: DataFrame, segment: str, text: str, fl
                 held.update(place for _, place in search.iter(t))
         yield pd.DataFrame({segment: [needles[i] for i in held], "score": 100.0}).astype({segment: object, "score": "float64"})
 
-    exact = {r[0] for r in rows.mapInPandas(whole, form).select(segment).distinct().collect()}
+    exact = {r[0] for r in spread(cores).mapInPandas(whole, form).select(segment).distinct().collect()}
     rest = [n for n in needles if n not in exact]
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +122,9 @@ def close_quotes(asked: DataFrame, texts: DataFrame, segment: str, text: str, fl
         yield pd.DataFrame({segment: [rest[i] for i in best], "score": [*best.values()]}).astype({segment: object, "score": "float64"})
 
     found = spark.createDataFrame([(n, 100.0) for n in needles if n in exact], form)
-    return found.unionByName(rows.mapInPandas(near, form).groupBy(segment).agg(F.max("score").alias("score")))
+    if not rest:
+        return found
+    return found.unionByName(spread(4 * cores).mapInPandas(near, form).groupBy(segment).agg(F.max("score").alias("score")))
 
 
 def citation_status(score: Column, threshold: float = 97.0) -> Column:
