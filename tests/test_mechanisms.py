@@ -388,3 +388,73 @@ def test_numbered_edges_make_their_edges_once(spark, monkeypatch):
     for s in range(5):
         mine = [got[p] for p in set(pairs) if p[0] == s]
         assert sorted(p for p, _ in mine) == list(range(len(mine))) and {d for _, d in mine} == {len(mine)}
+
+
+def settled(edges, sweeps=100, least=3):
+    """Synchronous local moving in dictionaries, sweep by sweep; and how many sweeps it takes until two give back what was before."""
+    w, past, took = {}, [], None
+    for a, b, x in edges:
+        for s, d in ((a, b), (b, a)):
+            w.setdefault(s, {})[d] = w.get(s, {}).get(d, 0.0) + x
+    k, m2 = {v: sum(w[v].values()) for v in w}, sum(sum(x.values()) for x in w.values())
+    c = {v: v for v in w}
+    for sweep in range(sweeps):
+        total, new = {}, {}
+        for v in w:
+            total[c[v]] = total.get(c[v], 0.0) + k[v]
+        for v in w:
+            links = {c[v]: 0.0}
+            for d in w[v]:
+                links[c[d]] = links.get(c[d], 0.0) + (w[v][d] if d != v else 0.0)
+            gain = {to: round(x - k[v] * (total[to] - (k[v] if to == c[v] else 0.0)) / m2, 9) for to, x in links.items() if (to <= c[v] if sweep % 2 == 0 else to >= c[v])}
+            new[v] = min(gain, key=lambda to: (-gain[to], to))
+        past.append(c)
+        c = new
+        if took is None and len(past) > 1 and c == past[-2]:
+            took = sweep + 1
+    members = [*c.values()]
+    ties = {}
+    for v in w:
+        for d in w[v]:
+            if members.count(c[v]) < least and c[v] != c[d]:
+                ties.setdefault(c[v], {})[c[d]] = ties.get(c[v], {}).get(c[d], 0.0) + w[v][d]
+    to = {x: min(t, key=lambda y: (-t[y], y)) for x, t in ties.items()}
+    return {v: to.get(c[v], c[v]) for v in w}, took
+
+
+def test_communities_end_when_sweeps_repeat_and_move_no_edge(spark, monkeypatch):
+    """Vertices that move to and fro went on for all sweeps, each of which shuffled the edges where vertices were not thought few."""
+    from larkspur.operators import graph
+
+    edges = next(e for seed in range(200) for r in [random.Random(seed)] for e in [sorted({(a, b) for a in range(14) for b in range(a) if r.random() < 0.5})] if settled([(a, b, 1.0) for a, b in e], 100) != settled([(a, b, 1.0) for a, b in e], 99))
+    df, plans, real = spark.createDataFrame(edges, "src int, dst int"), [], graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda d, *a: plans.append(d._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]) or real(d, *a))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for sweeps in (100, 99, 3, 1):
+            plans.clear()
+            want, took = settled([(a, b, 1.0) for a, b in edges], sweeps)
+            assert {r["id"]: r["community"] for r in graph.communities(df, sweeps=sweeps).collect()} == want
+            assert len(plans) <= min(took or sweeps, sweeps) + 4
+            walked = [p for p in plans if "InMemoryTableScan" in p]
+            assert len(walked) >= min(took or sweeps, sweeps) and not any("SortMergeJoin" in p for p in walked[1:-1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_communities_equal_a_plain_version(spark, monkeypatch):
+    """Weights, gaps, loops, parallel edges and small communities; vertices broadcast or joined; groups of items without their pairs made."""
+    from larkspur.operators import graph
+
+    for seed, most in ((1, 1_000_000), (2, 0)):
+        monkeypatch.setattr(graph, "MEMBERS", most)
+        r = random.Random(seed)
+        rows = [(f"v{r.randrange(12)}", f"v{r.randrange(12)}", r.choice([None, 2.0, 0.5, 3.0])) for _ in range(25)] + [("x", "x", 1.0), ("y", "z", None)]
+        got = {x["id"]: x["community"] for x in graph.communities(spark.createDataFrame(rows, "src string, dst string, w double"), "w").collect()}
+        assert got == settled([(a, b, 1.0 if w is None else w) for a, b, w in rows])[0]
+        items = [(r.choice([None, *range(12)]), r.choice([None, *range(15)])) for _ in range(60)]
+        df = spark.createDataFrame(items, "g int, x int")
+        pairs = [tuple(p) for p in graph.together(df, "g", "x").collect()]
+        got = {x["id"]: x["community"] for x in graph.local_moving(graph.companions(df, "g", "x")).collect()}
+        assert pairs and got == settled([(a, b, 1.0) for a, b in pairs])[0]
